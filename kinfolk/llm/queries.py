@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, secrets, toxicity
-from .common import documents, labels
+from . import chat, chroma, jaccard, licenses, mixing, packing, quality, secrets, topk, toxicity
+from .common import documents, labels, save
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
 
 
+def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(chat.conversation_pairs(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,6 +36,25 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, labels(spark, sf_dir)))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op10_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's best alignment (fewest bit errors, then most votes) and how many rows it aligns with."""
+    prints = save(chroma.fingerprints(chroma.sonified(spark, sf_dir)))
+    queries = prints.where(F.col("vec_id") % 100 == 0)
+    best = F.min(F.struct("bit_error", (-F.col("votes")).alias("less"), "vec_id", "shift"))
+    found = chroma.align(prints, queries).groupBy("query_id").agg(F.count("*").alias("n_aligned"), best.alias("b"))
+    out = queries.select(F.col("vec_id").alias("query_id"), (F.length("fingerprint") / 4).cast("int").alias("n_integers")).join(found, "query_id", "left")
+    return out.select("query_id", "n_integers", F.coalesce("n_aligned", F.lit(0)).alias("n_aligned"), F.col("b.vec_id").alias("vec_id"), F.col("b.shift").alias("shift"), (-F.col("b.less")).alias("votes"), F.col("b.bit_error").alias("bit_error"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(documents(spark, sf_dir))
 
@@ -49,20 +72,47 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
+    "op3_chat_preferences": op3_chat_preferences,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_topk_search": op6_topk_search,
+    "op7_license_scan": op7_license_scan,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_source_mixing": op9_source_mixing,
+    "op10_chroma_fingerprints": op10_chroma_fingerprints,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # turns side by side up to the first that differs; what follows, rendered and with running lengths
+    "op3_chat_preferences": r"""
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT p.pair_id, coalesce(min(CASE WHEN a.role = b.role AND a.text = b.text THEN NULL ELSE p.k END) - 1, count(*)) AS n
+  FROM (SELECT DISTINCT pair_id, k FROM t) p LEFT JOIN t a ON a.pair_id = p.pair_id AND a.k = p.k AND a.c LEFT JOIN t b ON b.pair_id = p.pair_id AND b.k = p.k AND NOT b.c GROUP BY 1),
+r AS (SELECT t.*, n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown FROM t JOIN n USING (pair_id)),
+s AS (SELECT *, sum(length(shown)) OVER (PARTITION BY pair_id, c ORDER BY k) AS stop FROM r WHERE k > n)
+SELECT n.pair_id, CAST(n.n AS INT) AS n_prompt,
+  CAST((SELECT count(*) FROM s WHERE s.pair_id = n.pair_id AND c) AS INT) AS n_chosen, CAST((SELECT count(*) FROM s WHERE s.pair_id = n.pair_id AND NOT c) AS INT) AS n_rejected,
+  coalesce((SELECT string_agg(shown, '' ORDER BY k) FROM r WHERE r.pair_id = n.pair_id AND c AND k <= r.n), '') AS prompt,
+  coalesce((SELECT string_agg(shown, '' ORDER BY k) FROM s WHERE s.pair_id = n.pair_id AND c), '') AS chosen,
+  coalesce((SELECT string_agg(shown, '' ORDER BY k) FROM s WHERE s.pair_id = n.pair_id AND NOT c), '') AS rejected,
+  coalesce((SELECT string_agg(CAST(stop - length(text) - 8 AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY k) FROM s WHERE s.pair_id = n.pair_id AND c AND role = 'assistant'), '') AS chosen_spans,
+  coalesce((SELECT string_agg(CAST(stop - length(text) - 8 AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY k) FROM s WHERE s.pair_id = n.pair_id AND NOT c AND role = 'assistant'), '') AS rejected_spans
+FROM n""",
+    "op6_topk_search": """
+WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
     # links from shared shingles, then every document's smallest reachable id; the two extra columns from equal sets
     "op8_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' '))) END AS g FROM w),
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS g FROM w),
 e AS (SELECT doc_id, unnest(g) AS t, len(g) AS n FROM s),
 links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
