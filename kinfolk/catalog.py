@@ -1,5 +1,189 @@
-"""Queries of the graph engine and their SQL."""
+"""The registered queries of the graph engine over the supplied tables, each with SQL for the same rows."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text
+from .operators import graph
+from .plans import social
+from .sources.network import Network, read_star_schema, symmetric
+
+SINCE = "1995-06-01"
+FLAGSHIP = "q4_topk"
+
+
+def first_topic(net: Network) -> str:
+    return net.tag.agg(F.min("name")).first()[0]
+
+
+def event_network(net: Network) -> Network:
+    """The graph of users who reply to each other: all who ever do are friends."""
+    net.knows = graph.save(symmetric(net.replies))
+    return net
+
+
+def _asked(net: Network, x: int) -> DataFrame:
+    """From the smallest node to every tenth one."""
+    node = net.knows.select(F.col("src").alias("p2")).distinct()
+    start = net.knows.agg(F.min("src").alias("p1"))
+    return node.where(F.col("p2") % 10 == 0).join(F.broadcast(start)).select(F.col("p2").alias("query_no"), "p1", "p2", F.lit(x).alias("x"))
+
+
+def _batch(net: Network, x: int) -> DataFrame:
+    return social.shortest_paths(net, _asked(net, x)).select(F.col("query_no").alias("p2"), "distance")
+
+
+def _named(net: Network, rows: DataFrame) -> DataFrame:
+    """`tag` ids as names."""
+    return rows.join(net.tag.select(F.col("id").alias("tag"), "name"), "tag").drop("tag")
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.select("person", F.round("centrality", 9).alias("centrality"))
+
+
+def _members(net: Network) -> DataFrame:
+    return graph.save(social.topic_members(net, first_topic(net)))
+
+
+PLANS: dict[str, Callable[[Network], DataFrame]] = {
+    "knows_edges": lambda net: net.knows,
+    "degree": lambda net: net.knows.groupBy(F.col("src").alias("person")).agg(F.count("*").alias("degree")),
+    "sorted_adjacency": lambda net: net.knows.groupBy(F.col("src").alias("person")).agg(F.array_join(F.array_sort(F.collect_list("dst")), " ").alias("friends")),
+    "reply_counts": lambda net: graph.reply_counts(net.replies),
+    "friend_reply_semi": lambda net: net.replies.join(net.knows, ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.count("*").alias("n")),
+    "reply_min": lambda net: (lambda n: graph.reply_weights(n.knows, n.replies))(event_network(net)),
+    "interest_stats": lambda net: _named(net, net.interest.join(net.person, F.col("person") == F.col("id")).groupBy("tag").agg(F.count("*").alias("persons"), F.max("birthday").cast("string").alias("youngest"))),
+    "tag_lookup": lambda net: net.forum_tag.join(net.tag.where(F.col("name") == first_topic(net)), F.col("tag") == F.col("id"), "left_semi").select("forum"),
+    "place_closure": lambda net: graph.place_closure(net.place, net.part_of),
+    "persons_in_place": lambda net: social.persons_in_place(net, "ASIA"),
+    "forum_members_of_tag": lambda net: _members(net),
+    "induced_subgraph": lambda net: graph.induced(net.knows, _members(net)),
+    "components": lambda net: (lambda m: graph.components(graph.induced(net.knows, m), m))(_members(net)),
+    "largest_component_per_tag": lambda net: _named(net, social.interest_ranges(net, SINCE)),
+    "bfs_levels": lambda net: graph.reach(net.knows, net.knows.agg(F.min("src").alias("person"))).select("node", "dist"),
+    "reach_within_h": lambda net: graph.reach(net.knows, social.persons_in_place(net, "JAPAN"), 2),
+    "common_interest_count": lambda net: graph.common_interests(net.knows.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")), net.interest),
+    "distance_sum": lambda net: (lambda m: graph.distance_sums(graph.induced(net.knows, m), m))(_members(net)),
+    "closeness": lambda net: _rounded(social.centralities(net, first_topic(net))),
+    "two_hop_neighbours": lambda net: graph.two_hop_neighbours(graph.induced(net.knows, _members(net))),
+    "depth_limited_bound": lambda net: (lambda m: graph.depth_bound(graph.induced(net.knows, m), m, 2))(_members(net)),
+    "sampled_distance_sum": lambda net: (lambda m: graph.sampled_sums(graph.induced(net.knows, m), m, 0.1))(_members(net)),
+    "q1_path_nofilter": lambda net: _batch(net, -1),
+    "q1_path_x0": lambda net: _batch(event_network(net), 0),
+    "q1_path_x1": lambda net: _batch(event_network(net), 1),
+    "q2_topk": lambda net: social.top_interests(net, 8, SINCE),
+    "q2_topk_pad": lambda net: social.top_interests(net, 200, "1998-01-01", include_empty=True),
+    "q2_answer": lambda net: text.joined(social.top_interests(net, 5, SINCE), F.col("name"), -F.col("size"), F.col("name")),
+    "q3_nation_h1": lambda net: social.similar_pairs(net, 20, 1, "JAPAN"),
+    "q3_nation_h2": lambda net: social.similar_pairs(net, 20, 2, "FRANCE"),
+    "q3_region_h1": lambda net: social.similar_pairs(net, 20, 1, "EUROPE"),
+    "q3_unknown_place": lambda net: social.similar_pairs(net, 5, 2, "Nowhere"),
+    "q3_answer": lambda net: text.joined(social.similar_pairs(net, 5, 1, "JAPAN"), F.concat_ws("|", "a", "b"), -F.col("common"), F.col("a"), F.col("b")),
+    "q4_topk": lambda net: _rounded(social.top_central(net, 10, first_topic(net))),
+    "q4_drop_isolated": lambda net: _rounded(social.top_central(net, 10, first_topic(net), drop_isolated=True)),
+    "query_text_parse": lambda net: text.parsed(net.tag.select(F.lit(0).cast("long").alias("query_no"), F.concat(F.lit("query4(3, "), "name", F.lit(")")).alias("value"))).select("kind", "k", "name"),
+    "answer_parse": lambda net: net.tag.select(text.answer_of(F.concat("name", F.lit(" % a comment"))).alias("answer")),
+}
+
+_BASE = f"""
+parts AS (SELECT p_partkey, p_brand || '/' || p_type AS topic FROM part),
+pairs AS (SELECT a.o_custkey AS src, b.o_custkey AS dst FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey),
+knows AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs),
+replies AS (SELECT CAST(a.user_id AS BIGINT) AS src, CAST(b.user_id AS BIGINT) AS dst FROM events a JOIN events b ON a.event_id = b.event_id + 1),
+counts AS (SELECT src, dst, count(*) AS n FROM replies WHERE src <> dst GROUP BY 1, 2),
+talk AS (SELECT src, dst FROM counts UNION SELECT dst, src FROM counts),
+weights AS (SELECT t.src, t.dst, least(coalesce(a.n, 0), coalesce(b.n, 0)) AS reply_min FROM talk t
+  LEFT JOIN counts a ON a.src = t.src AND a.dst = t.dst LEFT JOIN counts b ON b.src = t.dst AND b.dst = t.src),
+bought AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+interest AS (SELECT DISTINCT o_custkey AS person, topic FROM bought JOIN parts ON l_partkey = p_partkey WHERE l_returnflag = 'R'),
+person AS (SELECT c_custkey AS id, min(CAST(o_orderdate AS DATE)) AS birthday FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1),
+place AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation UNION ALL SELECT CAST(1000 + r_regionkey AS BIGINT), r_name FROM region),
+part_of AS (SELECT CAST(n_nationkey AS BIGINT) AS child, CAST(1000 + n_regionkey AS BIGINT) AS parent FROM nation),
+closure AS (SELECT id AS ancestor, id AS descendant FROM place UNION SELECT parent, child FROM part_of),
+located AS (SELECT c_custkey AS person, CAST(c_nationkey AS BIGINT) AS place FROM customer UNION SELECT o_custkey, CAST(s_nationkey AS BIGINT) FROM bought JOIN supplier ON l_suppkey = s_suppkey
+  WHERE (l_linenumber = 1 AND l_discount < 0.005) OR (l_linenumber = 2 AND l_discount > 0.095)),
+members AS (SELECT DISTINCT o_custkey AS person FROM bought JOIN parts ON l_partkey = p_partkey WHERE topic = (SELECT min(topic) FROM parts)),
+inner_edges AS (SELECT src, dst FROM knows WHERE src IN (SELECT person FROM members) AND dst IN (SELECT person FROM members)),
+fans AS (SELECT topic, person FROM interest JOIN person ON id = person WHERE birthday >= DATE '{SINCE}'),
+fan_edges AS (SELECT a.topic, src, dst FROM knows JOIN fans a ON a.person = src JOIN fans b ON b.person = dst AND a.topic = b.topic)"""
+#: A walk gets a level limit where UNION alone would not end it.
+_WALK = "walk(source, node, dist) AS (SELECT person, person, 0 FROM {start} UNION SELECT source, dst, dist + 1 FROM walk JOIN {edges} e ON e.src = walk.node WHERE dist < {depth})"
+_DIST = "dist AS (SELECT source, node, min(dist) AS dist FROM walk GROUP BY 1, 2)"
+_INNER = _WALK.format(start="members", edges="inner_edges", depth=9) + ",\n" + _DIST
+_FANS = "spread(topic, person, other) AS (SELECT topic, person, person FROM fans UNION SELECT s.topic, s.person, e.dst FROM spread s JOIN fan_edges e ON e.topic = s.topic AND e.src = s.other),\nsizes AS (SELECT topic, max(n) AS size FROM (SELECT topic, person, count(*) AS n FROM spread GROUP BY 1, 2) GROUP BY 1)"
+
+
+def _sql(body: str, *ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([_BASE.strip(), *ctes]) + "\n" + body
+
+
+def _paths(edges: str, filtered: str) -> str:
+    return _sql(
+        f"SELECT p2, coalesce(dist, -1) AS distance FROM (SELECT DISTINCT src AS p2 FROM {edges} WHERE src % 10 = 0) LEFT JOIN dist ON node = p2",
+        f"start AS (SELECT min(src) AS person FROM {edges})", f"kept AS ({filtered})", _WALK.format(start="start", edges="kept", depth=14), _DIST,
+    )
+
+
+def _similar(k: int, hops: int, place: str, answer: bool = False) -> str:
+    body = """SELECT a, b, CAST((SELECT count(*) FROM interest x JOIN interest y ON x.topic = y.topic WHERE x.person = a AND y.person = b) AS BIGINT) AS common
+FROM (SELECT source AS a, node AS b FROM dist WHERE source < node AND node IN (SELECT person FROM tied))"""
+    top = f"SELECT * FROM ({body}) ORDER BY common DESC, a, b LIMIT {k}"
+    return _sql(f"SELECT coalesce(string_agg(a || '|' || b, ' ' ORDER BY common DESC, a, b), '') AS answer FROM ({top})" if answer else top,
+        f"tied AS (SELECT DISTINCT person FROM located WHERE place IN (SELECT descendant FROM closure JOIN place ON id = ancestor WHERE name = '{place}'))", _WALK.format(start="tied", edges="knows", depth=hops), _DIST)
+
+
+_SUMS = "sums AS (SELECT source AS person, count(*) AS r, CAST(sum(dist) AS BIGINT) AS s FROM dist GROUP BY 1)"
+_CLOSE = "CASE WHEN s > 0 THEN round(CAST((r - 1) * (r - 1) AS DOUBLE) / (CAST(n - 1 AS DOUBLE) * s), 9) ELSE 0 END AS centrality"
+_ALL = f"close_ AS (SELECT person, {_CLOSE} FROM sums, (SELECT count(*) AS n FROM members))"
+_SOCIAL = f"close_ AS (SELECT person, {_CLOSE} FROM sums, (SELECT count(DISTINCT src) AS n FROM inner_edges) WHERE r > 1)"
+
+ORACLE_SQL: dict[str, str] = {
+    "knows_edges": _sql("SELECT src, dst FROM knows"),
+    "degree": _sql("SELECT src AS person, count(*) AS degree FROM knows GROUP BY 1"),
+    "sorted_adjacency": _sql("SELECT src AS person, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS friends FROM knows GROUP BY 1"),
+    "reply_counts": _sql("SELECT src, dst, n FROM counts"),
+    "friend_reply_semi": _sql("SELECT src, dst, count(*) AS n FROM replies SEMI JOIN knows USING (src, dst) GROUP BY 1, 2"),
+    "reply_min": _sql("SELECT src, dst, reply_min FROM weights"),
+    "interest_stats": _sql("SELECT topic AS name, count(*) AS persons, CAST(max(birthday) AS VARCHAR) AS youngest FROM interest JOIN person ON id = person GROUP BY 1"),
+    "tag_lookup": _sql("SELECT p_partkey AS forum FROM parts WHERE topic = (SELECT min(topic) FROM parts)"),
+    "place_closure": _sql("SELECT ancestor, descendant FROM closure"),
+    "persons_in_place": _sql("SELECT DISTINCT person FROM located WHERE place IN (SELECT descendant FROM closure JOIN place ON id = ancestor WHERE name = 'ASIA')"),
+    "forum_members_of_tag": _sql("SELECT person FROM members"),
+    "induced_subgraph": _sql("SELECT src, dst FROM inner_edges"),
+    "components": _sql("SELECT source AS node, min(node) AS comp FROM dist GROUP BY 1", _INNER),
+    "largest_component_per_tag": _sql("SELECT topic AS name, size FROM sizes", _FANS),
+    "bfs_levels": _sql("SELECT node, dist FROM dist", "start AS (SELECT min(src) AS person FROM knows)", _WALK.format(start="start", edges="knows", depth=9), _DIST),
+    "reach_within_h": _sql("SELECT source, node, dist FROM dist", "tied AS (SELECT DISTINCT person FROM located WHERE place IN (SELECT id FROM place WHERE name = 'JAPAN'))", _WALK.format(start="tied", edges="knows", depth=2), _DIST),
+    "common_interest_count": _sql("SELECT src AS a, dst AS b, count(y.topic) AS common FROM knows LEFT JOIN interest x ON x.person = src LEFT JOIN interest y ON y.person = dst AND y.topic = x.topic WHERE src < dst GROUP BY 1, 2"),
+    "distance_sum": _sql("SELECT person, r, s FROM sums", _INNER, _SUMS),
+    "closeness": _sql("SELECT person, centrality FROM close_", _INNER, _SUMS, _ALL),
+    "two_hop_neighbours": _sql("SELECT DISTINCT a.src AS person, b.dst AS other FROM inner_edges a JOIN inner_edges b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM inner_edges e WHERE e.src = a.src AND e.dst = b.dst)"),
+    "depth_limited_bound": _sql("SELECT source AS person, CAST(sum(least(dist, 3)) AS BIGINT) AS bound FROM dist GROUP BY 1", _INNER),
+    "q1_path_nofilter": _paths("knows", "SELECT src, dst FROM knows"),
+    "q1_path_x0": _paths("talk", "SELECT src, dst FROM weights WHERE reply_min > 0"),
+    "q1_path_x1": _paths("talk", "SELECT src, dst FROM weights WHERE reply_min > 1"),
+    "q2_topk": _sql("SELECT topic AS name, size FROM sizes ORDER BY size DESC, name LIMIT 8", _FANS),
+    "q2_topk_pad": _sql("SELECT DISTINCT parts.topic AS name, coalesce(size, 0) AS size FROM parts LEFT JOIN sizes USING (topic) ORDER BY size DESC, name LIMIT 200", _FANS).replace(SINCE, "1998-01-01"),
+    "q2_answer": _sql("SELECT coalesce(string_agg(name, ' ' ORDER BY size DESC, name), '') AS answer FROM (SELECT topic AS name, size FROM sizes ORDER BY size DESC, name LIMIT 5)", _FANS),
+    "q3_nation_h1": _similar(20, 1, "JAPAN"),
+    "q3_nation_h2": _similar(20, 2, "FRANCE"),
+    "q3_region_h1": _similar(20, 1, "EUROPE"),
+    "q3_unknown_place": _similar(5, 2, "Nowhere"),
+    "q3_answer": _similar(5, 1, "JAPAN", answer=True),
+    "q4_topk": _sql("SELECT person, centrality FROM close_ ORDER BY centrality DESC, person LIMIT 10", _INNER, _SUMS, _ALL),
+    "q4_drop_isolated": _sql("SELECT person, centrality FROM close_ ORDER BY centrality DESC, person LIMIT 10", _INNER, _SUMS, _SOCIAL),
+    "query_text_parse": _sql("SELECT DISTINCT 4 AS kind, 3 AS k, topic AS name FROM parts"),
+    "answer_parse": _sql("SELECT DISTINCT topic AS answer FROM parts"),
+}
+
+
+def _query(plan: Callable[[Network], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: plan(read_star_schema(spark, sf_dir))
+
+
+QUERIES = {name: _query(plan) for name, plan in PLANS.items()}
