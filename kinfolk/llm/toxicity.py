@@ -23,6 +23,8 @@ from .common import fold_of, pieces
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+#: Blocks read together, best bounds first.
+AT_ONCE = 8
 COUNTED = 300_000
 
 
@@ -67,19 +69,22 @@ class Index:
         t, x = self.vector(counts)
         bounds = x @ self.maxima[t]
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1] - 1e-12:
+        order = np.argsort(-bounds, kind="stable")
+        for first in range(0, len(order), AT_ONCE):
+            blocks = order[first : first + AT_ONCE]
+            blocks = blocks[(bounds[blocks] > 0) & ((len(best) < k) | (bounds[blocks] >= (best[-1] if len(best) else 0) - 1e-12))]
+            if not len(blocks):
                 break
-            scores = np.zeros(BLOCK)
-            for term, weight in zip(t, x, strict=True):
-                lo, hi = self.starts[term * (self.blocks + 1) + b], self.starts[term * (self.blocks + 1) + b + 1]
-                scores[self.docs[lo:hi] - b * BLOCK] += weight * self.weights[lo:hi]
-            some = np.flatnonzero(scores > 0)
-            at, cosines = np.concatenate([best_at, some + b * BLOCK]), np.concatenate([best, scores[some]])
+            cells = (t[:, None] * (self.blocks + 1) + blocks).ravel()
+            lo, n = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
+            posting = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            docs, place = np.unique(self.docs[posting], return_inverse=True)
+            cosines = np.bincount(place, np.repeat(np.repeat(x, len(blocks)), n) * self.weights[posting], len(docs))
             if skip is not None:
-                at, cosines = at[self.doc_ids[at] != skip], cosines[self.doc_ids[at] != skip]
-            order = np.lexsort((at, -cosines))[:k]
-            best_at, best = at[order], cosines[order]
+                docs, cosines = docs[self.doc_ids[docs] != skip], cosines[self.doc_ids[docs] != skip]
+            at, cosines = np.concatenate([best_at, docs]), np.concatenate([best, cosines])
+            top = np.lexsort((at, -cosines))[:k]
+            best_at, best = at[top], cosines[top]
         return best_at, best
 
     def vote(self, counts: dict[str, int], k: int, skip: int | None = None) -> tuple[float | None, list[int]]:
