@@ -66,7 +66,7 @@ PLANS: dict[str, Callable[[Network], DataFrame]] = {
     "components": lambda net: (lambda m: graph.components(graph.induced(net.knows, m), m))(_members(net)),
     "largest_component_per_tag": lambda net: _named(net, social.interest_ranges(net, SINCE)),
     "bfs_levels": lambda net: graph.reach(net.knows, net.knows.agg(F.min("src").alias("person"))).select("node", "dist"),
-    "reach_within_h": lambda net: graph.reach(net.knows, social.persons_in_place(net, "JAPAN"), 2),
+    "reach_within_h": lambda net: graph.reach(net.knows, social.persons_in_place(net, "NATION_3"), 2),
     "common_interest_count": lambda net: graph.common_interests(net.knows.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")), net.interest),
     "distance_sum": lambda net: (lambda m: graph.distance_sums(graph.induced(net.knows, m), m))(_members(net)),
     "closeness": lambda net: _rounded(social.centralities(net, first_topic(net))),
@@ -79,11 +79,11 @@ PLANS: dict[str, Callable[[Network], DataFrame]] = {
     "q2_topk": lambda net: social.top_interests(net, 8, SINCE),
     "q2_topk_pad": lambda net: social.top_interests(net, 200, "1998-01-01", include_empty=True),
     "q2_answer": lambda net: text.joined(social.top_interests(net, 5, SINCE), F.col("name"), -F.col("size"), F.col("name")),
-    "q3_nation_h1": lambda net: social.similar_pairs(net, 20, 1, "JAPAN"),
-    "q3_nation_h2": lambda net: social.similar_pairs(net, 20, 2, "FRANCE"),
+    "q3_nation_h1": lambda net: social.similar_pairs(net, 20, 1, "NATION_3"),
+    "q3_nation_h2": lambda net: social.similar_pairs(net, 20, 2, "NATION_7"),
     "q3_region_h1": lambda net: social.similar_pairs(net, 20, 1, "EUROPE"),
     "q3_unknown_place": lambda net: social.similar_pairs(net, 5, 2, "Nowhere"),
-    "q3_answer": lambda net: text.joined(social.similar_pairs(net, 5, 1, "JAPAN"), F.concat_ws("|", "a", "b"), -F.col("common"), F.col("a"), F.col("b")),
+    "q3_answer": lambda net: text.joined(social.similar_pairs(net, 5, 1, "NATION_3"), F.concat_ws("|", "a", "b"), -F.col("common"), F.col("a"), F.col("b")),
     "q4_topk": lambda net: _rounded(social.top_central(net, 10, first_topic(net))),
     "q4_drop_isolated": lambda net: _rounded(social.top_central(net, 10, first_topic(net), drop_isolated=True)),
     "query_text_parse": lambda net: text.parsed(net.tag.select(F.lit(0).cast("long").alias("query_no"), F.concat(F.lit("query4(3, "), "name", F.lit(")")).alias("value"))).select("kind", "k", "name"),
@@ -158,7 +158,7 @@ ORACLE_SQL: dict[str, str] = {
     "components": _sql("SELECT source AS node, min(node) AS comp FROM dist GROUP BY 1", _INNER),
     "largest_component_per_tag": _sql("SELECT topic AS name, size FROM sizes", _FANS),
     "bfs_levels": _sql("SELECT node, dist FROM dist", "start AS (SELECT min(src) AS person FROM knows)", _WALK.format(start="start", edges="knows", depth=9), _DIST),
-    "reach_within_h": _sql("SELECT source, node, dist FROM dist", "tied AS (SELECT DISTINCT person FROM located WHERE place IN (SELECT id FROM place WHERE name = 'JAPAN'))", _WALK.format(start="tied", edges="knows", depth=2), _DIST),
+    "reach_within_h": _sql("SELECT source, node, dist FROM dist", "tied AS (SELECT DISTINCT person FROM located WHERE place IN (SELECT id FROM place WHERE name = 'NATION_3'))", _WALK.format(start="tied", edges="knows", depth=2), _DIST),
     "common_interest_count": _sql("SELECT src AS a, dst AS b, count(y.topic) AS common FROM knows LEFT JOIN interest x ON x.person = src LEFT JOIN interest y ON y.person = dst AND y.topic = x.topic WHERE src < dst GROUP BY 1, 2"),
     "distance_sum": _sql("SELECT person, r, s FROM sums", _INNER, _SUMS),
     "closeness": _sql("SELECT person, centrality FROM close_", _INNER, _SUMS, _ALL),
@@ -170,11 +170,11 @@ ORACLE_SQL: dict[str, str] = {
     "q2_topk": _sql("SELECT topic AS name, size FROM sizes ORDER BY size DESC, name LIMIT 8", _FANS),
     "q2_topk_pad": _sql("SELECT DISTINCT parts.topic AS name, coalesce(size, 0) AS size FROM parts LEFT JOIN sizes USING (topic) ORDER BY size DESC, name LIMIT 200", _FANS).replace(SINCE, "1998-01-01"),
     "q2_answer": _sql("SELECT coalesce(string_agg(name, ' ' ORDER BY size DESC, name), '') AS answer FROM (SELECT topic AS name, size FROM sizes ORDER BY size DESC, name LIMIT 5)", _FANS),
-    "q3_nation_h1": _similar(20, 1, "JAPAN"),
-    "q3_nation_h2": _similar(20, 2, "FRANCE"),
+    "q3_nation_h1": _similar(20, 1, "NATION_3"),
+    "q3_nation_h2": _similar(20, 2, "NATION_7"),
     "q3_region_h1": _similar(20, 1, "EUROPE"),
     "q3_unknown_place": _similar(5, 2, "Nowhere"),
-    "q3_answer": _similar(5, 1, "JAPAN", answer=True),
+    "q3_answer": _similar(5, 1, "NATION_3", answer=True),
     "q4_topk": _sql("SELECT person, centrality FROM close_ ORDER BY centrality DESC, person LIMIT 10", _INNER, _SUMS, _ALL),
     "q4_drop_isolated": _sql("SELECT person, centrality FROM close_ ORDER BY centrality DESC, person LIMIT 10", _INNER, _SUMS, _SOCIAL),
     "query_text_parse": _sql("SELECT DISTINCT 4 AS kind, 3 AS k, topic AS name FROM parts"),
