@@ -102,8 +102,8 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
         if not open_.any():
             break
         weight = np.where(open_, np.exp(-(covered - covered.min()) / epsilon), 0.0)
-        # the price of a piece: its size, tilted to lengths that are behind
-        config = knapsack(lengths * (1.0 + weight) * open_, lengths, capacity)
+        # the price of a piece: more than its size for large ones, which small ones must be left to fill up; tilted to lengths that are behind
+        config = knapsack(lengths**1.25 * (1.0 + 0.25 * weight) * open_, lengths, capacity)
         some = config > 0
         if not some.any():
             break
