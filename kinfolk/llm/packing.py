@@ -27,7 +27,7 @@ from .common import pieces, save
 #: Chunks of text whose ids are remembered by a Python worker; its memory is bounded by forgetting all when they are more.
 REMEMBERED = 150_000
 #: Rows aimed at in a (length, salt) group.
-SALT_ROWS = 2000
+SALT_ROWS = 200
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -184,8 +184,8 @@ def assigned(rows: DataFrame, capacity: int = 2048, rounds: int = 4096) -> DataF
     shared = spark.sparkContext.broadcast((lengths, table))
 
     # ranks within a length: salts deal its pieces out, and counts of (length, salt) say where each salt starts
-    salts = max(1, -(-int(counts.max(initial=1)) // SALT_ROWS))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salts_of = spark.createDataFrame([(n, -(-c // SALT_ROWS)) for n, c in histogram] or [(0, 1)], "length long, _salts long")
+    salted = rows.join(F.broadcast(salts_of), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts")).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = save(sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
