@@ -81,3 +81,19 @@ def test_components_of_a_long_chain(spark):
     both = edges.union(edges.select("dst", "src"))
     nodes = spark.range(62).select(F.col("id").alias("person"))
     assert {(r.comp, r["count"]) for r in graph.components(both, nodes).groupBy("comp").count().collect()} == {(0, 61), (61, 1)}
+
+
+def test_answers_come_in_input_order(spark, net):
+    from kinfolk import cli
+
+    lines = ["query4(2, Alpha)", "query1(0, 4, -1)", "query3(3, 2, China)", "query2(2, 1980-01-02)", "query1(0, 3, 1)"]
+    asked = text.parsed(spark.createDataFrame(list(enumerate(lines)), "query_no long, value string"))
+    assert cli.answers(net, asked) == ["2 0", "3", "0|2 0|1 1|2", "Alpha Beta", "-1"]
+
+
+def test_both_ways_to_sum_distances_agree(spark):
+    rows = spark.createDataFrame([(i, (i * i + 3 * i) % 150) for i in range(140)] + [(i, i + 1) for i in range(0, 100, 3)], "src long, dst long").where("src <> dst")
+    edges = rows.union(rows.select("dst", "src")).distinct()
+    nodes = spark.range(155).select(F.col("id").alias("person"))
+    a, b = (sorted(map(tuple, graph.distance_sums(edges, nodes, n).collect())) for n in (10_000, 0))
+    assert a == b and len(a) == 155
