@@ -36,7 +36,9 @@ from .common import mix64, pieces, save, shuffle_partitions, word_hashes
 PLACE, SIZE_SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Shingles counted together when looking for frequent ones, the local count that is reported, the length of the hint list.
 CHUNK, REPORT_DF, HINT_DF, HINTS = 1 << 21, 4, 32, 1 << 16
-MIN_BITS, MAX_BITS, BITS_PER_SHINGLE = 128, 8192, 4
+MIN_BITS, MAX_BITS, BITS_PER_SHINGLE = 128, 1 << 16, 4
+#: Bits of the filter of wanted ids that goes to all executors.
+FILTER_BITS = 1 << 21
 FANOUT = 8
 
 
@@ -131,12 +133,42 @@ def profiles(docs: DataFrame, n: int, threshold_pct: int, hints: np.ndarray) ->
     return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n_shingles long, k1 long, k2 long, prefix array<long>, bitmap binary")
 
 
-def verified(edges: DataFrame, docs: DataFrame, n: int, threshold_pct: int) -> DataFrame:
-    """The rows (a, b) of `edges` that link, compared shingle by shingle; reads the texts of the documents named in them only."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit map of fixed size that has the hash of every id (column doc_id)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_slots(batch.column(0))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in ids.select("doc_id").coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row.bits, np.uint8)
+    return np.unpackbits(bits).astype(bool)
+
+
+def _slots(ids: pa.Array) -> np.ndarray:
+    return (mix64(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def shingle_table(edges: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, shingles (sorted hashes) of the documents named in `edges`. A filter of fixed size spares the others the hashing; no text leaves the scan."""
+    need = save(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(need))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())], ["doc_id", "shingles"])
+        for batch in batches:
+            some = batch.filter(pa.array(shared.value[_slots(batch.column("doc_id"))]))
+            for part, texts in pieces([some]):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())], ["doc_id", "shingles"])
+
+    rows = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(hashed, "doc_id long, shingles binary")
+    return save(rows.join(need, "doc_id", "left_semi"))
+
+
+def verified(edges: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
+    """The rows (a, b) of `edges` that link, compared shingle by shingle."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,12 +181,17 @@ def verified(edges: DataFrame, docs: DataFrame, n: int, threshold_pct: int) -> D
                 keep.append(100 * shared >= threshold_pct * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    need = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = save(docs.select("doc_id", "text").join(save(need), "doc_id", "left_semi").mapInArrow(hashed, "doc_id long, shingles binary"))
     pairs = edges.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     return save(pairs.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"))
 
 
+def across(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """The edges whose ends `found` (node, label) leaves in different components."""
+    of = found.select("node", "label")
+    ends = edges.join(of.withColumnsRenamed({"node": "a", "label": "la"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "label": "lb"}), "b", "left")
+    return ends.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
 def star_groups(prefixes: DataFrame, n_entries: int) -> DataFrame:
     """Groups (grp, star) of stars that share a prefix shingle; groups of the same stars come once."""
     spark = prefixes.sparkSession
@@ -249,6 +286,14 @@ class SignatureTree:
         return i, j
 
 
+def may_link(x: bytes, y: bytes, n: int, m: int, threshold_pct: int) -> bool:
+    """Whether sets of n and m shingles with these bitmaps, folded to the narrower one's width, can overlap enough."""
+    width = min(len(x), len(y))
+    a, b = (np.bitwise_or.reduce(np.frombuffer(z, np.uint64).reshape(-1, width // 8), axis=0) for z in (x, y))
+    extra = min(n - int(np.bitwise_count(a).sum()), m - int(np.bitwise_count(b).sum()))
+    return (100 + threshold_pct) * min(int(np.bitwise_count(a & b).sum()) + extra, n, m) >= threshold_pct * (n + m)
+
+
 def tree_pairs(groups: DataFrame, leaves: DataFrame, threshold_pct: int) -> DataFrame:
     """Pairs (a, b) of sets from different stars of one group that the group's signature tree does not rule out."""
 
@@ -259,7 +304,10 @@ def tree_pairs(groups: DataFrame, leaves: DataFrame, threshold_pct: int) -> Data
             star, rep, size = star[order], rep[order], size[order]
             bitmaps = rows.column("bitmap").to_pylist()
             i, j = SignatureTree(size, [bitmaps[k] for k in order]).pairs(threshold_pct)
-            i, j = i[star[i] != star[j]], j[star[i] != star[j]]
+            # the tree has the narrowest bitmaps' width; its pairs are held against the widths of their own
+            bitmaps = [bitmaps[k] for k in order]
+            good = [bool(star[x] != star[y]) and may_link(bitmaps[x], bitmaps[y], int(size[x]), int(size[y]), threshold_pct) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            i, j = i[good], j[good]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["a", "b"])
 
         held: list[pa.Table] = []
@@ -306,27 +354,36 @@ def components(docs: DataFrame, n: int = 5, threshold_pct: int = 80) -> DataFram
     classes = save(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")))
     copied = save(classes.where("n_copies > 1"))
     slim = rows.select("doc_id", "n_shingles", "k1", "k2", F.get("prefix", F.lit(0)).alias("first"))
-    members = slim.join(copied, ["k1", "k2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+    members = slim.join(copied, ["k1", "k2"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     members = save(members.select("doc_id", "n_shingles", "rep", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "first"))
     reps = members.where("doc_id = rep and n_shingles > 0").select("rep", "first").dropDuplicates(["rep"])
 
     # stars around the smallest class of each first shingle
     hubs = save(reps.groupBy("first").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").select("first", "a"))
-    stars = verified(save(reps.join(hubs, "first").where("rep <> a").select("a", F.col("rep").alias("b"))), docs, n, threshold_pct)
+    spokes = save(reps.join(hubs, "first").where("rep <> a").select("a", F.col("rep").alias("b")))
+    stars = verified(spokes, shingle_table(spokes, docs, n), threshold_pct)
 
     # stars that share a prefix shingle meet in groups
-    kept = rows.join(save(members.where("doc_id <> rep").select("doc_id").distinct()), "doc_id", "left_anti").where("n_shingles > 0 and doc_id is not null")
-    leaves = save(kept.join(stars.select(F.col("b").alias("doc_id"), F.col("a").alias("star")).dropDuplicates(["doc_id"]), "doc_id", "left").select(F.col("doc_id").alias("rep"), F.coalesce("star", "doc_id").alias("star"), "n_shingles", "bitmap", "prefix"))
-    entries = leaves.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    groups = save(star_groups(leaves, entries))
-    links = verified(save(tree_pairs(groups, leaves.drop("prefix"), threshold_pct)), docs, n, threshold_pct)
-
-    star_of = stars.select(F.col("b").alias("rep"), F.col("a").alias("star")).dropDuplicates(["rep"])
-    ends = links.join(star_of.withColumnsRenamed({"rep": "a", "star": "sa"}), "a", "left").join(star_of.withColumnsRenamed({"rep": "b", "star": "sb"}), "b", "left")
-    found = connected(ends.select(F.coalesce("sa", "a").alias("a"), F.coalesce("sb", "b").alias("b")))
-    out = members.join(star_of, "rep", "left").withColumn("star", F.coalesce("star", "rep"))
-    out = out.join(found.select(F.col("node").alias("star"), "label"), "star", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "star").alias("component_id"), F.col("rep").alias("class_id"), "n_copies")
+    copies = save(members.where("doc_id <> rep").select("doc_id").distinct())
+    spoke = save(stars.select(F.col("b").alias("doc_id"), F.col("a").alias("star")).dropDuplicates(["doc_id"]))
+
+    def starred(*columns: str) -> DataFrame:
+        kept = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", *columns).join(copies, "doc_id", "left_anti")
+        return kept.join(spoke, "doc_id", "left").select(F.col("doc_id").alias("rep"), F.coalesce("star", "doc_id").alias("star"), *columns)
+
+    entries = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    groups = save(star_groups(starred("prefix"), entries * (100 - threshold_pct) // 100))
+    pairs = save(tree_pairs(groups, starred("n_shingles", "bitmap"), threshold_pct))
+    sets = shingle_table(pairs, docs, n)
+
+    # one pair for each later end first: they connect most, and pairs inside a component need no comparison
+    nearest = save(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    known = stars.select("a", "b").union(verified(nearest, sets, threshold_pct))
+    rest = save(across(pairs, connected(known)))
+    found = connected(known.union(verified(rest, sets, threshold_pct)))
+
+    out = members.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"), F.col("rep").alias("class_id"), "n_copies")
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold_pct: int = 80) -> DataFrame:
