@@ -1,0 +1 @@
+"""Empty on purpose: all inputs are finite tables, read once."""
