@@ -10,7 +10,6 @@ Cases: a null or empty text has no words; rows with equal or null doc_id are tol
 from __future__ import annotations
 
 import math
-import string
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +32,10 @@ TEMPLATES = {
 }
 #: Words too common to be looked up.
 COMMON = frozenset("a and any are by charge copy free in is nc of or person sa source terms the to use with without 0 2 3 4".split())
-OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Each base phrase and each template holds one of these; texts without any are not split into words.
-ANCHOR = r"(?i)licen|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|rights|permission|redistribution"
+#: What stands between words, once A-Z are lower-cased.
+OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Each base phrase and each key phrase holds one of these; the words of texts without any are counted, then left.
+ANCHORS = ["cc", "license", "permission", "redistribution", "reserved"]
 
 
 def _words(phrase: str) -> list[str]:
@@ -56,14 +56,14 @@ def _places(at: Column, phrase: str) -> Column:
 def scan(docs: DataFrame, rarest: int = 8, least: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best template's share of IDF found; at least 0.5 with a base phrase)."""
     spark = docs.sparkSession
-    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), OTHER, " "))
-    n_words = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + (F.col("plain") != "").cast("int")
-    lower = F.translate("plain", string.ascii_uppercase, string.ascii_lowercase)
-    read = docs.select("doc_id", plain.alias("plain"), F.col("text").rlike(ANCHOR).alias("anchored"))
+    # lower() goes beyond A-Z, but makes no sign a word's part or end, and no other sign but the Kelvin sign (k, which no phrase holds) into a plain letter of ASCII
+    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), OTHER), "")
     vocabulary = sorted({w for t, _ in TEMPLATES.values() for w in _words(t)} - COMMON)
-    padded = F.concat(F.lit(" "), F.lower("plain"), F.lit(" "))
-    holds = F.array_compact(F.array(*(F.when(F.contains(padded, F.lit(f" {w} ")), F.lit(w)) for w in vocabulary)))
-    rows = save(read.select("doc_id", F.monotonically_increasing_id().alias("row"), n_words.cast("long").alias("n_words"), holds.alias("holds"), F.when(F.col("anchored"), F.split(lower, " ")).alias("words")))
+    read = docs.select("doc_id", words.alias("words"))
+    known = read.select("doc_id", "words", F.array_intersect("words", F.lit(sorted({*vocabulary, *ANCHORS}))).alias("known"))
+    holds = F.array_intersect("known", F.lit(vocabulary))
+    anchored = F.arrays_overlap("known", F.lit(ANCHORS))
+    rows = save(known.select("doc_id", F.monotonically_increasing_id().alias("row"), F.size("words").cast("long").alias("n_words"), holds.alias("holds"), F.when(anchored, F.col("words")).alias("words")))
 
     total = rows.count()
     df = rows.select(F.explode("holds").alias("word")).groupBy("word").count()
