@@ -14,8 +14,10 @@ doc_id and piece, and its own place); a null doc_id is kept; no rows give no pie
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,33 +27,58 @@ from pyspark.sql import functions as F
 from .common import pieces, save
 
 #: Chunks of text whose ids are remembered by a Python worker; its memory is bounded by forgetting all when they are more.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
+#: How the tokenizer parts text of ASCII once it is lower-cased; each part has ids of its own.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 #: Rows aimed at in a (length, salt) group.
 SALT_ROWS = 200
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Chunks on which a tokenizer shows whether it parts text so.
+PROBES = ("Word,", "WORDS", "it's", "we'll've", "x\"'s", "a1b22", "(end).", "--x--", "3.14", "don't!", "A_b-C/d", "a\x0bb", "$$$9")
 
 
 class ChunkIds(dict):
-    """Token ids, as little-endian bytes, of text without spaces or line ends: the pre-tokenizer never joins across those."""
+    """Token ids, as little-endian bytes, of text without spaces or line ends: the pre-tokenizer never joins across those.
+
+    Chunks of ASCII are put together from their parts, so that a word is encoded once for all its capitals and marks. Special tokens are looked for
+    before the parting: chunks that may hold one are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: whether PARTS holds for this tokenizer: other vocabularies are encoded chunk by chunk
+        self.parted = all(self._direct(t) == b"".join(map(self._direct, PARTS.findall(t.lower()))) for t in PROBES)
+
+    def _direct(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = PARTS.findall(chunk.lower()) if self.parted and chunk.isascii() and not any(t in chunk for t in self.special) else []
+        if parts and parts != [chunk]:
+            ids = b"".join(map(self.__getitem__, parts))
+        else:
+            ids = self._direct(chunk)
+        self[chunk] = ids
         return ids
 
 
+@lru_cache(maxsize=1)
+def chunk_ids(path: str) -> ChunkIds:
+    """One for each Python worker, kept from task to task."""
+    return ChunkIds(path)
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, its ids."""
     end = np.array([separator], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = ChunkIds(tokenizer_path)
+        ids_of = chunk_ids(tokenizer_path)
         for part, texts in pieces(batches):
             rows: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
