@@ -247,3 +247,19 @@ def test_pipeline(spark):
     for name in ("ngram_jaccard", "secret_scan", "source_mixing"):
         assert stages[name](spark, table, SMALL).columns == table.columns
     assert {"sequence_id", "offset"} <= set(corpus_pipeline.run(spark, SMALL).columns)
+
+
+def test_chunks_put_together_from_parts_have_the_whole_texts_ids():
+    ids = packing.chunk_ids(public_tokenizers.path("word_bpe_49k.json"))
+    assert ids.parted
+    for text in ("Don't", 'x"\'s', "WE'LL've", "a1b22", "--(end).--", "<|endoftext|>x", "a\x0bb", "\x1c\x00", "Élan's", "", "A_b-C/d <|x"):
+        joined = b"".join(map(ids.__getitem__, filter(None, text.split(" "))))
+        assert joined == np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_license_words_beside_capitals_marks_and_signs_beyond_ascii(spark):
+    rows = [(1, "ALL Rights\tReserved."), (2, "éall rights reserved"), (3, None), (4, "...CC-BY..."), (5, "İ K licenses")]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i].n_words for i in range(1, 6)] == [3, 3, 0, 2, 3]
+    assert [found[i].base_labels for i in range(1, 6)] == ["reserved", "", "", "cc-by", ""]
+    assert (found[4].first_word, found[4].last_word, found[3].first_word) == (0, 0, None)
