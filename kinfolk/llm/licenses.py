@@ -1,8 +1,9 @@
-"""Licence scan by a positional index of rare words; DataFrame functions only.
+"""Licence scan by a positional index of the templates' words; DataFrame functions only.
 
 Words are runs of digits, letters and anything beyond ASCII, A-Z lower-cased. Base phrases are counted word by word. The method: the IDF of the
-templates' words over all documents; each file looks up its `rarest` highest-IDF licence words; postings of (template, place) turn a word's place into the
-place where the template would start; places on which enough weight agrees are candidates, and count if all words of the template's key phrase stand there.
+templates' words over all documents; each file looks up every licence word it holds but those of COMMON; postings of (template, place) turn a word's place into
+the place where the template would start; places on which enough weight agrees are candidates, and count if all words of the template's key phrase
+stand there. What else a file holds takes nothing from a template's share.
 
 Cases: a null or empty text has no words; rows with equal or null doc_id are told apart and each scanned; other columns are ignored.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
@@ -53,7 +54,7 @@ def _places(at: Column, phrase: str) -> Column:
     return F.filter(at, lambda i: _stands(F.col("words"), i, phrase))
 
 
-def scan(docs: DataFrame, rarest: int = 8, least: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, least: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best template's share of IDF found; at least 0.5 with a base phrase)."""
     spark = docs.sparkSession
     # lower() goes beyond A-Z, but makes no sign a word's part or end, and no other sign but the Kelvin sign (k, which no phrase holds) into a plain letter of ASCII
@@ -75,9 +76,7 @@ def scan(docs: DataFrame, rarest: int = 8, least: float = 0.6) -> DataFrame:
     found = rows.where("words is not null")
     every_word = sorted({w for t, _ in TEMPLATES.values() for w in _words(t)})
     hits = save(found.select("row", F.posexplode("words").alias("at", "word")).where(F.col("word").isin(every_word)))
-    by_idf = weight.groupBy("word").agg(F.max("idf").alias("idf"))
-    rare = hits.select("row", "word").distinct().join(F.broadcast(by_idf), "word").withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("idf"), "word"))).where(F.col("nth") <= rarest)
-    starts = hits.join(rare.select("row", "word"), ["row", "word"]).join(F.broadcast(weight), "word").select("row", "template", (F.col("at") - F.col("place")).alias("start"), "idf")
+    starts = hits.join(F.broadcast(weight), "word").select("row", "template", (F.col("at") - F.col("place")).alias("start"), "idf")
     whole = weight.groupBy("template").agg(F.sum("idf").alias("all_idf"))
     agreed = starts.groupBy("row", "template", "start").agg(F.sum("idf").alias("idf")).join(F.broadcast(whole), "template").withColumn("share", F.col("idf") / F.col("all_idf")).where(F.col("share") >= least)
     wanted = agreed.join(F.broadcast(keys), "template").select("row", "template", "start", "share", "n_key", (F.col("start") + F.col("place")).alias("at"), "word")
