@@ -4,7 +4,8 @@ Fixed patterns find secrets that say what they are (`assign`, `access`, `hex`).
 characters after a sensitive word is a candidate: it is compressed behind its surroundings with a dictionary of the corpus's own
 identifiers, and reported as `novel` if it costs nearly as many marginal bytes as random characters would.
 
-The dictionary holds the commonest identifiers by lossy counts over all documents; its size is bounded.
+The dictionary holds the commonest identifiers by exact counts over all documents, wherever they stand in the text; its size is bounded.
+What stands only once in the corpus is not common: it would be a secret's own evidence.
 
 Cases: a null or empty text has no spans; a null doc_id is kept; repeated rows are scanned each; other columns are ignored.
 """
@@ -31,9 +32,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 SENSITIVE = re.compile(r"key|secret|token|passw|credential|auth|bearer|private|signature|cookie", re.I | re.A)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,31}")
+#: What may be an identifier: whole runs, as a part of a longer one is none.
+RUN = re.compile(r"\w+")
 KINDS = ("assign", "access", "hex", "novel")
-#: Distinct identifiers counted before a worker reports and forgets, and the local count that it reports.
-COUNTED, REPORTED = 200_000, 8
+#: Distinct words counted before a worker hands its counts on.
+COUNTED = 200_000
 
 
 def identifier_dictionary(docs: DataFrame, max_bytes: int = 1 << 16) -> bytes:
@@ -43,18 +46,19 @@ def identifier_dictionary(docs: DataFrame, max_bytes: int = 1 << 16) -> bytes:
         seen: Counter[str] = Counter()
 
         def told() -> pa.RecordBatch:
-            often = [(w, n) for w, n in seen.items() if n >= REPORTED and IDENTIFIER.fullmatch(w)]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["word", "n"])
+            counts = [(w, n) for w, n in seen.items() if IDENTIFIER.fullmatch(w)]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([n for _, n in counts], pa.int64())], ["word", "n"])
 
         for _, texts in pieces(batches):
             for t in texts:
-                seen.update(t.split())
+                seen.update(RUN.findall(t))
             if len(seen) >= COUNTED:
                 yield told()
                 seen.clear()
         yield told()
 
-    top = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(max_bytes // 4)
+    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(max_bytes // 4)
     size, words = 0, []
     for r in top.toLocalIterator():
         size += len(r.word) + 1
