@@ -10,11 +10,15 @@ How it works, every step exact:
    Shingles that many documents hold come last in that order; the list that says which those are is only a hint, of bounded
    size, and any list gives the same links.
 2. Equal sets form one class. Classes whose first prefix shingle agrees are compared with the smallest of them; those that
-   link form a star. Stars are the roots of the signature trees: copies of copies, however many, collapse here.
-3. Stars that share a prefix shingle are joined in groups. A group's sets make a signature tree: nodes hold the OR of the
-   bitmaps below and the range of set sizes. A dual traversal from the root drops each pair of nodes in which no pair of
-   sets can overlap enough; the pairs of leaves that are left, from different stars, are compared exactly.
-4. Components come from the links between stars, by smallest labels and pointer jumping.
+   link form a star.
+3. Stars that share a prefix shingle are joined in groups. Round by round, each group's stars are compared with one of them,
+   drawn by a hash, and those that link become one family, until few that look alike do: families that share no first
+   shingle collapse here, with as many comparisons a round as the groups have stars.
+4. The sets of a group with more than one family make a signature tree: nodes hold the OR of the bitmaps below, the range of
+   set sizes and of families. A dual traversal from the root drops each pair of nodes of one family, and each in which no pair
+   of sets can overlap enough; the pairs of leaves that are left are compared exactly. Groups of more than BLOCK sets are dealt
+   to tasks by pairs of blocks.
+5. Components come from the links between stars, by smallest labels and pointer jumping.
 
 Cases: a null or wordless text has an empty set and links with nothing; fewer words than a shingle make one shingle of them all;
 rows with a null doc_id keep their size and have a null component; each row of a repeated doc_id is judged by its own text.
@@ -40,6 +44,8 @@ MIN_BITS, MAX_BITS, BITS_PER_SHINGLE = 128, 1 << 16, 4
 #: Bits of the filter of wanted ids that goes to all executors.
 FILTER_BITS = 1 << 21
 FANOUT = 8
+#: Sets of a group that one task takes; a larger group goes to one task for each pair of its blocks.
+BLOCK = 4096
 
 
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
@@ -250,9 +256,12 @@ def star_groups(prefixes: DataFrame, n_entries: int) -> DataFrame:
 
 
 class SignatureTree:
-    """Levels of OR-combined bitmaps (all folded to one width) with the range of sizes and the most shingles beyond distinct bits."""
+    """Levels of OR-combined bitmaps (all folded to one width) with the range of sizes and the most shingles beyond distinct bits.
 
-    def __init__(self, sizes: np.ndarray, bitmaps: list[bytes]):
+    `tags` number the leaves: pairs of leaves with an equal number in any of them are not wanted. Leaves with equal numbers best stand together.
+    """
+
+    def __init__(self, sizes: np.ndarray, bitmaps: list[bytes], tags: tuple[np.ndarray, ...] = ()):
         width = min(len(b) for b in bitmaps)
         leaf = np.zeros((len(sizes), width), np.uint8)
         for i, b in enumerate(bitmaps):
@@ -260,9 +269,11 @@ class SignatureTree:
         leaf = leaf.view(np.uint64)
         extra = sizes - np.bitwise_count(leaf).sum(axis=1).astype(np.int64)
         self.levels = [(leaf, sizes, sizes, extra)]
+        self.tags = [[(t, t) for t in tags]]
         while len(self.levels[-1][1]) > 1:
             bits, low, high, extra = self.levels[-1]
             at = np.arange(0, len(low), FANOUT)
+            self.tags.append([(np.minimum.reduceat(a, at), np.maximum.reduceat(b, at)) for a, b in self.tags[-1]])
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)))
 
     def pairs(self, threshold_pct: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,6 +286,9 @@ class SignatureTree:
                 i, j = (x.ravel() for x in np.broadcast_arrays(i[:, None, None] * FANOUT + child[:, None], j[:, None, None] * FANOUT + child))
                 real = (i < len(low)) & (j < len(low)) & (i <= j if depth else i < j)
                 i, j = i[real], j[real]
+            for first, last in self.tags[depth]:
+                other = (first[i] != last[i]) | (first[j] != last[j]) | (first[i] != first[j])
+                i, j = i[other], j[other]
             keep = np.zeros(len(i), bool)
             for a in range(0, len(i), 1 << 14):
                 x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
@@ -294,19 +308,64 @@ def may_link(x: bytes, y: bytes, n: int, m: int, threshold_pct: int) -> bool:
     return (100 + threshold_pct) * min(int(np.bitwise_count(a & b).sum()) + extra, n, m) >= threshold_pct * (n + m)
 
 
+def likely(pairs: DataFrame, leaves: DataFrame, threshold_pct: int) -> DataFrame:
+    """The rows (a, b) of `pairs` whose bitmaps do not rule a link out."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([may_link(*r, threshold_pct) for r in rows], pa.bool_()))
+
+    of = leaves.select("rep", "n_shingles", "bitmap")
+    ends = pairs.join(of.toDF("a", "n", "x"), "a").join(of.toDF("b", "m", "y"), "b")
+    near = ends.where((100 * F.col("n") >= threshold_pct * F.col("m")) & (100 * F.col("m") >= threshold_pct * F.col("n")))
+    return save(near.select("a", "b", "x", "y", "n", "m").mapInArrow(held, "a long, b long").distinct())
+
+
+def in_families(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """grp, star, family (the label that `found` gives the star), without the groups of one family."""
+    named = groups.join(found.select(F.col("node").alias("star"), "label"), "star", "left").select("grp", "star", F.coalesce("label", "star").alias("family"))
+    several = named.groupBy("grp").agg((F.min("family") < F.max("family")).alias("several")).where("several")
+    return save(named.join(several, "grp", "left_semi"))
+
+
+def families(groups: DataFrame, stars: DataFrame, leaves: DataFrame, docs: DataFrame, n: int, threshold_pct: int) -> tuple[DataFrame, DataFrame]:
+    """The groups (grp, star, family) that have several families, and links (a, b) that make the families."""
+    links, turn = stars.select("a", "b"), 0
+    left = in_families(groups, connected(links))
+    while True:
+        drawn = F.min_by(F.struct("star", "family"), F.struct(F.xxhash64(F.lit(turn), "star"), "star"))
+        hubs = left.groupBy("grp").agg(drawn.alias("hub"))
+        pairs = left.join(hubs, "grp").where("family <> hub.family").select(F.least("star", "hub.star").alias("a"), F.greatest("star", "hub.star").alias("b")).distinct()
+        near = likely(pairs, leaves, threshold_pct)
+        compared = near.count()
+        if not compared:
+            return left, links
+        fresh = verified(near, shingle_table(near, docs, n), threshold_pct)
+        linked = fresh.count()
+        if linked:
+            links = save(links.union(fresh))
+            left = in_families(left.select("grp", "star"), connected(links))
+        if 10 * linked < compared:
+            return left, links
+        turn += 1
+
+
 def tree_pairs(groups: DataFrame, leaves: DataFrame, threshold_pct: int) -> DataFrame:
-    """Pairs (a, b) of sets from different stars of one group that the group's signature tree does not rule out."""
+    """Pairs (a, b) of sets from different families of one group that the group's signature tree does not rule out."""
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs_of(rows: pa.Table) -> pa.RecordBatch:
-            star, rep, size = (rows.column(c).to_numpy() for c in ("star", "rep", "n_shingles"))
-            order = np.lexsort((rep, star, size))
-            star, rep, size = star[order], rep[order], size[order]
-            bitmaps = rows.column("bitmap").to_pylist()
-            i, j = SignatureTree(size, [bitmaps[k] for k in order]).pairs(threshold_pct)
+            family, rep, size, block, other = (rows.column(c).to_numpy() for c in ("family", "rep", "n_shingles", "block", "other"))
+            order = np.lexsort((rep, size, family, block))
+            family, rep, size, block = family[order], rep[order], size[order], block[order]
+            column = rows.column("bitmap")
+            bitmaps = [column[k].as_py() for k in order.tolist()]
+            # in a task of two blocks, the pairs inside either are left to that block's own task
+            tags = (family, block) if (block != other[order]).any() else (family,)
+            i, j = SignatureTree(size, bitmaps, tags).pairs(threshold_pct)
             # the tree has the narrowest bitmaps' width; its pairs are held against the widths of their own
-            bitmaps = [bitmaps[k] for k in order]
-            good = [bool(star[x] != star[y]) and may_link(bitmaps[x], bitmaps[y], int(size[x]), int(size[y]), threshold_pct) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            good = [may_link(bitmaps[x], bitmaps[y], int(size[x]), int(size[y]), threshold_pct) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
             i, j = i[good], j[good]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["a", "b"])
 
@@ -326,7 +385,12 @@ def tree_pairs(groups: DataFrame, leaves: DataFrame, threshold_pct: int) -> Data
         if held:
             yield pairs_of(pa.concat_tables(held))
 
-    rows = groups.join(leaves, "star").select("grp", "star", "rep", "n_shingles", "bitmap")
+    held_by = leaves.groupBy("star").agg(F.count("*").alias("n"))
+    blocks = groups.join(held_by, "star").groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    rows = groups.join(save(blocks), "grp").join(leaves, "star")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    task = F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other"))
+    rows = rows.select(F.when(F.col("blocks") == 1, F.col("grp")).otherwise(task).alias("grp"), "family", "rep", "n_shingles", "bitmap", "block", "other")
     dealt = rows.repartition(shuffle_partitions(groups.sparkSession), "grp").sortWithinPartitions("grp")
     return dealt.mapInArrow(traverse, "a long, b long").where("a <> b").distinct()
 
@@ -373,12 +437,14 @@ def components(docs: DataFrame, n: int = 5, threshold_pct: int = 80) -> DataFram
 
     entries = rows.agg(F.sum("n_shingles")).first()[0] or 0
     groups = save(star_groups(starred("prefix"), entries * (100 - threshold_pct) // 100))
-    pairs = save(tree_pairs(groups, starred("n_shingles", "bitmap"), threshold_pct))
+    leaves = starred("n_shingles", "bitmap")
+    groups, links = families(groups, stars, leaves, docs, n, threshold_pct)
+    pairs = save(tree_pairs(groups, leaves, threshold_pct))
     sets = shingle_table(pairs, docs, n)
 
     # one pair for each later end first: they connect most, and pairs inside a component need no comparison
     nearest = save(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    known = stars.select("a", "b").union(verified(nearest, sets, threshold_pct))
+    known = links.union(verified(nearest, sets, threshold_pct))
     rest = save(across(pairs, connected(known)))
     found = connected(known.union(verified(rest, sets, threshold_pct)))
 
