@@ -46,13 +46,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query's best alignment (fewest bit errors, then most votes) and how many rows it aligns with."""
+    """Every alignment of each query, and a row of nulls for a query without any."""
     prints = save(chroma.fingerprints(chroma.sonified(spark, sf_dir)))
     queries = prints.where(F.col("vec_id") % 100 == 0)
-    best = F.min(F.struct("bit_error", (-F.col("votes")).alias("less"), "vec_id", "shift"))
-    found = chroma.align(prints, queries).groupBy("query_id").agg(F.count("*").alias("n_aligned"), best.alias("b"))
-    out = queries.select(F.col("vec_id").alias("query_id"), (F.length("fingerprint") / 4).cast("int").alias("n_integers")).join(found, "query_id", "left")
-    return out.select("query_id", "n_integers", F.coalesce("n_aligned", F.lit(0)).alias("n_aligned"), F.col("b.vec_id").alias("vec_id"), F.col("b.shift").alias("shift"), (-F.col("b.less")).alias("votes"), F.col("b.bit_error").alias("bit_error"))
+    found = save(chroma.align(prints, queries))
+    alone = queries.select(F.col("vec_id").alias("query_id")).join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
