@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,21 +26,55 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: Folders made for sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, local runs)."""
+    """The shared folder named in spark.checkpoint.dir. Where that is unset, a temporary one, if driver and executors are one process; else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='kinfolk-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^,]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        folder = _own.get(context.applicationId) or _own.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='kinfolk-')}")
     return folder.rstrip("/")
 
 
 def save(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, and survives the loss of executors."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/kinfolk-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Frames:
+    """Saved frames of one operator that go when it is done; what it returns is kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Frames:
+        return self
+
+    def save(self, df: DataFrame) -> DataFrame:
+        saved, path = _written(df)
+        self.paths.append(path)
+        return saved
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return save(df)
+
+    def __exit__(self, *_) -> None:
+        jvm = self.spark._jvm
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession, rows: int = 0, per_partition: int = 1) -> int:

@@ -3,26 +3,26 @@
 Two documents link when the Jaccard similarity of their sets of distinct word shingles reaches `threshold_pct` per cent;
 `components` gives each document the smallest doc_id it reaches by links.
 
-How it works, every step exact:
-
-1. Each text becomes the sorted set of its shingle hashes, its bitmap (shingles hashed to bits, at least four bits each) and
-   its prefix: the n - ceil(t n) + 1 shingles that come first in one global order, of which any two linked sets share one.
-   Shingles that many documents hold come last in that order; the list that says which those are is only a hint, of bounded
-   size, and any list gives the same links.
-2. Equal sets form one class. Classes whose first prefix shingle agrees are compared with the smallest of them; those that
-   link form a star.
-3. Stars that share a prefix shingle are joined in groups. Round by round, each group's stars are compared with one of them,
-   drawn by a hash, and those that link become one family, until few that look alike do: families that share no first
-   shingle collapse here, with as many comparisons a round as the groups have stars.
-4. The sets of a group with more than one family make a signature tree: nodes hold the OR of the bitmaps below, the range of
-   set sizes and of families. A dual traversal from the root drops each pair of nodes of one family, and each in which no pair
-   of sets can overlap enough; the pairs of leaves that are left are compared exactly. Groups of more than BLOCK sets are dealt
-   to tasks by pairs of blocks.
-5. Components come from the links between stars, by smallest labels and pointer jumping.
-
-Cases: a null or wordless text has an empty set and links with nothing; fewer words than a shingle make one shingle of them all;
-rows with a null doc_id keep their size and have a null component; each row of a repeated doc_id is judged by its own text.
-Other columns are ignored. Hashes have 64 bits; a chance collision inside one pair of documents could change a count by one.
+How it works, no link being lost at any step:
+
+1. Each text becomes the sorted set of its shingle hashes. From it come the class (a hash of the set: equal sets are one class), the signature (the
+   distinct places of its shingles among 65,536 bits), and the prefix: the shingles that come first in one global order, of which linked sets share
+   one. Shingles that many documents hold come last in that order; the list that says which those are is only a hint, of bounded size, and any list
+   gives the same links.
+2. Families: each class is compared with two hubs of each of its MINHASHES buckets, the smallest class and the one richest in frequent shingles (most
+   like the text that others are copies of). A class meets at most 2 * MINHASHES others here, however many copies there are.
+3. Groups: classes that share a prefix shingle, cut where sizes lie too far apart. Groups of the same members are one; large groups that hold nearly
+   the same are put together. Groups of one family are left out.
+4. Each group makes signature trees, one for each range of sizes: nodes hold the OR of the bitmaps below, the range of set sizes and of families. A dual traversal
+   drops each pair of nodes of one family, and each in which no pair of sets can overlap enough; the pairs of leaves left are compared by their
+   signatures. Of pairs that may link, those that connect two families not yet connected are handed on, so that a group gives fewer pairs than
+   it has families. Groups of more than BLOCK sets are dealt to tasks by pairs of blocks; the largest family's blocks never meet each other.
+5. Pairs are compared shingle by shingle. Where one does not link, others it stood for may: what is left of those groups is searched again, all pairs handed on.
+6. Components come from the links between classes, by smallest labels and pointer jumping.
+
+Cases: a null or wordless text has an empty set and links with nothing; fewer words than a shingle make one shingle of them all; rows with a null doc_id are
+linked as others are (a component of such rows alone has a null component_id); each row of a repeated doc_id is judged by its own text; no rows give no rows.
+Other columns only tell rows apart in `keep_one`. Shingles and classes are told apart by 64 bits: among 10^9 different texts, a false match is expected to come up 0.03 times.
 """
 
 from __future__ import annotations
@@ -31,21 +31,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, save, shuffle_partitions, word_hashes
+from .common import Frames, mix64, pieces, shuffle_partitions, word_hashes
 
 #: Odd multipliers (fixed values) that give the words of a shingle their places.
 PLACE, SIZE_SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: Shingles counted together when looking for frequent ones, the local count that is reported, the length of the hint list.
-CHUNK, REPORT_DF, HINT_DF, HINTS = 1 << 21, 4, 32, 1 << 16
+#: Shingles counted together when looking for frequent ones, the local count that is reported, the least count and the length of the hint list.
+CHUNK, REPORT_DF, HINT_DF, HINTS = 1 << 21, 4, 32, 1 << 17
+MINHASHES = 4
+#: Odd multipliers of the minhashes: each gives shingle hashes another order.
+MINHASH = [mix64(np.array([k + 1], np.uint64))[0] | np.uint64(1) for k in range(MINHASHES)]
 MIN_BITS, MAX_BITS, BITS_PER_SHINGLE = 128, 1 << 16, 4
 #: Bits of the filter of wanted ids that goes to all executors.
 FILTER_BITS = 1 << 21
 FANOUT = 8
-#: Sets of a group that one task takes; a larger group goes to one task for each pair of its blocks.
-BLOCK = 4096
+#: Sets of a group that one task takes; a larger group goes to tasks by pairs of its blocks.
+BLOCK = 1024
+#: Groups of more members are put together with others that hold nearly the same.
+LARGE = 8
+#: What stands in front of an entry block: numbers of classes and of entries. Then come classes, their sizes, and of each entry the shingle's upper 32 and next 8 bits and
+#: the class's place in the block with a low bit that is 0 in the first part of the prefix.
+HEAD = np.dtype([("classes", "<i8"), ("entries", "<i8")])
 
 
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
@@ -70,13 +78,14 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     return out
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    bits = MIN_BITS
-    while bits < min(BITS_PER_SHINGLE * len(hashes), MAX_BITS):
-        bits *= 2
-    out = np.zeros(bits, bool)
-    out[(hashes & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(out, bitorder="little")
+def class_of(hashes: np.ndarray) -> int:
+    """A hash of the whole set."""
+    return int((np.bitwise_xor.reduce(mix64(hashes * PLACE)) ^ np.sum(hashes, dtype=np.uint64)).view(np.int64)) if len(hashes) else 0
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The distinct places of the shingles among MAX_BITS bits. Places modulo a power of two make a bitmap of that width."""
+    return np.unique(hashes.astype(np.uint16))
 
 
 def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
@@ -101,358 +110,470 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
             yield told()
 
     counted = docs.select("text").mapInArrow(count, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
-    top = counted.where(F.col("df") >= HINT_DF).orderBy(F.desc("df"), "token").limit(HINTS).collect()
-    return np.array([r.token for r in reversed(top)], np.int64).view(np.uint64)
+    top = counted.where(F.col("df") >= HINT_DF).orderBy(F.desc("df"), "token").limit(HINTS).select("token").toArrow()
+    return np.flip(top.column("token").to_numpy()).view(np.uint64)
+
+
+def row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t])
 
 
 def profiles(docs: DataFrame, n: int, threshold_pct: int, hints: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, set key (k1, k2), prefix in the global order, bitmap."""
-    spark = docs.sparkSession
+    """doc_id, tie (a hash of the row), n_shingles, class, common (shingles among the hints), minhashes, prefix in the global order, signature."""
     order = np.argsort(hints)
-    shared = spark.sparkContext.broadcast((hints[order], order.astype(np.int64)))
+    shared = docs.sparkSession.sparkContext.broadcast((hints[order], order.astype(np.int64)))
+    names = ["doc_id", "tie", "n_shingles", "class", "common", "minhashes", "prefix", "signature"]
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rank = shared.value
         for part, texts in pieces(batches):
-            sets = shingle_sets(texts, n)
-            keys, prefixes, bitmaps = [], [], []
-            for s in sets:
-                m = len(s)
-                keys.append((int(np.bitwise_xor.reduce(mix64(s))) if m else 0, int(np.sum(s * PLACE, dtype=np.uint64)) if m else 0))
-                want = m - -(-threshold_pct * m // 100) + 1 if m else 0
-                if len(tokens) and m:
+            rows = []
+            for s in shingle_sets(texts, n):
+                m, common = len(s), 0
+                if not m:
+                    rows.append((0, 0, 0, None, None, None))
+                    continue
+                want, sorted_ = m - -(-threshold_pct * m // 100) + 1, s
+                if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     hot = tokens[at] == s
-                    if hot.any():
-                        s = np.concatenate([s[~hot], s[hot][np.argsort(rank[at[hot]])]])
-                prefixes.append(s[:want].view(np.int64))
-                bitmaps.append(bitmap(s).tobytes() if m else None)
-            k = np.array(keys, np.uint64).view(np.int64).reshape(-1, 2)
-            offsets = np.zeros(len(sets) + 1, np.int32)
-            np.cumsum([len(p) for p in prefixes], out=offsets[1:])
-            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), prefix, pa.array(bitmaps, pa.binary())],
-                ["doc_id", "n_shingles", "k1", "k2", "prefix", "bitmap"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n_shingles long, k1 long, k2 long, prefix array<long>, bitmap binary")
+                    common = int(hot.sum())
+                    if common:
+                        sorted_ = np.concatenate([s[~hot], s[hot][np.argsort(rank[at[hot]])]])
+                least = np.array([(s * odd).min() for odd in MINHASH]).view(np.int64)
+                rows.append((m, class_of(s), common, least.tobytes(), sorted_[:want].tobytes(), signature(s).tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), *columns], names)
+
+    read = docs.select("doc_id", row_hash(docs).alias("tie"), "text")
+    return read.mapInArrow(profile, "doc_id long, tie long, n_shingles long, class long, common long, minhashes binary, prefix binary, signature binary")
+
+
+def slots(ids: pa.Array) -> np.ndarray:
+    return (mix64(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit map of fixed size that has the hash of every id (column doc_id)."""
+    """A bit map of fixed size that has the hash of every id of the only column; a partition sends the places of its own ids, or all bits if that is less."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            bits[_slots(batch.column(0))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+            bits[slots(batch.column(0))] = True
+        places = np.flatnonzero(bits).astype(np.int32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([places if len(places) < FILTER_BITS // 8 else None], pa.binary()), pa.array([None if len(places) < FILTER_BITS // 8 else np.packbits(bits).tobytes()], pa.binary())], ["places", "bits"])
+
+    bits = np.zeros(FILTER_BITS, bool)
+    for row in ids.mapInArrow(mark, "places binary, bits binary").toLocalIterator():
+        if row.bits is None:
+            bits[np.frombuffer(row.places, np.int32)] = True
+        else:
+            bits |= np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
+    return bits
+
+
+def wanted(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose `column` may be among `ids`: a filter of fixed size spares the others the shuffle. Others may pass; a join follows."""
+    shared = rows.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value[slots(batch.column(column))]))
 
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in ids.select("doc_id").coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row.bits, np.uint8)
-    return np.unpackbits(bits).astype(bool)
+    return rows.mapInArrow(some, rows.schema)
 
 
-def _slots(ids: pa.Array) -> np.ndarray:
-    return (mix64(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
 
 
-def shingle_table(edges: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, shingles (sorted hashes) of the documents named in `edges`. A filter of fixed size spares the others the hashing; no text leaves the scan."""
-    need = save(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(need))
+def overlaps(x: np.ndarray, n: int, others: list[np.ndarray], sizes: np.ndarray, scratch: np.ndarray) -> np.ndarray:
+    """At most how many shingles the set (signature x, n shingles) shares with each of the others; `scratch`: MAX_BITS zeros, left as they were."""
+    scratch[x] = 1
+    lengths = np.array([len(o) for o in others])
+    met = np.add.reduceat(scratch[np.concatenate(others)], np.cumsum(lengths) - lengths, dtype=np.int64)
+    scratch[x] = 0
+    return np.minimum(met + np.minimum(n - len(x), sizes - lengths), np.minimum(n, sizes))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = batch.filter(pa.array(shared.value[_slots(batch.column("doc_id"))]))
-            for part, texts in pieces([some]):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())], ["doc_id", "shingles"])
 
-    rows = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(hashed, "doc_id long, shingles binary")
-    return save(rows.join(need, "doc_id", "left_semi"))
+def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, n: int, threshold_pct: int) -> DataFrame:
+    """a, b, linked of each of `pairs`, compared shingle by shingle. Only texts of their ends are hashed again; no text leaves the scan."""
+    need = known.join(ends(pairs), "class", "left_semi").select("class", F.col("first_tie").alias("tie"))
+    some = wanted(docs.select(row_hash(docs).alias("tie"), "text"), "tie", need.select("tie"))
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in pieces(batches):
+            sets = shingle_sets(texts, n)
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "shingles"])
 
-def verified(edges: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
-    """The rows (a, b) of `edges` that link, compared shingle by shingle."""
+    sets = some.mapInArrow(hashed, "class long, shingles binary").join(need, "class", "left_semi").dropDuplicates(["class"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= threshold_pct * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = edges.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    return save(pairs.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"))
-
-
-def across(edges: DataFrame, found: DataFrame) -> DataFrame:
-    """The edges whose ends `found` (node, label) leaves in different components."""
-    of = found.select("node", "label")
-    ends = edges.join(of.withColumnsRenamed({"node": "a", "label": "la"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "label": "lb"}), "b", "left")
-    return ends.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-
-def star_groups(prefixes: DataFrame, n_entries: int) -> DataFrame:
-    """Groups (grp, star) of stars that share a prefix shingle; groups of the same stars come once."""
-    spark = prefixes.sparkSession
-    parts = shuffle_partitions(spark, n_entries, 1 << 20)
+                linked.append(100 * shared >= threshold_pct * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+    both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long, linked boolean")
+
+
+def hub_pairs(known: DataFrame, threshold_pct: int) -> DataFrame:
+    """Pairs (a, b) of each class and the two hubs of each of its minhash buckets, if their sizes allow a link and half of their minhashes agree."""
+    own = [f"m{k}" for k in range(MINHASHES)]
+    hashes = F.array(*(F.struct(F.lit(k).alias("k"), F.col(m).alias("m")) for k, m in enumerate(own)))
+    entries = known.select("class", "n_shingles", "common", *own, F.explode(hashes).alias("at")).select("class", "n_shingles", "common", *own, "at.k", "at.m")
+    hubs = {"least": F.min(F.struct("class", "n_shingles", *own)), "richest": F.max(F.struct("common", "n_shingles", "class", *own))}
+    buckets = entries.groupBy("k", "m").agg(*(hub.alias(name) for name, hub in hubs.items()), F.count("*").alias("held")).where("held > 1").drop("held")
+    met = entries.join(buckets, ["k", "m"])
+    both = [met.select("class", "n_shingles", *own, F.col(hub)["class"].alias("hub"), F.col(hub)["n_shingles"].alias("size"), *(F.col(hub)[m].alias(f"h{k}") for k, m in enumerate(own))) for hub in hubs]
+    agree = sum((F.col(m) == F.col(f"h{k}")).cast("int") for k, m in enumerate(own))
+    fits = F.expr(f"class <> hub and 100 * n_shingles >= {threshold_pct} * size and 100 * size >= {threshold_pct} * n_shingles")
+    near = both[0].union(both[1]).where(fits & (2 * agree >= MINHASHES))
+    return near.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+
+
+def group_keys(members: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A key for each stretch of `members`: equal for equal stretches and, for most large ones that hold nearly the same, too."""
+    mixed = mix64(members.view(np.uint64) * PLACE)
+    keys = mix64(np.bitwise_xor.reduceat(mixed, starts) + sizes.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
+    for i in np.flatnonzero(sizes > LARGE):
+        two = np.partition(mixed[starts[i] : starts[i] + sizes[i]], 1)[:2]
+        keys[i] = mix64(two[:1] ^ mix64(two[1:]))[0]
+    return keys
+
+
+def prefix_groups(rows: DataFrame, threshold_pct: int, entries: int) -> DataFrame:
+    """Groups (grp, class) of classes that share a prefix shingle and whose sizes may fit."""
+    parts = shuffle_partitions(rows.sparkSession, entries, 1 << 20)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of distinct (token, star), one for each partition of the tokens: a star's many copies count once here."""
-        held, size = [], 0
+        """Blocks of distinct entries (shingle, class), one for each partition of the shingles: a class's many copies count once here."""
+        held, of, sizes, size = [], [], [], 0
 
         def blocks() -> pa.RecordBatch:
-            e = np.unique(np.concatenate(held), axis=0) if len(held) > 1 else np.unique(held[0], axis=0)
-            bucket = (mix64(e[:, 0].view(np.uint64).copy()) % np.uint64(parts)).astype(np.int64)
-            e = e[np.argsort(bucket, kind="stable")]
-            ends = np.searchsorted(np.sort(bucket), np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(ends))
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([e[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary())], ["bucket", "block"])
+            token, place = (np.concatenate(c) for c in zip(*held, strict=True))
+            classes, at = np.unique(np.array(of, np.int64), return_index=True)
+            m = np.array(sizes, np.int32)[at]
+            place = (np.searchsorted(classes, np.array(of, np.int64))[place >> 1] << 1 | place & 1).astype(np.int64)
+            bucket = (mix64(token) % np.uint64(parts)).astype(np.int32)
+            order = np.lexsort((place, token, bucket))
+            bucket, token, place = bucket[order], token[order], place[order]
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (place[1:] != place[:-1])])
+            bucket, token, place = bucket[new], token[new], place[new]
+            cuts = np.searchsorted(bucket, np.arange(parts + 1))
+            some, out = np.flatnonzero(np.diff(cuts)), []
+            for i in some:
+                t, p = token[cuts[i] : cuts[i + 1]], place[cuts[i] : cuts[i + 1]]
+                here, local = np.unique(p >> 1, return_inverse=True)
+                head = np.array([(len(here), len(t))], HEAD)
+                columns = (classes[here], m[here], (t >> np.uint64(32)).astype("<u4"), (t >> np.uint64(24)).astype(np.uint8), (local << 1 | p & 1).astype("<u4"))
+                out.append(b"".join(c.tobytes() for c in (head, *columns)))
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "block"])
 
         for batch in batches:
-            prefix, star = batch.column("prefix"), batch.column("star").to_numpy()
-            tokens = prefix.flatten().to_numpy()
-            sizes = np.diff(prefix.offsets.to_numpy())
-            held.append(np.stack([tokens, np.repeat(star, sizes)], axis=1))
-            size += len(tokens)
+            for prefix, c, m in zip(batch.column("prefix"), batch.column("class").to_pylist(), batch.column("n_shingles").to_pylist(), strict=True):
+                token = np.frombuffer(prefix.as_buffer(), np.uint64)
+                # of two linked sets, the smaller has a shared shingle in this first part of its prefix
+                first = m - -(-2 * threshold_pct * m // (100 + threshold_pct)) + 1
+                held.append((token, len(of) << 1 | (np.arange(len(token)) >= first)))
+                of.append(c)
+                sizes.append(min(m, 2**31 - 1))
+                size += len(token)
             if size >= CHUNK:
                 yield blocks()
-                held, size = [], 0
+                held, of, sizes, size = [], [], [], 0
         if size:
             yield blocks()
 
+    def unpacked(block: bytes) -> tuple[np.ndarray, ...]:
+        """shingle (its upper 40 bits), class, size, whether it is late in the prefix."""
+        k, e = np.frombuffer(block, HEAD, 1)[0].tolist()
+        at = np.cumsum([HEAD.itemsize, 8 * k, 4 * k, 4 * e, e])
+        classes, m, upper, lower, place = (np.frombuffer(block, kind, n, offset) for kind, n, offset in zip(("<i8", "<i4", "<u4", "u1", "<u4"), (k, k, e, e, e), at.tolist(), strict=True))
+        return upper.astype(np.uint64) << np.uint64(8) | lower, classes[place >> 1], m[place >> 1], (place & 1).astype(bool)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(b.as_buffer(), np.int64).reshape(-1, 2) for batch in batches for b in batch.column("block")]
+        held = [unpacked(b) for batch in batches for b in batch.column("block").to_pylist()]
         if not held:
             return
-        e = np.concatenate(held)
+        token, of, m, late = (np.concatenate(c) for c in zip(*held, strict=True))
         del held
-        e = e[np.lexsort((e[:, 1], e[:, 0]))]
-        e = e[np.concatenate([[True], (e[1:] != e[:-1]).any(axis=1)])]
-        starts = np.flatnonzero(np.concatenate([[True], e[1:, 0] != e[:-1, 0]]))
-        sizes = np.diff(np.append(starts, len(e)))
-        seen, groups, stars = set(), [], []
-        for a, m in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
-            members = e[a : a + m, 1]
-            key = int(np.bitwise_xor.reduce(mix64(members.view(np.uint64).copy() * PLACE))) ^ m.item()
-            if key not in seen:
-                seen.add(key)
-                groups.append(np.full(m, np.uint64(key)))
-                stars.append(members)
-            if len(groups) >= 1 << 14:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups).view(np.int64)), pa.array(np.concatenate(stars))], ["grp", "star"])
-                groups, stars = [], []
-        if groups:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups).view(np.int64)), pa.array(np.concatenate(stars))], ["grp", "star"])
-
-    blocks = prefixes.select("prefix", "star").mapInArrow(pack, "bucket int, block binary").repartition(parts, "bucket")
-    return blocks.select("block").mapInArrow(meet, "grp long, star long").distinct()
+        # most shingles stand alone: the others are sorted by size, and put those first that have the shingle early
+        order = np.argsort(token)
+        twin = token[order[1:]] == token[order[:-1]]
+        some = order[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])]
+        token, of, m, late = token[some], of[some], m[some].astype(np.int64), late[some]
+        order = np.lexsort((of, late, m, token))
+        token, of, m, late = token[order], of[order], m[order], late[order]
+        if not len(of):
+            return
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (of[1:] != of[:-1])])
+        token, of, m, late = token[new], of[new], m[new], late[new]
+        apart = np.concatenate([[True], (token[1:] != token[:-1]) | (100 * m[:-1] < threshold_pct * m[1:])])
+        starts = np.flatnonzero(apart)
+        # who comes before the first with the shingle in its first part has no smaller partner here
+        opens = np.minimum.reduceat(np.where(late, len(late), np.arange(len(late))), starts)
+        stretch = np.cumsum(apart) - 1
+        kept = np.arange(len(late)) >= opens[stretch]
+        stretch, of = stretch[kept], of[kept]
+        if not len(of):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]]))
+        sizes = np.diff(np.append(starts, len(of)))
+        several = np.repeat(sizes > 1, sizes)
+        of, sizes = of[several], sizes[sizes > 1]
+        starts = np.cumsum(sizes) - sizes
+        grp = np.repeat(group_keys(of, starts, sizes), sizes).view(np.int64)
+        for a in range(0, len(of), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(grp[a : a + (1 << 18)]), pa.array(of[a : a + (1 << 18)])], ["grp", "class"])
+
+    blocks = rows.where("n_shingles > 0").select("prefix", "class", "n_shingles").mapInArrow(pack, "bucket int, block binary").repartition(parts, "bucket")
+    return blocks.select("block").mapInArrow(meet, "grp long, class long").distinct()
 
 
 class SignatureTree:
-    """Levels of OR-combined bitmaps (all folded to one width) with the range of sizes and the most shingles beyond distinct bits.
+    """Levels of OR-combined bitmaps of `bits` bits with the range of sizes and the most shingles beyond distinct bits.
 
     `tags` number the leaves: pairs of leaves with an equal number in any of them are not wanted. Leaves with equal numbers best stand together.
     """
 
-    def __init__(self, sizes: np.ndarray, bitmaps: list[bytes], tags: tuple[np.ndarray, ...] = ()):
-        width = min(len(b) for b in bitmaps)
-        leaf = np.zeros((len(sizes), width), np.uint8)
-        for i, b in enumerate(bitmaps):
-            leaf[i] = np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0)
-        leaf = leaf.view(np.uint64)
+    def __init__(self, sizes: np.ndarray, signatures: list[np.ndarray], bits: int, tags: tuple[np.ndarray, ...] = ()):
+        leaf = np.zeros((len(sizes), bits // 64), np.uint64)
+        for a in range(0, len(sizes), 64):
+            some = signatures[a : a + 64]
+            plain = np.zeros((len(some), bits), bool)
+            plain[np.repeat(np.arange(len(some)), [len(s) for s in some]), np.concatenate(some) & (bits - 1)] = True
+            leaf[a : a + 64] = np.packbits(plain, axis=1, bitorder="little").view(np.uint64)
         extra = sizes - np.bitwise_count(leaf).sum(axis=1).astype(np.int64)
-        self.levels = [(leaf, sizes, sizes, extra)]
-        self.tags = [[(t, t) for t in tags]]
+        self.levels = [(leaf, sizes, sizes, extra, [(t, t) for t in tags])]
         while len(self.levels[-1][1]) > 1:
-            bits, low, high, extra = self.levels[-1]
+            bits_, low, high, extra, spans = self.levels[-1]
             at = np.arange(0, len(low), FANOUT)
-            self.tags.append([(np.minimum.reduceat(a, at), np.maximum.reduceat(b, at)) for a, b in self.tags[-1]])
-            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)))
+            spans = [(np.minimum.reduceat(a, at), np.maximum.reduceat(b, at)) for a, b in spans]
+            self.levels.append((np.bitwise_or.reduceat(bits_, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at), spans))
 
-    def pairs(self, threshold_pct: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of leaves i < j that may still reach the threshold, by a dual traversal of the tree with itself."""
+    def pairs(self, other: SignatureTree, threshold_pct: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of leaves, one of each tree, that may still reach the threshold, by a dual traversal; with itself, pairs i < j."""
+        same = self is other
         i = j = np.zeros(1, np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            bits, low, high, extra = self.levels[depth]
-            if depth < len(self.levels) - 1:
-                child = np.arange(FANOUT)
-                i, j = (x.ravel() for x in np.broadcast_arrays(i[:, None, None] * FANOUT + child[:, None], j[:, None, None] * FANOUT + child))
-                real = (i < len(low)) & (j < len(low)) & (i <= j if depth else i < j)
+        child = np.arange(FANOUT)
+        top = max(len(self.levels), len(other.levels)) - 1
+        for depth in range(top, -1, -1):
+            mine, its = (t.levels[min(depth, len(t.levels) - 1)] for t in (self, other))
+            if depth < top:
+                # a lower tree's root waits until the other has come down to its level
+                down, down_other = depth < len(self.levels) - 1, depth < len(other.levels) - 1
+                i, j = np.broadcast_arrays(*(x[:, None, None] * (FANOUT if d else 1) + (child if d else np.zeros(1, np.int64)).reshape(shape) for x, d, shape in ((i, down, (-1, 1)), (j, down_other, (1, -1)))))
+                i, j = i.ravel(), j.ravel()
+                real = (i < len(mine[1])) & (j < len(its[1]))
+                if same:
+                    real &= i <= j if depth else i < j
                 i, j = i[real], j[real]
-            for first, last in self.tags[depth]:
-                other = (first[i] != last[i]) | (first[j] != last[j]) | (first[i] != first[j])
-                i, j = i[other], j[other]
+            elif same and not depth:
+                i = j = np.zeros(0, np.int64)
+            for (first, last), (first2, last2) in zip(mine[4], its[4], strict=True):
+                different = (first[i] != last[i]) | (first2[j] != last2[j]) | (first[i] != first2[j])
+                i, j = i[different], j[different]
             keep = np.zeros(len(i), bool)
             for a in range(0, len(i), 1 << 14):
                 x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
-                overlap = np.bitwise_count(bits[x] & bits[y]).sum(axis=1).astype(np.int64) + np.minimum(extra[x], extra[y])
                 # sizes p, q need overlap >= t (p + q) / (1 + t), and t max(p, q) <= min(p, q); both at their loosest in the nodes' ranges
-                fits = (100 * high[y] >= threshold_pct * low[x]) & (100 * high[x] >= threshold_pct * low[y])
-                keep[a : a + (1 << 14)] = fits & ((100 + threshold_pct) * np.minimum(overlap, np.minimum(high[x], high[y])) >= threshold_pct * (low[x] + low[y]))
+                fits = (100 * its[2][y] >= threshold_pct * mine[1][x]) & (100 * mine[2][x] >= threshold_pct * its[1][y])
+                overlap = np.bitwise_count(mine[0][x] & its[0][y]).sum(axis=1).astype(np.int64) + np.minimum(mine[3][x], its[3][y])
+                keep[a : a + (1 << 14)] = fits & ((100 + threshold_pct) * np.minimum(overlap, np.minimum(mine[2][x], its[2][y])) >= threshold_pct * (mine[1][x] + its[1][y]))
             i, j = i[keep], j[keep]
         return i, j
 
 
-def may_link(x: bytes, y: bytes, n: int, m: int, threshold_pct: int) -> bool:
-    """Whether sets of n and m shingles with these bitmaps, folded to the narrower one's width, can overlap enough."""
-    width = min(len(x), len(y))
-    a, b = (np.bitwise_or.reduce(np.frombuffer(z, np.uint64).reshape(-1, width // 8), axis=0) for z in (x, y))
-    extra = min(n - int(np.bitwise_count(a).sum()), m - int(np.bitwise_count(b).sum()))
-    return (100 + threshold_pct) * min(int(np.bitwise_count(a & b).sum()) + extra, n, m) >= threshold_pct * (n + m)
-
-
-def likely(pairs: DataFrame, leaves: DataFrame, threshold_pct: int) -> DataFrame:
-    """The rows (a, b) of `pairs` whose bitmaps do not rule a link out."""
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True)
-            yield batch.select(["a", "b"]).filter(pa.array([may_link(*r, threshold_pct) for r in rows], pa.bool_()))
-
-    of = leaves.select("rep", "n_shingles", "bitmap")
-    ends = pairs.join(of.toDF("a", "n", "x"), "a").join(of.toDF("b", "m", "y"), "b")
-    near = ends.where((100 * F.col("n") >= threshold_pct * F.col("m")) & (100 * F.col("m") >= threshold_pct * F.col("n")))
-    return save(near.select("a", "b", "x", "y", "n", "m").mapInArrow(held, "a long, b long").distinct())
+def width(size: int) -> int:
+    bits = MIN_BITS
+    while bits < min(BITS_PER_SHINGLE * size, MAX_BITS):
+        bits *= 2
+    return bits
 
 
-def in_families(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """grp, star, family (the label that `found` gives the star), without the groups of one family."""
-    named = groups.join(found.select(F.col("node").alias("star"), "label"), "star", "left").select("grp", "star", F.coalesce("label", "star").alias("family"))
-    several = named.groupBy("grp").agg((F.min("family") < F.max("family")).alias("several")).where("several")
-    return save(named.join(several, "grp", "left_semi"))
+def candidates(sizes: np.ndarray, signatures: list[np.ndarray], tags: tuple[np.ndarray, ...], threshold_pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets that signature trees do not rule out: a tree for each range of sizes, each traversed with itself and the next."""
+    if len(sizes) <= FANOUT:  # one node
+        i, j = np.triu_indices(len(sizes), 1)
+        for t in tags:
+            i, j = i[t[i] != t[j]], j[t[i] != t[j]]
+        return i, j
+    # sets that may link are of one range or of two that adjoin
+    span = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / threshold_pct) + 1e-9).astype(np.int64)
+    order = np.lexsort((sizes, *tags[::-1], span))
+    span, found = span[order], []
+    ranges = [order[span == s] for s in np.unique(span)]
+    numbers = np.unique(span)
+
+    def tree(at: np.ndarray, bits: int) -> SignatureTree:
+        return SignatureTree(sizes[at], [signatures[k] for k in at], bits, tuple(t[at] for t in tags))
+
+    for k, at in enumerate(ranges):
+        bits = width(int(sizes[at].max()))
+        own = tree(at, bits)
+        i, j = own.pairs(own, threshold_pct)
+        found.append((at[i], at[j]))
+        if k + 1 < len(ranges) and numbers[k + 1] == numbers[k] + 1:
+            i, j = own.pairs(tree(ranges[k + 1], bits), threshold_pct)
+            found.append((at[i], ranges[k + 1][j]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def group_pairs(family: np.ndarray, sizes: np.ndarray, signatures: list[np.ndarray], tags: tuple[np.ndarray, ...], threshold_pct: int, spanning: bool, scratch: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of sets of different families that may link: all, or (`spanning`) only those that connect what was not connected before."""
+    i, j = candidates(sizes, signatures, tags, threshold_pct)
+    if not len(i):
+        return []
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    root, out = np.unique(family, return_inverse=True)[1], []
+    cuts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    for a, b in zip(cuts, np.append(cuts[1:], len(i)), strict=True):
+        x, others = int(i[a]), j[a:b]
+        others = others[root[others] != root[x]] if spanning else others
+        if not len(others):
+            continue
+        shared = overlaps(signatures[x], int(sizes[x]), [signatures[y] for y in others], sizes[others], scratch)
+        for y in others[(100 + threshold_pct) * shared >= threshold_pct * (sizes[x] + sizes[others])].tolist():
+            if not spanning or root[x] != root[y]:
+                out.append((x, y))
+                if spanning:
+                    root[root == root[y]] = root[x]
+    return out
 
 
-def families(groups: DataFrame, stars: DataFrame, leaves: DataFrame, docs: DataFrame, n: int, threshold_pct: int) -> tuple[DataFrame, DataFrame]:
-    """The groups (grp, star, family) that have several families, and links (a, b) that make the families."""
-    links, turn = stars.select("a", "b"), 0
-    left = in_families(groups, connected(links))
-    while True:
-        drawn = F.min_by(F.struct("star", "family"), F.struct(F.xxhash64(F.lit(turn), "star"), "star"))
-        hubs = left.groupBy("grp").agg(drawn.alias("hub"))
-        pairs = left.join(hubs, "grp").where("family <> hub.family").select(F.least("star", "hub.star").alias("a"), F.greatest("star", "hub.star").alias("b")).distinct()
-        near = likely(pairs, leaves, threshold_pct)
-        compared = near.count()
-        if not compared:
-            return left, links
-        fresh = verified(near, shingle_table(near, docs, n), threshold_pct)
-        linked = fresh.count()
-        if linked:
-            links = save(links.union(fresh))
-            left = in_families(left.select("grp", "star"), connected(links))
-        if 10 * linked < compared:
-            return left, links
-        turn += 1
-
-
-def tree_pairs(groups: DataFrame, leaves: DataFrame, threshold_pct: int) -> DataFrame:
-    """Pairs (a, b) of sets from different families of one group that the group's signature tree does not rule out."""
+def tree_pairs(groups: DataFrame, known: DataFrame, rows: DataFrame, threshold_pct: int, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of classes from different families of one of `groups` (grp, class, family) that may link; `known` names a row of each class."""
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs_of(rows: pa.Table) -> pa.RecordBatch:
-            family, rep, size, block, other = (rows.column(c).to_numpy() for c in ("family", "rep", "n_shingles", "block", "other"))
-            order = np.lexsort((rep, size, family, block))
-            family, rep, size, block = family[order], rep[order], size[order], block[order]
-            column = rows.column("bitmap")
-            bitmaps = [column[k].as_py() for k in order.tolist()]
-            # in a task of two blocks, the pairs inside either are left to that block's own task
-            tags = (family, block) if (block != other[order]).any() else (family,)
-            i, j = SignatureTree(size, bitmaps, tags).pairs(threshold_pct)
-            # the tree has the narrowest bitmaps' width; its pairs are held against the widths of their own
-            good = [may_link(bitmaps[x], bitmaps[y], int(size[x]), int(size[y]), threshold_pct) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-            i, j = i[good], j[good]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["a", "b"])
-
-        held: list[pa.Table] = []
+        scratch = np.zeros(MAX_BITS, np.uint8)
+        held: list[list] = []
         last = None
+
+        def pairs_of() -> pa.RecordBatch:
+            family, of, sizes, block, other = (np.concatenate(c) for c in list(zip(*held, strict=True))[:5])
+            places = [np.frombuffer(s, np.uint16) for h in held for s in h[5]]
+            # in a task of two blocks, the pairs inside either are left to that block's own task
+            tags = (family, block) if (block != other).any() else (family,)
+            found = np.array(group_pairs(family, sizes, places, tags, threshold_pct, spanning, scratch), np.int64).reshape(-1, 2)
+            a, b = of[found[:, 0]], of[found[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
         for batch in batches:
-            grp = batch.column("grp").to_numpy()
-            edges = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1), len(grp)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
+            columns = [batch.column(c).to_numpy() for c in ("task", "family", "class", "n_shingles", "block", "other")]
+            places = batch.column("signature").to_pylist()
+            task = columns[0]
+            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1), len(task)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b == a:
                     continue
-                if held and grp[a] != last:
-                    yield pairs_of(pa.concat_tables(held))
+                if held and task[a] != last:
+                    yield pairs_of()
                     held = []
-                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-                last = grp[a]
+                held.append([*(c[a:b] for c in columns[1:]), places[a:b]])
+                last = task[a]
         if held:
-            yield pairs_of(pa.concat_tables(held))
-
-    held_by = leaves.groupBy("star").agg(F.count("*").alias("n"))
-    blocks = groups.join(held_by, "star").groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(save(blocks), "grp").join(leaves, "star")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    task = F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other"))
-    rows = rows.select(F.when(F.col("blocks") == 1, F.col("grp")).otherwise(task).alias("grp"), "family", "rep", "n_shingles", "bitmap", "block", "other")
-    dealt = rows.repartition(shuffle_partitions(groups.sparkSession), "grp").sortWithinPartitions("grp")
-    return dealt.mapInArrow(traverse, "a long, b long").where("a <> b").distinct()
+            yield pairs_of()
+
+    by_family = groups.groupBy("grp", "family").agg(F.count("*").alias("c"))
+    large = by_family.groupBy("grp").agg(F.sum("c").alias("total"), F.max(F.struct("c", "family")).alias("most")).where(F.col("total") > BLOCK)
+    large = large.select("grp", F.col("most.family").alias("most"), F.ceil(F.col("most.c") / BLOCK).alias("own"), F.ceil((F.col("total") - F.col("most.c")) / BLOCK).alias("rest"))
+    placed = groups.join(large, "grp", "left")
+    mine = F.col("family") == F.col("most")
+    hashed = F.xxhash64("class")
+    placed = placed.withColumn("block", F.coalesce(F.when(mine, F.pmod(hashed, F.col("own"))).otherwise(F.col("own") + F.pmod(hashed, F.col("rest"))), F.lit(0)).cast("long"))
+    others = F.when(F.col("own").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.when(mine, F.col("own")).otherwise(F.lit(0)).cast("long"), (F.col("own") + F.col("rest") - 1).cast("long")))
+    placed = placed.withColumn("other", F.explode(others))
+    placed = placed.withColumn("task", F.when(F.col("own").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other"))))
+    placed = placed.join(known.select("class", "row"), "class").select("task", "family", "row", "block", "other")
+    signed = wanted(rows.select("row", "class", "n_shingles", "signature"), "row", known.join(groups, "class", "left_semi").select("row"))
+    signed = signed.join(placed, "row").select("task", "family", "class", "n_shingles", "block", "other", "signature")
+    dealt = signed.repartition(shuffle_partitions(groups.sparkSession), "task").sortWithinPartitions("task")
+    return dealt.mapInArrow(traverse, "a long, b long").distinct()
+
+
+def of_families(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """grp, class, family (the label that `found` gives the class), without the groups of one family."""
+    named = groups.select("grp", "class").join(found.select(F.col("node").alias("class"), "label"), "class", "left").select("grp", "class", F.coalesce("label", "class").alias("family"))
+    several = named.groupBy("grp").agg((F.min("family") < F.max("family")).alias("several")).where("several")
+    return named.join(several.select("grp"), "grp", "left_semi")
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, frames: Frames) -> DataFrame:
     """node, label (the smallest node it reaches) of every node named in `edges` (a, b)."""
-    both = save(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    both = frames.save(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
+    labels = frames.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
         jumped = hooked.join(labels.select(F.col("node").alias("next"), F.col("label").alias("far")), "next", "left")
-        moved = save(jumped.select("node", F.least("next", "far").alias("label"), F.col("old")))
+        moved = frames.save(jumped.select("node", F.least("next", "far").alias("label"), F.col("old")))
         if moved.where("label <> old").isEmpty():
             return moved.select("node", "label")
         labels = moved.select("node", "label")
 
 
+def links(rows: DataFrame, known: DataFrame, docs: DataFrame, n: int, threshold_pct: int, frames: Frames) -> DataFrame:
+    """Links (a, b) between classes that leave their components as all links would."""
+    save = frames.save
+    linked = save(verified(save(hub_pairs(known, threshold_pct)), known, docs, n, threshold_pct).where("linked").select("a", "b"))
+
+    entries = (rows.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - threshold_pct) // 100
+    groups = save(of_families(prefix_groups(rows, threshold_pct, entries), connected(linked, frames)))
+    compared = save(verified(save(tree_pairs(groups, known, rows, threshold_pct, spanning=True)), known, docs, n, threshold_pct))
+    linked = save(linked.union(compared.where("linked").select("a", "b")))
+    failed = save(ends(compared.where("not linked")))
+    if failed.isEmpty():
+        return linked
+    touched = groups.join(failed, "class", "left_semi").select("grp").distinct()
+    left = save(of_families(groups.join(touched, "grp", "left_semi"), connected(linked, frames)))
+    more = save(tree_pairs(left, known, rows, threshold_pct, spanning=False).join(compared.select("a", "b"), ["a", "b"], "left_anti"))
+    return save(linked.union(verified(more, known, docs, n, threshold_pct).where("linked").select("a", "b")))
+
+
+def classified(docs: DataFrame, n: int, threshold_pct: int, frames: Frames) -> DataFrame:
+    """doc_id, tie, n_shingles, class (0 without shingles), component (a class), component_id, class_id, n_copies of each document."""
+    rows = frames.save(profiles(docs, n, threshold_pct, frequent_shingles(docs, n)).withColumn("row", F.monotonically_increasing_id()))
+    # a minhash only has to tell sets apart: a hash of its bytes does
+    slim = rows.where("n_shingles > 0").select("row", "class", "doc_id", "tie", "n_shingles", "common", *(F.xxhash64(F.substring("minhashes", 8 * k + 1, 8)).alias(f"m{k}") for k in range(MINHASHES)))
+    alike = [F.first(c).alias(c) for c in ("n_shingles", "common", *(f"m{k}" for k in range(MINHASHES)))]
+    known = frames.save(slim.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min("tie").alias("first_tie"), F.min("row").alias("row"), F.count("*").alias("n_copies"), *alike))
+    found = connected(links(rows, known, docs, n, threshold_pct, frames), frames)
+    named = known.select("class", "class_id", "n_copies").join(found.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("component", F.coalesce("label", "class"))
+    least = named.where("label is not null").groupBy("component").agg(F.min("class_id").alias("least"))
+    named = named.join(least, "component", "left").select("class", "component", "class_id", "n_copies", F.when(F.col("label").isNull(), F.col("class_id")).otherwise(F.col("least")).alias("component_id"))
+    out = rows.select("doc_id", "tie", "n_shingles", "class").join(named, "class", "left")
+    empty = F.col("n_shingles") == 0
+    own = [F.when(empty, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")]
+    return out.select("doc_id", "tie", "n_shingles", "class", "component", *own, F.when(empty, 1).otherwise(F.col("n_copies")).alias("n_copies"))
+
+
 def components(docs: DataFrame, n: int = 5, threshold_pct: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set), n_copies (documents in that class)."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    rows = save(profiles(docs, n, threshold_pct, frequent_shingles(docs, n)))
-    linkable = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = save(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")))
-    copied = save(classes.where("n_copies > 1"))
-    slim = rows.select("doc_id", "n_shingles", "k1", "k2", F.get("prefix", F.lit(0)).alias("first"))
-    members = slim.join(copied, ["k1", "k2"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    members = save(members.select("doc_id", "n_shingles", "rep", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "first"))
-    reps = members.where("doc_id = rep and n_shingles > 0").select("rep", "first").dropDuplicates(["rep"])
-
-    # stars around the smallest class of each first shingle
-    hubs = save(reps.groupBy("first").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").select("first", "a"))
-    spokes = save(reps.join(hubs, "first").where("rep <> a").select("a", F.col("rep").alias("b")))
-    stars = verified(spokes, shingle_table(spokes, docs, n), threshold_pct)
-
-    # stars that share a prefix shingle meet in groups
-    copies = save(members.where("doc_id <> rep").select("doc_id").distinct())
-    spoke = save(stars.select(F.col("b").alias("doc_id"), F.col("a").alias("star")).dropDuplicates(["doc_id"]))
-
-    def starred(*columns: str) -> DataFrame:
-        kept = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", *columns).join(copies, "doc_id", "left_anti")
-        return kept.join(spoke, "doc_id", "left").select(F.col("doc_id").alias("rep"), F.coalesce("star", "doc_id").alias("star"), *columns)
-
-    entries = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    groups = save(star_groups(starred("prefix"), entries * (100 - threshold_pct) // 100))
-    leaves = starred("n_shingles", "bitmap")
-    groups, links = families(groups, stars, leaves, docs, n, threshold_pct)
-    pairs = save(tree_pairs(groups, leaves, threshold_pct))
-    sets = shingle_table(pairs, docs, n)
-
-    # one pair for each later end first: they connect most, and pairs inside a component need no comparison
-    nearest = save(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    known = links.union(verified(nearest, sets, threshold_pct))
-    rest = save(across(pairs, connected(known)))
-    found = connected(known.union(verified(rest, sets, threshold_pct)))
-
-    out = members.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"), F.col("rep").alias("class_id"), "n_copies")
+    with Frames(docs.sparkSession) as frames:
+        return frames.keep(classified(docs.select("doc_id", "text"), n, threshold_pct, frames).select("doc_id", "n_shingles", "component_id", "class_id", "n_copies"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold_pct: int = 80) -> DataFrame:
-    """The documents whose id is the smallest of their component; documents without words or id stay."""
-    drop = components(docs, n, threshold_pct).where("n_shingles > 0 and component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(save(drop), "doc_id", "left_anti").select(docs.columns)
+    """One document of each component, the row with the smallest doc_id (null last; then by a hash of the row); documents without words stay, each."""
+    with Frames(docs.sparkSession) as frames:
+        rows = classified(docs, n, threshold_pct, frames).where("n_shingles > 0").select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie").alias("row"), "component")
+        first = rows.groupBy("component").agg(F.min("row").alias("first"))
+        held = rows.join(first, "component").withColumn("stays", F.col("row") == F.col("first"))
+        held = held.groupBy("row.tie", "row.none", "row.doc_id").agg(F.first("stays").alias("stays"), F.count("*").alias("same")).where("not stays or same > 1")
+        held = frames.keep(held.select("tie", "doc_id", "stays"))
+    # rows to drop, and rows that stay once for several that are the same in all columns
+    tied = docs.withColumn("_tie", row_hash(docs))
+    key = [tied["_tie"] == held.tie, tied.doc_id.eqNullSafe(held.doc_id)]
+    alone = tied.join(held, key, "left_anti").select(docs.columns)
+    if held.where("stays").isEmpty():
+        return alone
+    return alone.union(tied.join(held.where("stays"), key, "left_semi").dropDuplicates(["_tie", "doc_id"]).select(docs.columns))
