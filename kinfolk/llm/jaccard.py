@@ -13,9 +13,9 @@ How it works, no link being lost at any step:
    like the text that others are copies of). A class meets at most 2 * MINHASHES others here, however many copies there are.
 3. Groups: classes that share a prefix shingle, cut where sizes lie too far apart. Groups of the same members are one; large groups that hold nearly
    the same are put together. Groups of one family are left out.
-4. Each group makes signature trees, one for each range of sizes: nodes hold the OR of the bitmaps below, the range of set sizes and of families. A dual traversal
-   drops each pair of nodes of one family, and each in which no pair of sets can overlap enough; the pairs of leaves left are compared by their
-   signatures. Of pairs that may link, those that connect two families not yet connected are handed on, so that a group gives fewer pairs than
+4. Each group makes signature trees of the classes' bitmaps (signatures folded to two bits a shingle or more), one for each range of sizes: nodes hold the OR of
+   the bitmaps below, the range of set sizes and of families. A dual traversal drops each pair of nodes of one family, and each in which no pair of
+   sets can overlap enough. The pairs of leaves left are compared by their signatures. Of pairs that may link, those that connect two families not yet connected are handed on, so that a group gives fewer pairs than
    it has families. Groups of more than BLOCK sets are dealt to tasks by pairs of blocks; the largest family's blocks never meet each other.
 5. Pairs are compared shingle by shingle. Where one does not link, others it stood for may: what is left of those groups is searched again, all pairs handed on.
 6. Components come from the links between classes, by smallest labels and pointer jumping.
@@ -39,11 +39,12 @@ from .common import Frames, mix64, pieces, shuffle_partitions, word_hashes
 #: Odd multipliers (fixed values) that give the words of a shingle their places.
 PLACE, SIZE_SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Shingles counted together when looking for frequent ones, the local count that is reported, the least count and the length of the hint list.
-CHUNK, REPORT_DF, HINT_DF, HINTS = 1 << 21, 4, 32, 1 << 17
-MINHASHES = 4
+CHUNK, REPORT_DF, HINT_DF, HINTS = 1 << 21, 3, 24, 1 << 18
+#: Minhashes that make buckets, and those (the same and more) of which a byte each makes a set's sketch; so many bytes agree in a pair worth comparing early.
+MINHASHES, SKETCH, AGREE = 4, 8, 6
 #: Odd multipliers of the minhashes: each gives shingle hashes another order.
-MINHASH = [mix64(np.array([k + 1], np.uint64))[0] | np.uint64(1) for k in range(MINHASHES)]
-MIN_BITS, MAX_BITS, BITS_PER_SHINGLE = 128, 1 << 16, 4
+MINHASH = [mix64(np.array([k + 1], np.uint64))[0] | np.uint64(1) for k in range(SKETCH)]
+MIN_BITS, MAX_BITS, BITS_PER_SHINGLE = 128, 1 << 16, 2
 #: Bits of the filter of wanted ids that goes to all executors.
 FILTER_BITS = 1 << 21
 FANOUT = 8
@@ -88,6 +89,20 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return np.unique(hashes.astype(np.uint16))
 
 
+def width(size: int) -> int:
+    """Bits of the bitmap of a set."""
+    bits = MIN_BITS
+    while bits < min(BITS_PER_SHINGLE * size, MAX_BITS):
+        bits *= 2
+    return bits
+
+
+def bitmap(places: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits, bool)
+    out[places & (bits - 1)] = True
+    return np.packbits(out, bitorder="little")
+
+
 def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     """The commonest shingles by document count, rarest first; at most HINTS of them."""
 
@@ -119,10 +134,12 @@ def row_hash(docs: DataFrame) -> Column:
 
 
 def profiles(docs: DataFrame, n: int, threshold_pct: int, hints: np.ndarray) -> DataFrame:
-    """doc_id, tie (a hash of the row), n_shingles, class, common (shingles among the hints), minhashes, prefix in the global order, signature."""
+    """doc_id, tie (a hash of the row), n_shingles, class, common (shingles among the hints), minhashes, sketch, prefix in the global order, bitmap, signature."""
     order = np.argsort(hints)
     shared = docs.sparkSession.sparkContext.broadcast((hints[order], order.astype(np.int64)))
-    names = ["doc_id", "tie", "n_shingles", "class", "common", "minhashes", "prefix", "signature"]
+    minhashes = [f"m{k}" for k in range(MINHASHES)]
+    names = ["doc_id", "tie", "n_shingles", "class", "common", *minhashes, "sketch", "prefix", "bitmap", "signature"]
+    kinds = [pa.int64()] * (4 + MINHASHES) + [pa.binary()] * 3
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rank = shared.value
@@ -131,7 +148,7 @@ def profiles(docs: DataFrame, n: int, threshold_pct: int, hints: np.ndarray) ->
             for s in shingle_sets(texts, n):
                 m, common = len(s), 0
                 if not m:
-                    rows.append((0, 0, 0, None, None, None))
+                    rows.append((0,) * (4 + MINHASHES) + (None,) * 3)
                     continue
                 want, sorted_ = m - -(-threshold_pct * m // 100) + 1, s
                 if len(tokens):
@@ -140,14 +157,15 @@ def profiles(docs: DataFrame, n: int, threshold_pct: int, hints: np.ndarray) ->
                     common = int(hot.sum())
                     if common:
                         sorted_ = np.concatenate([s[~hot], s[hot][np.argsort(rank[at[hot]])]])
-                least = np.array([(s * odd).min() for odd in MINHASH]).view(np.int64)
-                rows.append((m, class_of(s), common, least.tobytes(), sorted_[:want].tobytes(), signature(s).tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                least = mix64(np.array([(s * odd).min() for odd in MINHASH]))
+                sketch = int(least.astype(np.uint8).view(np.int64)[0])
+                places = signature(s)
+                rows.append((m, class_of(s), common, *least[:MINHASHES].view(np.int64).tolist(), sketch, sorted_[:want].tobytes(), bitmap(places, width(m)).tobytes(), places.tobytes()))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), *columns], names)
 
     read = docs.select("doc_id", row_hash(docs).alias("tie"), "text")
-    return read.mapInArrow(profile, "doc_id long, tie long, n_shingles long, class long, common long, minhashes binary, prefix binary, signature binary")
+    return read.mapInArrow(profile, "doc_id long, tie long, n_shingles long, class long, common long, " + "".join(f"{m} long, " for m in minhashes) + "sketch long, prefix binary, bitmap binary, signature binary")
 
 
 def slots(ids: pa.Array) -> np.ndarray:
@@ -225,17 +243,16 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, n: int, thresh
 
 
 def hub_pairs(known: DataFrame, threshold_pct: int) -> DataFrame:
-    """Pairs (a, b) of each class and the two hubs of each of its minhash buckets, if their sizes allow a link and half of their minhashes agree."""
-    own = [f"m{k}" for k in range(MINHASHES)]
-    hashes = F.array(*(F.struct(F.lit(k).alias("k"), F.col(m).alias("m")) for k, m in enumerate(own)))
-    entries = known.select("class", "n_shingles", "common", *own, F.explode(hashes).alias("at")).select("class", "n_shingles", "common", *own, "at.k", "at.m")
-    hubs = {"least": F.min(F.struct("class", "n_shingles", *own)), "richest": F.max(F.struct("common", "n_shingles", "class", *own))}
+    """Pairs (a, b) of each class and the two hubs of each of its minhash buckets, if their sizes allow a link and their sketches make one likely."""
+    hashes = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("m")) for k in range(MINHASHES)))
+    entries = known.select("class", "n_shingles", "common", "sketch", F.explode(hashes).alias("at")).select("class", "n_shingles", "common", "sketch", "at.k", "at.m")
+    hubs = {"least": F.min(F.struct("class", "n_shingles", "sketch")), "richest": F.max(F.struct("common", "n_shingles", "class", "sketch"))}
     buckets = entries.groupBy("k", "m").agg(*(hub.alias(name) for name, hub in hubs.items()), F.count("*").alias("held")).where("held > 1").drop("held")
-    met = entries.join(buckets, ["k", "m"])
-    both = [met.select("class", "n_shingles", *own, F.col(hub)["class"].alias("hub"), F.col(hub)["n_shingles"].alias("size"), *(F.col(hub)[m].alias(f"h{k}") for k, m in enumerate(own))) for hub in hubs]
-    agree = sum((F.col(m) == F.col(f"h{k}")).cast("int") for k, m in enumerate(own))
+    met = entries.drop("common").join(buckets, ["k", "m"])
+    both = [met.select("class", "n_shingles", F.col(hub)["class"].alias("hub"), F.col(hub)["n_shingles"].alias("size"), F.col("sketch").bitwiseXOR(F.col(hub)["sketch"]).alias("differ")) for hub in hubs]
+    agree = sum((F.shiftright("differ", 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for k in range(SKETCH))
     fits = F.expr(f"class <> hub and 100 * n_shingles >= {threshold_pct} * size and 100 * size >= {threshold_pct} * n_shingles")
-    near = both[0].union(both[1]).where(fits & (2 * agree >= MINHASHES))
+    near = both[0].union(both[1]).where(fits & (agree >= AGREE))
     return near.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
 
 
@@ -392,20 +409,11 @@ class SignatureTree:
         return i, j
 
 
-def width(size: int) -> int:
-    bits = MIN_BITS
-    while bits < min(BITS_PER_SHINGLE * size, MAX_BITS):
-        bits *= 2
-    return bits
-
-
 def candidates(sizes: np.ndarray, signatures: list[np.ndarray], tags: tuple[np.ndarray, ...], threshold_pct: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets that signature trees do not rule out: a tree for each range of sizes, each traversed with itself and the next."""
-    if len(sizes) <= FANOUT:  # one node
-        i, j = np.triu_indices(len(sizes), 1)
-        for t in tags:
-            i, j = i[t[i] != t[j]], j[t[i] != t[j]]
-        return i, j
+    """Pairs of sets that signature trees do not rule out: a tree for each range of sizes, each traversed with itself and the next.
+
+    Of the signatures, the places modulo the width of the set's bitmap are enough.
+    """
     # sets that may link are of one range or of two that adjoin
     span = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / threshold_pct) + 1e-9).astype(np.int64)
     order = np.lexsort((sizes, *tags[::-1], span))
@@ -417,7 +425,7 @@ def candidates(sizes: np.ndarray, signatures: list[np.ndarray], tags: tuple[np.n
         return SignatureTree(sizes[at], [signatures[k] for k in at], bits, tuple(t[at] for t in tags))
 
     for k, at in enumerate(ranges):
-        bits = width(int(sizes[at].max()))
+        bits = width(int(sizes[at].min()))
         own = tree(at, bits)
         i, j = own.pairs(own, threshold_pct)
         found.append((at[i], at[j]))
@@ -450,54 +458,78 @@ def group_pairs(family: np.ndarray, sizes: np.ndarray, signatures: list[np.ndarr
     return out
 
 
-def tree_pairs(groups: DataFrame, known: DataFrame, rows: DataFrame, threshold_pct: int, spanning: bool) -> DataFrame:
-    """Pairs (a, b) of classes from different families of one of `groups` (grp, class, family) that may link; `known` names a row of each class."""
+def by_task(batches: Iterator[pa.RecordBatch], binary: str) -> Iterator[tuple[dict[str, np.ndarray], list[bytes]]]:
+    """The rows of each task (they come together): its columns, and the values of the binary one."""
+    held: list[tuple[dict, list]] = []
+    last = None
 
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scratch = np.zeros(MAX_BITS, np.uint8)
-        held: list[list] = []
-        last = None
-
-        def pairs_of() -> pa.RecordBatch:
-            family, of, sizes, block, other = (np.concatenate(c) for c in list(zip(*held, strict=True))[:5])
-            places = [np.frombuffer(s, np.uint16) for h in held for s in h[5]]
-            # in a task of two blocks, the pairs inside either are left to that block's own task
-            tags = (family, block) if (block != other).any() else (family,)
-            found = np.array(group_pairs(family, sizes, places, tags, threshold_pct, spanning, scratch), np.int64).reshape(-1, 2)
-            a, b = of[found[:, 0]], of[found[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    def whole() -> tuple[dict[str, np.ndarray], list[bytes]]:
+        return {c: np.concatenate([h[0][c] for h in held]) for c in held[0][0]}, [x for h in held for x in h[1]]
 
-        for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("task", "family", "class", "n_shingles", "block", "other")]
-            places = batch.column("signature").to_pylist()
-            task = columns[0]
-            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1), len(task)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b == a:
-                    continue
-                if held and task[a] != last:
-                    yield pairs_of()
-                    held = []
-                held.append([*(c[a:b] for c in columns[1:]), places[a:b]])
-                last = task[a]
-        if held:
-            yield pairs_of()
+    for batch in batches:
+        columns = {c: batch.column(c).to_numpy() for c in batch.schema.names if c != binary}
+        values, task = batch.column(binary).to_pylist(), columns["task"]
+        cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b == a:
+                continue
+            if held and task[a] != last:
+                yield whole()
+                held = []
+            held.append(({c: x[a:b] for c, x in columns.items()}, values[a:b]))
+            last = task[a]
+    if held:
+        yield whole()
 
+
+def tags_of(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Pairs of one family are not wanted; in a task of two blocks, the pairs inside either are left to that block's own task."""
+    return (rows["family"], rows["block"]) if (rows["block"] != rows["other"]).any() else (rows["family"],)
+
+
+def dealt(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """task, family, row, block, other: each group (grp, class, family) is a task, or one for each pair of its blocks of BLOCK sets that holds pairs of two families."""
     by_family = groups.groupBy("grp", "family").agg(F.count("*").alias("c"))
     large = by_family.groupBy("grp").agg(F.sum("c").alias("total"), F.max(F.struct("c", "family")).alias("most")).where(F.col("total") > BLOCK)
     large = large.select("grp", F.col("most.family").alias("most"), F.ceil(F.col("most.c") / BLOCK).alias("own"), F.ceil((F.col("total") - F.col("most.c")) / BLOCK).alias("rest"))
     placed = groups.join(large, "grp", "left")
-    mine = F.col("family") == F.col("most")
-    hashed = F.xxhash64("class")
+    mine, hashed = F.col("family") == F.col("most"), F.xxhash64("class")
     placed = placed.withColumn("block", F.coalesce(F.when(mine, F.pmod(hashed, F.col("own"))).otherwise(F.col("own") + F.pmod(hashed, F.col("rest"))), F.lit(0)).cast("long"))
     others = F.when(F.col("own").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.when(mine, F.col("own")).otherwise(F.lit(0)).cast("long"), (F.col("own") + F.col("rest") - 1).cast("long")))
     placed = placed.withColumn("other", F.explode(others))
-    placed = placed.withColumn("task", F.when(F.col("own").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other"))))
-    placed = placed.join(known.select("class", "row"), "class").select("task", "family", "row", "block", "other")
-    signed = wanted(rows.select("row", "class", "n_shingles", "signature"), "row", known.join(groups, "class", "left_semi").select("row"))
-    signed = signed.join(placed, "row").select("task", "family", "class", "n_shingles", "block", "other", "signature")
-    dealt = signed.repartition(shuffle_partitions(groups.sparkSession), "task").sortWithinPartitions("task")
-    return dealt.mapInArrow(traverse, "a long, b long").distinct()
+    task = F.when(F.col("own").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")))
+    return placed.withColumn("task", task).join(known.select("class", "row"), "class").select("task", "family", "row", "block", "other")
+
+
+def tree_pairs(groups: DataFrame, known: DataFrame, rows: DataFrame, threshold_pct: int, spanning: bool, frames: Frames) -> DataFrame:
+    """Pairs (a, b) of classes from different families of one of `groups` (grp, class, family) that may link; `known` names a row of each class.
+
+    The trees are made of bitmaps; of the sets in pairs that they leave, signatures follow.
+    """
+    parts = shuffle_partitions(groups.sparkSession)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for of, bitmaps in by_task(batches, "bitmap"):
+            places = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little")) for x in bitmaps]
+            i, j = candidates(of["n_shingles"], places, tags_of(of), threshold_pct)
+            some = np.unique(np.concatenate([i, j]))
+            yield pa.RecordBatch.from_arrays([pa.array(of[c][some]) for c in ("task", "family", "row", "block", "other")], ["task", "family", "row", "block", "other"])
+
+    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scratch = np.zeros(MAX_BITS, np.uint8)
+        for of, signatures in by_task(batches, "signature"):
+            places = [np.frombuffer(x, np.uint16) for x in signatures]
+            found = np.array(group_pairs(of["family"], of["n_shingles"], places, tags_of(of), threshold_pct, spanning, scratch), np.int64).reshape(-1, 2)
+            a, b = of["class"][found[:, 0]], of["class"][found[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def together(placed: DataFrame, *columns: str) -> DataFrame:
+        some = wanted(rows.select("row", *columns), "row", placed.select("row"))
+        return some.join(placed, "row").repartition(parts, "task").sortWithinPartitions("task")
+
+    placed = frames.save(dealt(groups, known))
+    left = frames.save(together(placed, "n_shingles", "bitmap").mapInArrow(sift, placed.schema))
+    return together(left, "class", "n_shingles", "signature").mapInArrow(traverse, "a long, b long").distinct()
 
 
 def of_families(groups: DataFrame, found: DataFrame) -> DataFrame:
@@ -528,23 +560,23 @@ def links(rows: DataFrame, known: DataFrame, docs: DataFrame, n: int, threshold_
 
     entries = (rows.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - threshold_pct) // 100
     groups = save(of_families(prefix_groups(rows, threshold_pct, entries), connected(linked, frames)))
-    compared = save(verified(save(tree_pairs(groups, known, rows, threshold_pct, spanning=True)), known, docs, n, threshold_pct))
+    compared = save(verified(save(tree_pairs(groups, known, rows, threshold_pct, True, frames)), known, docs, n, threshold_pct))
     linked = save(linked.union(compared.where("linked").select("a", "b")))
     failed = save(ends(compared.where("not linked")))
     if failed.isEmpty():
         return linked
     touched = groups.join(failed, "class", "left_semi").select("grp").distinct()
     left = save(of_families(groups.join(touched, "grp", "left_semi"), connected(linked, frames)))
-    more = save(tree_pairs(left, known, rows, threshold_pct, spanning=False).join(compared.select("a", "b"), ["a", "b"], "left_anti"))
+    more = save(tree_pairs(left, known, rows, threshold_pct, False, frames).join(compared.select("a", "b"), ["a", "b"], "left_anti"))
     return save(linked.union(verified(more, known, docs, n, threshold_pct).where("linked").select("a", "b")))
 
 
 def classified(docs: DataFrame, n: int, threshold_pct: int, frames: Frames) -> DataFrame:
     """doc_id, tie, n_shingles, class (0 without shingles), component (a class), component_id, class_id, n_copies of each document."""
     rows = frames.save(profiles(docs, n, threshold_pct, frequent_shingles(docs, n)).withColumn("row", F.monotonically_increasing_id()))
-    # a minhash only has to tell sets apart: a hash of its bytes does
-    slim = rows.where("n_shingles > 0").select("row", "class", "doc_id", "tie", "n_shingles", "common", *(F.xxhash64(F.substring("minhashes", 8 * k + 1, 8)).alias(f"m{k}") for k in range(MINHASHES)))
-    alike = [F.first(c).alias(c) for c in ("n_shingles", "common", *(f"m{k}" for k in range(MINHASHES)))]
+    minhashes = [f"m{k}" for k in range(MINHASHES)]
+    slim = rows.where("n_shingles > 0").select("row", "class", "doc_id", "tie", "n_shingles", "common", "sketch", *minhashes)
+    alike = [F.first(c).alias(c) for c in ("n_shingles", "common", "sketch", *minhashes)]
     known = frames.save(slim.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min("tie").alias("first_tie"), F.min("row").alias("row"), F.count("*").alias("n_copies"), *alike))
     found = connected(links(rows, known, docs, n, threshold_pct, frames), frames)
     named = known.select("class", "class_id", "n_copies").join(found.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("component", F.coalesce("label", "class"))

@@ -24,8 +24,8 @@ def found(spark, texts):
 def test_variants_with_one_word_edited_give_few_pairs(spark, monkeypatch, block):
     made, tree_pairs = [], jaccard.tree_pairs
 
-    def counted(*args, **more):
-        made.append(jaccard.Frames(spark).save(tree_pairs(*args, **more)))
+    def counted(*args):
+        made.append(jaccard.Frames(spark).save(tree_pairs(*args)))
         return made[-1]
 
     monkeypatch.setattr(jaccard, "tree_pairs", counted)
