@@ -1,11 +1,13 @@
 """Best-fit packing by a configuration linear program.
 
-Documents become token ids, each followed by a separator id; only those longer than a sequence are cut. The histogram of piece
-lengths (at most `capacity` numbers, whatever the input) is packed on the driver: multiplicative weights raise the prices of
-lengths that the chosen configurations cover least, a knapsack dynamic program finds the best-paying configuration at these prices, the
-average of the rounds is a fractional solution of the configuration LP, and rounding it down and filling the rest by
-repeated knapsacks and best fit gives whole sequences. The plan (ranges of piece ranks for each length) is applied by executors; pieces never meet in
-one task, as ranks come from counts of (length, salt).
+Documents become token ids, each followed by a separator id; only those longer than a sequence are cut. The histogram of piece lengths (at most
+`capacity` numbers, whatever the input) is packed on the driver. The configuration LP: cover each length's count by configurations (multisets of lengths
+that fit a sequence), as few as can be. Multiplicative weights: a length's price is its size times a weight that falls with what the configurations
+chosen so far cover of it. A round prices by a knapsack dynamic program, whose table gives the best configuration around every length; those that
+come near the best are raised by a small step each, the lengths most behind first. The sum of the steps is the fractional solution. Any prices bound the LP
+from below (their sum over all pieces by the best configuration's worth), and `plan` returns the best such bound. The solution is rounded down, and what is left
+goes by best fit: the largest piece, and the subset of the others that fills its sequence best. The plan (ranges of piece ranks for each length) is applied by
+executors; pieces never meet in one task, as ranks come from counts of (length, salt).
 
 Cases: a null or empty text is the separator alone; repeated rows are packed as often as they come (an equal row gets an equal
 doc_id and piece, and its own place); a null doc_id is kept; no rows give no pieces; other columns are ignored.
@@ -13,35 +15,45 @@ doc_id and piece, and its own place); a null doc_id is kept; no rows give no pie
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, save
 
-#: Chunks of text whose ids are remembered by a Python worker; its memory is bounded by forgetting all when they are more.
-REMEMBERED = 300_000
-#: How the tokenizer parts text of ASCII once it is lower-cased; each part has ids of its own.
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-#: Rows aimed at in a (length, salt) group.
-SALT_ROWS = 200
+#: Chunks of text, and parts of them, whose ids are remembered by a Python worker; its memory is bounded by forgetting all when they are more.
+REMEMBERED = 400_000
+#: Signs up to here are parted as the tokenizer parts them; chunks with others (marks that combine, scripts that newer versions of Unicode may change) are encoded whole.
+PLAIN = re.compile(r"[\x00-\u024F\u0400-\u045F\u2010-\u2027]*")
+#: Marks that often end a word, and are a part of their own there.
+ENDS = frozenset(["", *".,;:!?"])
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Chunks on which a tokenizer shows whether it parts text so.
-PROBES = ("Word,", "WORDS", "it's", "we'll've", "x\"'s", "a1b22", "(end).", "--x--", "3.14", "don't!", "A_b-C/d", "a\x0bb", "$$$9")
+
+
+def byte_signs() -> dict[int, str]:
+    """The sign that byte-level tokenizers write for each byte: itself where it shows, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class ChunkIds(dict):
     """Token ids, as little-endian bytes, of text without spaces or line ends: the pre-tokenizer never joins across those.
 
-    Chunks of ASCII are put together from their parts, so that a word is encoded once for all its capitals and marks. Special tokens are looked for
-    before the parting: chunks that may hold one are encoded whole.
+    Where the tokenizer's own definition says that text is normalized (NFC, one space for many, lower case), then parted by a pattern whose matches are
+    encoded each by itself, chunks are put together from their parts, and a part is encoded once for all its capitals and marks. Special tokens are
+    looked for before the parting: chunks that may hold one are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -49,23 +61,54 @@ class ChunkIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: whether PARTS holds for this tokenizer: other vocabularies are encoded chunk by chunk
-        self.parted = all(self._direct(t) == b"".join(map(self._direct, PARTS.findall(t.lower()))) for t in PROBES)
+        self.parts: dict[str, bytes] = {}
+        self.signs = byte_signs()
+        self.model = self.tokenizer.model
+        self.pattern = parting(json.loads(self.tokenizer.to_str()))
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            written = part if part.isascii() and part.isprintable() else "".join(map(self.signs.__getitem__, part.encode("utf-8", "surrogatepass")))
+            tokens = self.model.tokenize(written)
+            ids = self.parts[part] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return ids
+
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        parts = PARTS.findall(chunk.lower()) if self.parted and chunk.isascii() and not any(t in chunk for t in self.special) else []
-        if parts and parts != [chunk]:
-            ids = b"".join(map(self.__getitem__, parts))
-        else:
-            ids = self._direct(chunk)
-        self[chunk] = ids
+        ids = self[chunk] = self._encoded(chunk)
         return ids
 
+    def _encoded(self, chunk: str) -> bytes:
+        if self.pattern is None or not (chunk.isascii() or PLAIN.fullmatch(chunk)):
+            return self._direct(chunk)
+        head, tail = (chunk, "") if chunk.isalpha() else (chunk[:-1], chunk[-1:])
+        lower = head.lower()
+        if tail in ENDS and lower.isalpha():  # one word
+            return self._part(lower) + self._part(tail) if tail else self._part(lower)
+        if any(t in chunk for t in self.special):
+            return self._direct(chunk)
+        # no sign of PLAIN is lower-cased by its neighbours, as a sigma would be
+        return b"".join(map(self._part, self.pattern.findall(unicodedata.normalize("NFC", chunk).lower())))
+
+
+def parting(definition: dict) -> regex.Pattern | None:
+    """The pattern of a tokenizer's parts, from its own definition, if each part is encoded by itself; None for definitions of other kinds."""
+    normalizers = (definition.get("normalizer") or {}).get("normalizers") or []
+    kinds = [n["type"] for n in normalizers]
+    steps = (definition.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = definition["model"]
+    plain = kinds == ["NFC", "Replace", "Lowercase"] and normalizers[1]["pattern"] == {"Regex": r"\s+"} and normalizers[1]["content"] == " "
+    plain = plain and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+    plain = plain and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and model["type"] == "BPE" and not model["dropout"] and definition["post_processor"] is None
+    return regex.compile(steps[0]["pattern"]["Regex"]) if plain else None
+
 
 @lru_cache(maxsize=1)
 def chunk_ids(path: str) -> ChunkIds:
@@ -95,51 +138,72 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separa
     return docs.select("doc_id", "text").mapInArrow(cut, PIECE_SCHEMA + ", ids array<int>" * with_ids)
 
 
-def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each length a best-paying configuration holds: unbounded knapsack, one vector operation a unit of room."""
-    price = np.full(capacity + 1, -np.inf)
-    price[lengths] = prices
-    worth = np.zeros(capacity + 1)
-    last = np.zeros(capacity + 1, np.int64)
+def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best worth of each room up to `capacity`, and the length put in last to reach it (0: room left free): unbounded knapsack, one vector operation a unit of room."""
+    down = np.full(capacity + 1, -np.inf)  # down[-l]: the price of length l
+    down[capacity + 1 - lengths] = prices
+    worth, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for room in range(1, capacity + 1):
-        with_one = worth[room - 1 :: -1] + price[1 : room + 1] if room < capacity + 1 else worth
-        best = int(with_one.argmax())
+        with_one = worth[:room] + down[capacity + 1 - room :]
+        best = int(with_one.argmax())  # of equals, the largest piece
         if with_one[best] > worth[room - 1]:
-            worth[room], last[room] = with_one[best], best + 1
+            worth[room], last[room] = with_one[best], room - best
         else:
             worth[room] = worth[room - 1]
-    used, room = np.zeros(capacity + 1, np.int64), capacity
+    return worth, last
+
+
+def filled(last: np.ndarray, room: int) -> dict[int, int]:
+    """How many of each length the knapsack's best filling of `room` holds."""
+    used: dict[int, int] = {}
     while room > 0:
-        if last[room]:
-            used[last[room]] += 1
-        room -= max(1, int(last[room]))
-    return used[lengths]
+        size = int(last[room])
+        if size:
+            used[size] = used.get(size, 0) + 1
+        room -= max(1, size)
+    return used
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, epsilon: float) -> list[tuple[np.ndarray, float]]:
-    """Configurations with fractional multiplicities towards covering `counts`: multiplicative weights on the covering LP.
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, batch: int, near: float, rate: float, power: float) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Configurations with fractional multiplicities that cover `counts`, and a lower bound of the LP: multiplicative weights on the covering LP.
 
-    A round raises its configuration until the scarcest length in it is covered by one more `epsilon` of its need; lengths covered in full
-    have no price. Rounds that are left out leave needs uncovered, which rounding fills in any case.
+    A round covers 1 / `rounds` of all, by up to `batch` configurations whose worth is at least 1 - `near` of the best. Lengths covered in full have no price. The
+    rounds end when all is covered, or after four times `rounds`: what is not covered then is left to the rounding. Weights start from size ** `power`: above 1,
+    large pieces are taken up first, and small ones are left for the rounding to fill up with.
     """
-    covered = np.zeros(len(lengths))
-    chosen: dict[bytes, list] = {}
-    for _ in range(rounds):
-        open_ = covered < 1
+    place = np.full(capacity + 1, -1)
+    place[lengths] = np.arange(len(lengths))
+    volume = float((lengths * counts).sum()) / capacity
+    covered, bound = np.zeros(len(lengths)), 0.0
+    chosen: dict[tuple, float] = {}
+    for _ in range(4 * rounds):
+        open_ = covered < 1 - 1e-9
         if not open_.any():
             break
-        weight = np.where(open_, np.exp(-(covered - covered.min()) / epsilon), 0.0)
-        # the price of a piece: more than its size for large ones, which small ones must be left to fill up; tilted to lengths that are behind
-        config = knapsack(lengths**1.25 * (1.0 + 0.25 * weight) * open_, lengths, capacity)
-        some = config > 0
-        if not some.any():
-            break
-        times = float((counts[some] * np.minimum(epsilon, 1 - covered[some]) / config[some]).min())
-        covered[some] += config[some] * times / counts[some]
-        covered[covered > 1 - 1e-9] = 1.0
-        held = chosen.setdefault(config.tobytes(), [config, 0.0])
-        held[1] += times
-    return [(config, share) for config, share in chosen.values()]
+        prices = lengths**power * np.exp(-rate * (covered - covered[open_].mean()))
+        prices = np.where(open_, prices, 0.0)
+        worth, last = knapsack(prices[open_], lengths[open_], capacity)
+        bound = max(bound, float((counts * prices).sum() / worth[capacity]))
+        around = prices + worth[capacity - lengths]
+        good = np.flatnonzero(open_ & (around >= (1 - near) * worth[capacity]))
+        good = good[np.argsort(covered[good], kind="stable")][:batch]
+        for l in good.tolist():
+            config = filled(last, capacity - int(lengths[l]))
+            config[int(lengths[l])] = config.get(int(lengths[l]), 0) + 1
+            at = place[list(config)]
+            each = np.array(list(config.values()))
+            times = min(max(volume, 1.0) / rounds / len(good), float(((1 - covered[at]) * counts[at] / each).min()))
+            if times > 1e-12:
+                covered[at] += each * times / counts[at]
+                key = tuple(sorted(config.items()))
+                chosen[key] = chosen.get(key, 0.0) + times
+    out = []
+    for key, times in chosen.items():
+        config = np.zeros(len(lengths), np.int64)
+        for size, each in key:
+            config[place[size]] = each
+        out.append((config, times))
+    return out, bound
 
 
 def best_fill(lengths: np.ndarray, left: np.ndarray, room: int) -> dict[int, int]:
@@ -163,8 +227,8 @@ def best_fill(lengths: np.ndarray, left: np.ndarray, room: int) -> dict[int, int
     return out
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 4096, epsilon: float = 1.0) -> list[tuple[np.ndarray, int]]:
-    """Configurations (how many of each length) and how often each is used; together they use `counts` exactly."""
+def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int, shares: list[tuple[np.ndarray, float]]) -> list[tuple[np.ndarray, int]]:
+    """A fractional solution rounded down, and best fit for what is left."""
     left = counts.astype(np.int64).copy()
     out: list[tuple[np.ndarray, int]] = []
 
@@ -175,7 +239,7 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 4
             left[:] -= config * times
             out.append((config, times))
 
-    for config, share in sorted(fractional(lengths, counts, capacity, rounds, epsilon), key=lambda c: -c[1]):
+    for config, share in sorted(shares, key=lambda c: -c[1]):
         use(config, math.floor(share + 1e-9))
     largest = len(left) - 1
     while True:
@@ -191,12 +255,35 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 4
         use(config, int(left.max()))
 
 
-def assigned(rows: DataFrame, capacity: int = 2048, rounds: int = 4096) -> DataFrame:
-    """`rows` (any with doc_id, piece, length up to `capacity`) with sequence_id and a gapless offset."""
+def plan(
+    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 64, batch: int = 32, near: float = 0.001, rate: float = 2.0, powers: tuple[float, ...] = (1.0, 1.25), gap: float = 0.002
+) -> tuple[list[tuple[np.ndarray, int]], float]:
+    """Configurations (how many of each length) and how often each is used; together they use `counts` exactly. And the LP's lower bound on their number.
+
+    The best of the solutions from several starting prices; the first within `gap` of the bound will do.
+    """
+    # few lengths need finer steps, and can have them
+    rounds = max(rounds, min(8 * rounds, 128 * rounds // max(1, len(lengths))))
+    best, bound = None, 0.0
+    for power in powers:
+        shares, least = fractional(lengths, counts, capacity, rounds, batch, near, rate, power)
+        bound = max(bound, least)
+        found = rounded(lengths, counts, capacity, shares)
+        if best is None or sum(t for _, t in found) < sum(t for _, t in best):
+            best = found
+        if sum(t for _, t in best) <= (1 + gap) * bound + 1:
+            break
+    return best, bound
+
+
+def assigned(rows: DataFrame, capacity: int = 2048, rounds: int = 64) -> DataFrame:
+    """`rows` (any with column length, up to `capacity`) with sequence_id and a gapless offset."""
     spark = rows.sparkSession
+    columns, schema = rows.columns, rows.schema
+    rows = save(rows.withColumn("_row", F.monotonically_increasing_id()))
     histogram = sorted((r.length, r.n) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect())  # at most `capacity` rows
     lengths, counts = np.array([h[0] for h in histogram], np.int64), np.array([h[1] for h in histogram], np.int64)
-    configs = plan(lengths, counts, capacity, rounds) if histogram else []
+    configs = plan(lengths, counts, capacity, rounds)[0] if histogram else []
     # ranges of ranks of each length: (first rank, sequences before, pieces a sequence, offset)
     next_rank, base = np.zeros(len(lengths), np.int64), 0
     ranges: list[tuple[int, int, int, int, int]] = []
@@ -210,13 +297,13 @@ def assigned(rows: DataFrame, capacity: int = 2048, rounds: int = 4096) -> DataF
     table = np.array(sorted(ranges), np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast((lengths, table))
 
-    # ranks within a length: salts deal its pieces out, and counts of (length, salt) say where each salt starts
-    salts_of = spark.createDataFrame([(n, -(-c // SALT_ROWS)) for n, c in histogram] or [(0, 1)], "length long, _salts long")
-    salted = rows.join(F.broadcast(salts_of), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts")).cast("int"))
+    # ranks within a length: salts deal its pieces out, and counts of (length, salt) say where each salt starts; as many salts as each has rows
+    salts_of = spark.createDataFrame([(n, math.isqrt(c - 1) + 1) for n, c in histogram] or [(0, 1)], "length long, _salts long")
+    salted = rows.join(F.broadcast(salts_of), "length").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = save(sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
-    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "_salt").orderBy("_row")
     ranked = salted.withColumn("_own", F.row_number().over(own) - 1).join(starts, ["length", "_salt"]).withColumn("_rank", F.col("_first") + F.col("_own"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,11 +318,10 @@ def assigned(rows: DataFrame, capacity: int = 2048, rounds: int = 4096) -> DataF
             names = [c for c in batch.schema.names if not c.startswith("_")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, more.values())], [*names, *more])
 
-    columns = [*rows.columns, "_rank"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", sequence_id long, offset long"
-    return ranked.select(columns).mapInArrow(place, schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", sequence_id long, offset long"
+    return ranked.select(*columns, "_rank").mapInArrow(place, fields)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, with_ids: bool = False, rounds: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, with_ids: bool = False, rounds: int = 64) -> DataFrame:
     """Pieces of `docs` with their places: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    return assigned(save(tokenized(docs, tokenizer_path, capacity, separator, with_ids)), capacity, rounds)
+    return assigned(tokenized(docs, tokenizer_path, capacity, separator, with_ids), capacity, rounds)
