@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .common import pieces, save
 
@@ -38,7 +39,7 @@ REMEMBERED = 400_000
 PLAIN = re.compile(r"[\x00-\u024F\u0400-\u045F\u2010-\u2027]*")
 #: Marks that often end a word, and are a part of their own there.
 ENDS = frozenset(["", *".,;:!?"])
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE_COLUMNS = "piece int, start long, length long, ids_crc32 long"
 
 
 def byte_signs() -> dict[int, str]:
@@ -116,26 +117,29 @@ def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, its ids."""
+def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per piece: doc_id, the columns of `carry`, piece, start, length, ids_crc32 and, if asked for, its ids."""
     end = np.array([separator], "<u4").tobytes()
+    kept = ["doc_id", *carry]
+    names = [*kept, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 4 + with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = chunk_ids(tokenizer_path)
         for part, texts in pieces(batches):
-            rows: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
+            owner, rows = [], []
+            for i, text in enumerate(texts):
                 chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
                 ids = b"".join(map(ids_of.__getitem__, filter(None, chunks))) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
-                    for column, value in zip(rows, (doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), np.frombuffer(piece, "<u4") if with_ids else None), strict=True):
-                        column.append(value)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)][: 5 + with_ids], names[: 5 + with_ids])
+                    owner.append(i)
+                    rows.append((k, at // 4, len(piece) // 4, zlib.crc32(piece), np.frombuffer(piece, "<i4") if with_ids else None))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(owner, pa.int64())) for c in kept), *columns], names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECE_SCHEMA + ", ids array<int>" * with_ids)
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(*kept, "text").mapInArrow(cut, f"doc_id long{carried}, {PIECE_COLUMNS}" + ", ids array<int>" * with_ids)
 
 
 def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,11 +280,17 @@ def plan(
     return best, bound
 
 
-def assigned(rows: DataFrame, capacity: int = 2048, rounds: int = 64) -> DataFrame:
-    """`rows` (any with column length, up to `capacity`) with sequence_id and a gapless offset."""
+def assigned(rows: DataFrame, capacity: int = 2048, rounds: int = 64, order: str | None = None) -> DataFrame:
+    """`rows` (any with column length, up to `capacity`) with sequence_id and a gapless offset.
+
+    Pieces of one length are dealt to sequences in the order of column `order` (from 0 to 1, near to even), so that a sequence holds what lies near in it as far as
+    lengths allow; without it, in that of a hash.
+    """
     spark = rows.sparkSession
-    columns, schema = rows.columns, rows.schema
+    columns = rows.columns
     rows = save(rows.withColumn("_row", F.monotonically_increasing_id()))
+    whole, heavy = rows, [f.name for f in rows.schema.fields if isinstance(f.dataType, ArrayType)]
+    rows = rows.drop(*heavy).withColumn("_order", F.col(order) if order else F.xxhash64("_row") / 2.0**64 + 0.5)
     histogram = sorted((r.length, r.n) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect())  # at most `capacity` rows
     lengths, counts = np.array([h[0] for h in histogram], np.int64), np.array([h[1] for h in histogram], np.int64)
     configs = plan(lengths, counts, capacity, rounds)[0] if histogram else []
@@ -297,13 +307,14 @@ def assigned(rows: DataFrame, capacity: int = 2048, rounds: int = 64) -> DataFra
     table = np.array(sorted(ranges), np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast((lengths, table))
 
-    # ranks within a length: salts deal its pieces out, and counts of (length, salt) say where each salt starts; as many salts as each has rows
+    # ranks within a length: salts part its pieces by their order, and counts of (length, salt) say where each salt starts; as many salts as each has rows
     salts_of = spark.createDataFrame([(n, math.isqrt(c - 1) + 1) for n, c in histogram] or [(0, 1)], "length long, _salts long")
-    salted = rows.join(F.broadcast(salts_of), "length").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int"))
+    salt = F.least(F.greatest(F.floor(F.col("_order") * F.col("_salts")), F.lit(0)), F.col("_salts") - 1)
+    salted = rows.join(F.broadcast(salts_of), "length").withColumn("_salt", F.coalesce(salt, F.lit(0)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = save(sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
-    own = Window.partitionBy("length", "_salt").orderBy("_row")
+    own = Window.partitionBy("length", "_salt").orderBy("_order", "_row")
     ranked = salted.withColumn("_own", F.row_number().over(own) - 1).join(starts, ["length", "_salt"]).withColumn("_rank", F.col("_first") + F.col("_own"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,13 +326,16 @@ def assigned(rows: DataFrame, capacity: int = 2048, rounds: int = 64) -> DataFra
             length = batch.column("length").to_numpy()
             _, first, seq, each, offset = table[np.searchsorted(keys, np.searchsorted(lengths, length) * big + rank, "right") - 1].T
             more = {"sequence_id": seq + (rank - first) // each, "offset": offset + (rank - first) % each * length}
-            names = [c for c in batch.schema.names if not c.startswith("_")]
+            names = [c for c in batch.schema.names if c != "_rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, more.values())], [*names, *more])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", sequence_id long, offset long"
-    return ranked.select(*columns, "_rank").mapInArrow(place, fields)
+    light = [c for c in columns if c not in heavy] + ["_row"] * bool(heavy)
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in light) + ", sequence_id long, offset long"
+    placed = ranked.select(*light, "_rank").mapInArrow(place, fields)
+    # what is large joins last
+    return placed.join(whole.select("_row", *heavy), "_row").select(*columns, "sequence_id", "offset") if heavy else placed
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, with_ids: bool = False, rounds: int = 64) -> DataFrame:
-    """Pieces of `docs` with their places: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    return assigned(tokenized(docs, tokenizer_path, capacity, separator, with_ids), capacity, rounds)
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, with_ids: bool = False, rounds: int = 64, order: str | None = None) -> DataFrame:
+    """Pieces of `docs` with their places: doc_id, (the column `order`,) piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
+    return assigned(tokenized(docs, tokenizer_path, capacity, separator, with_ids, (order,) if order else ()), capacity, rounds, order)
