@@ -32,15 +32,16 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, in training order."""
+    """Each document as often as the mix takes it, in training order: the order of the files written from this, and of the rows in them."""
     ship_package(spark)
     return mixing.curriculum(docs).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences."""
+    """Pieces of the documents with their token ids and places in sequences. `train_order`, from 0 to 1, is the document's place in the training order (copies of one have
+    their own), and pieces of like length are dealt to sequences in this order."""
     ship_package(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(mixing.in_order(docs, "train_order"), public_tokenizers.path("word_bpe_49k.json"), with_ids=True, order="train_order")
 
 
 STAGES = [
