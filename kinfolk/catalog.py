@@ -14,6 +14,8 @@ from .sources.network import Network, read_star_schema, symmetric
 
 SINCE = "1995-06-01"
 FLAGSHIP = "q4_topk"
+#: Queries (number, k, date) that are answered together.
+BATCH = [(1, 5, "1994-06-01"), (2, 10, "1995-06-01"), (3, 40, "1996-01-01"), (4, 3, "2030-01-01")]
 
 
 def first_topic(net: Network) -> str:
@@ -27,16 +29,20 @@ def event_network(net: Network) -> Network:
 
 
 def _asked(net: Network, x: int) -> DataFrame:
-    """From the smallest node to every tenth one."""
+    """From the smallest node to every one."""
     node = net.knows.select(F.col("src").alias("p2")).distinct()
     start = net.knows.agg(F.min("src").alias("p1"))
-    return node.where(F.col("p2") % 10 == 0).join(F.broadcast(start)).select(F.col("p2").alias("query_no"), "p1", "p2", F.lit(x).alias("x"))
+    return node.join(F.broadcast(start)).select(F.col("p2").alias("query_no"), "p1", "p2", F.lit(x).alias("x"))
 
 
 def _batch(net: Network, x: int) -> DataFrame:
     return social.shortest_paths(net, _asked(net, x)).select(F.col("query_no").alias("p2"), "distance")
 
 
+def _dates(net: Network, asked: list[tuple[int, int, str]]) -> DataFrame:
+    return net.spark.createDataFrame(asked, "query_no long, k int, since string")
+
+
 def _named(net: Network, rows: DataFrame) -> DataFrame:
     """`tag` ids as names."""
     return rows.join(net.tag.select(F.col("id").alias("tag"), "name"), "tag").drop("tag")
@@ -64,7 +70,7 @@ PLANS: dict[str, Callable[[Network], DataFrame]] = {
     "forum_members_of_tag": lambda net: _members(net),
     "induced_subgraph": lambda net: graph.induced(net.knows, _members(net)),
     "components": lambda net: (lambda m: graph.components(graph.induced(net.knows, m), m))(_members(net)),
-    "largest_component_per_tag": lambda net: _named(net, social.interest_ranges(net, SINCE)),
+    "largest_component_per_tag": lambda net: _named(net, social.interest_ranges(net, _dates(net, [(0, 1, SINCE)])).drop("query_no")),
     "bfs_levels": lambda net: graph.reach(net.knows, net.knows.agg(F.min("src").alias("person"))).select("node", "dist"),
     "reach_within_h": lambda net: graph.reach(net.knows, social.persons_in_place(net, "NATION_3"), 2),
     "common_interest_count": lambda net: graph.common_interests(net.knows.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")), net.interest),
@@ -72,7 +78,11 @@ PLANS: dict[str, Callable[[Network], DataFrame]] = {
     "closeness": lambda net: _rounded(social.centralities(net, first_topic(net))),
     "two_hop_neighbours": lambda net: graph.two_hop_neighbours(graph.induced(net.knows, _members(net))),
     "depth_limited_bound": lambda net: (lambda m: graph.depth_bound(graph.induced(net.knows, m), m, 2))(_members(net)),
-    "sampled_distance_sum": lambda net: (lambda m: graph.sampled_sums(graph.induced(net.knows, m), m, 0.1))(_members(net)),
+    "sampled_distance_sum": lambda net: (lambda m: graph.sampled_sums(graph.induced(net.knows, m), m, 0.1))(_members(net)).select("person", F.round("estimate", 6).alias("estimate")),
+    "masked_distance_sum": lambda net: (lambda m: graph.masked_sums(graph.induced(net.knows, m), m, pass_rows=1 << 20))(_members(net)),
+    "distance_histogram": lambda net: (lambda m: graph.reach(graph.induced(net.knows, m), m))(_members(net)).groupBy("dist").agg(F.count("*").alias("pairs")),
+    "diameter": lambda net: (lambda m: graph.reach(graph.induced(net.knows, m), m))(_members(net)).agg(F.max("dist").alias("diameter")),
+    "q2_batch": lambda net: social.top_interests_of(net, _dates(net, BATCH)),
     "q1_path_nofilter": lambda net: _batch(net, -1),
     "q1_path_x0": lambda net: _batch(event_network(net), 0),
     "q1_path_x1": lambda net: _batch(event_network(net), 1),
@@ -124,7 +134,7 @@ def _sql(body: str, *ctes: str) -> str:
 
 def _paths(edges: str, filtered: str) -> str:
     return _sql(
-        f"SELECT p2, coalesce(dist, -1) AS distance FROM (SELECT DISTINCT src AS p2 FROM {edges} WHERE src % 10 = 0) LEFT JOIN dist ON node = p2",
+        f"SELECT p2, coalesce(dist, -1) AS distance FROM (SELECT DISTINCT src AS p2 FROM {edges}) LEFT JOIN dist ON node = p2",
         f"start AS (SELECT min(src) AS person FROM {edges})", f"kept AS ({filtered})", _WALK.format(start="start", edges="kept", depth=14), _DIST,
     )
 
@@ -164,6 +174,17 @@ ORACLE_SQL: dict[str, str] = {
     "closeness": _sql("SELECT person, centrality FROM close_", _INNER, _SUMS, _ALL),
     "two_hop_neighbours": _sql("SELECT DISTINCT a.src AS person, b.dst AS other FROM inner_edges a JOIN inner_edges b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM inner_edges e WHERE e.src = a.src AND e.dst = b.dst)"),
     "depth_limited_bound": _sql("SELECT source AS person, CAST(sum(least(dist, 3)) AS BIGINT) AS bound FROM dist GROUP BY 1", _INNER),
+    "sampled_distance_sum": _sql("""SELECT person, round(CASE WHEN (person * 7919 + 1) % 10007 < 1000 OR mean IS NULL THEN CAST(s AS DOUBLE) ELSE mean * r END, 6) AS estimate FROM sums LEFT JOIN means ON node = person""",
+        _INNER, _SUMS, "means AS (SELECT node, avg(dist) AS mean FROM dist WHERE (source * 7919 + 1) % 10007 < 1000 GROUP BY 1)"),
+    "masked_distance_sum": _sql("SELECT person, CAST(r AS BIGINT) AS r, s FROM sums", _INNER, _SUMS),
+    "distance_histogram": _sql("SELECT dist, count(*) AS pairs FROM dist GROUP BY 1", _INNER),
+    "diameter": _sql("SELECT max(dist) AS diameter FROM dist", _INNER),
+    "q2_batch": _sql("SELECT query_no, topic AS name, size FROM sizes JOIN asked USING (query_no) QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY size DESC, topic) <= k",
+        "asked(query_no, k, since) AS (VALUES " + ", ".join(f"(CAST({n} AS BIGINT), {k}, DATE '{d}')" for n, k, d in BATCH) + ")",
+        "young AS (SELECT query_no, topic, person FROM interest JOIN person ON id = person JOIN asked ON birthday >= since)",
+        "young_edges AS (SELECT a.query_no, a.topic, src, dst FROM knows JOIN young a ON a.person = src JOIN young b ON b.person = dst AND a.topic = b.topic AND a.query_no = b.query_no)",
+        "spread(query_no, topic, person, other) AS (SELECT query_no, topic, person, person FROM young UNION SELECT s.query_no, s.topic, s.person, e.dst FROM spread s JOIN young_edges e ON e.query_no = s.query_no AND e.topic = s.topic AND e.src = s.other)",
+        "sizes AS (SELECT query_no, topic, max(n) AS size FROM (SELECT query_no, topic, person, count(*) AS n FROM spread GROUP BY 1, 2, 3) GROUP BY 1, 2)"),
     "q1_path_nofilter": _paths("knows", "SELECT src, dst FROM knows"),
     "q1_path_x0": _paths("talk", "SELECT src, dst FROM weights WHERE reply_min > 0"),
     "q1_path_x1": _paths("talk", "SELECT src, dst FROM weights WHERE reply_min > 1"),

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Folders made for sessions that name none, by application.
+_own: dict[str, str] = {}
+#: Sources that a row's mask stands for, and rows (block of sources, node) that one pass over the sources may hold.
+MASK_BITS, PASS_ROWS = 63, 1 << 30
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir. Where that is unset, a temporary one, if driver and executors are one process; else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='kinfolk-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^,]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        folder = _own.get(context.applicationId) or _own.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='kinfolk-')}")
     return folder.rstrip("/")
 
 
@@ -48,20 +57,21 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, sources: DataFrame, hops: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """source, node, dist within `hops` (or all) of each of `sources` (person), itself included: one level-synchronous loop for all sources.
 
-    `wanted` (source, node): sources with all of their wanted nodes reached go no further.
+    Edges go both ways, so what a level's nodes see lies in the level before, their own or the next: only two levels are held against. `wanted`
+    (source, node): sources with all of their wanted nodes reached go no further.
     """
     edges = save(edges)
     frontier = save(sources.select(F.col("person").alias("source"), F.col("person").alias("node"), F.lit(0).alias("dist")).distinct())
-    seen = frontier
-    level = 0
+    seen, last, level = frontier, frontier, 0
     while hops is None or level < hops:
         level += 1
         active = frontier
         if wanted is not None:
-            open_ = wanted.join(seen, ["source", "node"], "left_anti").select("source").distinct()
-            active = active.join(open_, "source", "left_semi")
+            wanted = save(wanted.join(frontier, ["source", "node"], "left_anti"))
+            active = active.join(wanted.select("source").distinct(), "source", "left_semi")
         near = active.join(edges, active.node == edges.src).select("source", F.col("dst").alias("node")).distinct()
-        frontier = save(near.join(seen, ["source", "node"], "left_anti").withColumn("dist", F.lit(level)))
+        fresh = near.join(frontier, ["source", "node"], "left_anti").join(last, ["source", "node"], "left_anti")
+        last, frontier = frontier, save(fresh.withColumn("dist", F.lit(level)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -86,13 +96,12 @@ def components(edges: DataFrame, nodes: DataFrame, key: str | None = None) -> Da
 def distance_sums(edges: DataFrame, nodes: DataFrame, broadcast_edges: int = 4_000_000) -> DataFrame:
     """person, r (nodes reached, itself included), s (sum of the distances to them) within the graph of `nodes` (person).
 
-    A graph of at most `broadcast_edges` edges goes to the executors, which search from 64 sources at a time; a larger one is searched by joins.
+    A graph of at most `broadcast_edges` edges goes to the executors, which search from 64 sources at a time; a larger one is searched by `masked_sums`.
     """
     edges, nodes = save(edges.select("src", "dst")), save(nodes.select("person").distinct())
     if edges.count() > broadcast_edges:
-        dist = reach(edges, nodes)
-        return dist.groupBy(F.col("source").alias("person")).agg(F.count("*").alias("r"), F.sum("dist").cast("long").alias("s"))
-    table = edges.orderBy("dst", "src").toPandas()
+        return masked_sums(edges, nodes)
+    table = edges.toPandas().sort_values(["dst", "src"])
     ids = np.unique(np.concatenate([table.src.to_numpy(np.int64), table.dst.to_numpy(np.int64)]))
     src, dst = np.searchsorted(ids, table.src), np.searchsorted(ids, table.dst)
     heads, starts = np.unique(dst, return_index=True)
@@ -127,6 +136,44 @@ def distance_sums(edges: DataFrame, nodes: DataFrame, broadcast_edges: int = 4_0
     return nodes.repartition(parts).mapInArrow(search, "person long, r long, s long")
 
 
+def masked_sums(edges: DataFrame, nodes: DataFrame, pass_rows: int = PASS_ROWS) -> DataFrame:
+    """As `distance_sums`, by joins: a row (block, node, mask) tells which of a block's MASK_BITS sources have come to the node, so that a level of a block is one row a node.
+
+    Sources are dealt to passes of at most `pass_rows` such rows; a pass leaves two numbers a source.
+    """
+    n = nodes.count()
+    blocks = -(-n // MASK_BITS)
+    passes = max(1, -(-blocks * n // pass_rows))
+    per_pass = -(-blocks // passes)
+    # ranks from sums over hash buckets; within a bucket by id
+    buckets = max(1, -(-n // 1000))
+    bucketed = nodes.withColumn("bucket", F.pmod(F.xxhash64("person"), F.lit(buckets)))
+    starts = bucketed.groupBy("bucket").agg(F.count("*").alias("c")).withColumn("first", F.coalesce(F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.col("first") + F.row_number().over(Window.partitionBy("bucket").orderBy("person")) - 1
+    numbered = save(bucketed.join(starts, "bucket").select("person", rank.alias("rank")).select("person", F.expr(f"rank div {MASK_BITS}").alias("block"), (F.col("rank") % MASK_BITS).cast("int").alias("bit")))
+    sums = []
+    for first in range(0, max(1, blocks), max(1, per_pass)):
+        mine = numbered.where((F.col("block") >= first) & (F.col("block") < first + per_pass))
+        front = save(mine.select("block", F.col("person").alias("node"), F.expr("shiftleft(1L, bit)").alias("mask")))
+        last, level = front, 0
+        while True:
+            level += 1
+            near = front.join(edges, front.node == edges.src).groupBy("block", F.col("dst").alias("node")).agg(F.bit_or("mask").alias("mask"))
+            for old, name in ((front, "x"), (last, "y")):
+                near = near.join(old.select("block", "node", F.col("mask").alias(name)), ["block", "node"], "left")
+            fresh = near.select("block", "node", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("x", F.lit(0)).bitwiseOR(F.coalesce("y", F.lit(0))))).alias("mask"))
+            last, front = front, save(fresh.where("mask <> 0"))
+            if front.isEmpty():
+                break
+            counts = front.groupBy("block").agg(*(F.sum(F.shiftright("mask", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(MASK_BITS)))
+            each = counts.select("block", F.posexplode(F.array(*(f"b{b}" for b in range(MASK_BITS)))).alias("bit", "c"))
+            sums.append(save(mine.join(each, ["block", "bit"]).select("person", F.col("c").alias("r"), (F.col("c") * level).alias("s"))))
+    whole = nodes.select("person", F.lit(1).cast("long").alias("r"), F.lit(0).cast("long").alias("s"))
+    for more in sums:
+        whole = whole.unionByName(more)
+    return whole.groupBy("person").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
+
+
 def closeness(r: Column, s: Column, n: Column) -> Column:
     """(r - 1)^2 / ((n - 1) s), 0 if nothing else is reached."""
     reached = (r - 1).cast("double") * (r - 1)
@@ -168,9 +215,17 @@ def depth_bound(edges: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
 
 
 def sampled_sums(edges: DataFrame, nodes: DataFrame, share: float, seed: int = 1) -> DataFrame:
-    """person, estimate: the distance sum scaled up from the distances to a hash sample of the nodes; an estimate by design."""
-    chosen = nodes.where(F.pmod(F.xxhash64("person", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
-    of = components(edges, nodes)
+    """person, estimate: the distance sum, scaled up from the distances to a sample of the nodes; an estimate by design.
+
+    Sampled nodes, and those of components without any, get their exact sums. The sample goes by arithmetic on the ids (fixed values).
+    """
+    edges, nodes = save(edges.select("src", "dst")), save(nodes.select("person").distinct())
+    chosen = nodes.where(F.pmod(F.col("person") * 7919 + seed, F.lit(10_007)) < int(share * 10_007))
+    of = save(components(edges, nodes))
+    dist = save(reach(edges, chosen))
+    exact = dist.groupBy(F.col("source").alias("person")).agg(F.sum("dist").cast("double").alias("estimate"))
     sizes = of.groupBy("comp").agg(F.count("*").alias("r"))
-    mean = reach(edges, chosen).groupBy("node").agg(F.avg("dist").alias("mean"))
-    return mean.join(of, "node").join(sizes, "comp").select(F.col("node").alias("person"), (F.col("mean") * F.col("r")).alias("estimate"))
+    rest = dist.groupBy("node").agg(F.avg("dist").alias("mean")).join(exact, F.col("node") == F.col("person"), "left_anti").join(of, "node").join(sizes, "comp")
+    alone = nodes.join(dist.select(F.col("node").alias("person")).distinct(), "person", "left_anti")
+    apart = distance_sums(induced(edges, alone), alone).select("person", F.col("s").cast("double").alias("estimate"))
+    return exact.union(rest.select(F.col("node").alias("person"), (F.col("mean") * F.col("r")).alias("estimate"))).union(apart)

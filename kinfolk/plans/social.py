@@ -36,18 +36,58 @@ def shortest_path(net: Network, p1: int, p2: int, x: int) -> DataFrame:
     return shortest_paths(net, asked).select("distance")
 
 
-def interest_ranges(net: Network, since: str) -> DataFrame:
-    """tag, size: of each tag, the largest group of followers born on `since` or later who are connected through such followers."""
-    young = net.person.where(F.col("birthday") >= F.lit(since).cast("date")).select(F.col("id").alias("person"))
-    fans = graph.save(net.interest.join(young, "person", "left_semi").select("tag", "person"))
-    edges = net.knows.join(fans.select(F.col("person").alias("src"), "tag"), "src").join(fans.select(F.col("person").alias("dst"), "tag"), ["dst", "tag"]).select("tag", "src", "dst")
-    comps = graph.components(edges, fans, "tag")
-    return comps.groupBy("tag", "comp").agg(F.count("*").alias("size")).groupBy("tag").agg(F.max("size").alias("size"))
+def interest_ranges(net: Network, asked: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """query_no, tag, size: for each (query_no, since) of `asked`, the largest group of a tag's followers born on `since` or later who are connected through such followers.
+
+    All queries and tags share one loop. `tags` (query_no, tag): only these.
+    """
+    fans = young_followers(net, asked)
+    if tags is not None:
+        fans = fans.join(tags.select("query_no", "tag"), ["query_no", "tag"], "left_semi")
+    fans = graph.save(fans.select(F.struct("query_no", "tag").alias("key"), "person"))
+    edges = net.knows.join(fans.select(F.col("person").alias("src"), "key"), "src").join(fans.select(F.col("person").alias("dst"), "key"), ["dst", "key"]).select("key", "src", "dst")
+    comps = graph.components(edges, fans, "key")
+    sizes = comps.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max("size").alias("size"))
+    return sizes.select("key.query_no", "key.tag", "size")
+
+
+def young_followers(net: Network, asked: DataFrame) -> DataFrame:
+    """query_no, tag, person. `asked` is a set of queries, not a table of the data."""
+    born = net.interest.join(net.person.select(F.col("id").alias("person"), "birthday"), "person")
+    since = asked.select("query_no", F.col("since").cast("date").alias("since"))
+    return born.join(F.broadcast(since), F.col("birthday") >= F.col("since")).select("query_no", "tag", "person").distinct()
+
+
+def top_interests_of(net: Network, asked: DataFrame) -> DataFrame:
+    """query_no, name, size: for each (query_no, k, since), the k tags with the largest ranges, by size, then name.
+
+    A range is no larger than the number of its tag's followers: the tags with most followers go first, and then only those that have as many as the k-th range so far.
+    """
+    asked = graph.save(asked)
+    counts = graph.save(young_followers(net, asked).groupBy("query_no", "tag").agg(F.count("*").alias("followers")).join(asked.select("query_no", "k"), "query_no"))
+    by_followers = Window.partitionBy("query_no").orderBy(F.desc("followers"), "tag")
+    first = graph.save(counts.withColumn("place", F.row_number().over(by_followers)).where(F.col("place") <= 2 * F.col("k")).select("query_no", "tag", "k"))
+    known = graph.save(interest_ranges(net, asked, first))
+    by_size = Window.partitionBy("query_no").orderBy(F.desc("size"), "tag")
+    kth = known.join(asked.select("query_no", "k"), "query_no").withColumn("place", F.row_number().over(by_size)).where(F.col("place") == F.col("k")).select("query_no", F.col("size").alias("least"))
+    rest = counts.join(first.select("query_no", "tag"), ["query_no", "tag"], "left_anti").join(kth, "query_no", "left").where(F.col("followers") >= F.coalesce("least", F.lit(0)))
+    rest = graph.save(rest.select("query_no", "tag"))
+    if not rest.isEmpty():
+        known = graph.save(known.unionByName(interest_ranges(net, asked, rest)))
+    named = known.join(net.tag.select(F.col("id").alias("tag"), "name"), "tag").join(asked.select("query_no", "k"), "query_no")
+    best = Window.partitionBy("query_no").orderBy(F.desc("size"), "name")
+    return named.withColumn("place", F.row_number().over(best)).where(F.col("place") <= F.col("k")).select("query_no", "name", "size")
+
+
+def _one(net: Network, k: int, since: str) -> DataFrame:
+    return net.spark.createDataFrame([(0, k, since)], "query_no long, k int, since string")
 
 
 def top_interests(net: Network, k: int, since: str, include_empty: bool = False) -> DataFrame:
-    """name, size of the k tags with the largest ranges, by size, then name."""
-    ranked = net.tag.join(interest_ranges(net, since), net.tag.id == F.col("tag"), "left" if include_empty else "inner")
+    """name, size of the k tags with the largest ranges, by size, then name. `include_empty`: tags without followers count as ranges of 0."""
+    if not include_empty:
+        return top_interests_of(net, _one(net, k, since)).select("name", "size").orderBy(F.desc("size"), "name").limit(k)
+    ranked = net.tag.join(interest_ranges(net, _one(net, k, since)), net.tag.id == F.col("tag"), "left")
     return ranked.select("name", F.coalesce("size", F.lit(0)).alias("size")).orderBy(F.desc("size"), "name").limit(k)
 
 
@@ -92,7 +132,3 @@ def top_central(net: Network, k: int, name: str, drop_isolated: bool = False) ->
     """person, centrality of the k most central members, by centrality, then id."""
     return centralities(net, name, drop_isolated).select("person", "centrality").orderBy(F.desc("centrality"), "person").limit(k)
 
-
-def ranked(rows: DataFrame, *order) -> DataFrame:
-    """`rows` (few: the outcome of a top-k) with their rank from 1."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
