@@ -218,14 +218,14 @@ def overlaps(x: np.ndarray, n: int, others: list[np.ndarray], sizes: np.ndarray,
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, n: int, threshold_pct: int) -> DataFrame:
     """a, b, linked of each of `pairs`, compared shingle by shingle. Only texts of their ends are hashed again; no text leaves the scan."""
     need = known.join(ends(pairs), "class", "left_semi").select("class", F.col("first_tie").alias("tie"))
-    some = wanted(docs.select(row_hash(docs).alias("tie"), "text"), "tie", need.select("tie"))
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(need.select("tie")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches):
+        for _, texts in pieces(batch.filter(pa.array(shared.value[slots(batch.column("tie"))])) for batch in batches):
             sets = shingle_sets(texts, n)
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "shingles"])
 
-    sets = some.mapInArrow(hashed, "class long, shingles binary").join(need, "class", "left_semi").dropDuplicates(["class"])
+    sets = docs.select(row_hash(docs).alias("tie"), "text").mapInArrow(hashed, "class long, shingles binary").join(need, "class", "left_semi").dropDuplicates(["class"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

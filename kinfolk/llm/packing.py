@@ -34,7 +34,7 @@ from pyspark.sql.types import ArrayType
 from .common import pieces, save
 
 #: Chunks of text, and parts of them, whose ids are remembered by a Python worker; its memory is bounded by forgetting all when they are more.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Signs up to here are parted as the tokenizer parts them; chunks with others (marks that combine, scripts that newer versions of Unicode may change) are encoded whole.
 PLAIN = re.compile(r"[\x00-\u024F\u0400-\u045F\u2010-\u2027]*")
 #: Marks that often end a word, and are a part of their own there.
