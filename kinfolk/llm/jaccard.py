@@ -303,7 +303,7 @@ def prefix_groups(rows: DataFrame, threshold_pct: int, entries: int) -> DataFram
                 of.append(c)
                 sizes.append(min(m, 2**31 - 1))
                 size += len(token)
-            if size >= CHUNK:
+            if size >= CHUNK // 4:
                 yield blocks()
                 held, of, sizes, size = [], [], [], 0
         if size:

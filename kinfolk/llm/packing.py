@@ -137,6 +137,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separa
                     rows.append((k, at // 4, len(piece) // 4, zlib.crc32(piece), np.frombuffer(piece, "<i4") if with_ids else None))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)]
             yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(owner, pa.int64())) for c in kept), *columns], names)
+        # workers live on, and other operators' tasks need the room
+        ids_of.clear()
+        ids_of.parts.clear()
 
     carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return docs.select(*kept, "text").mapInArrow(cut, f"doc_id long{carried}, {PIECE_COLUMNS}" + ", ids array<int>" * with_ids)
