@@ -1,4 +1,4 @@
-"""Make this package importable on the executors."""
+"""Make this package importable on the executors, and keep what goes to their Python workers small."""
 
 from __future__ import annotations
 
@@ -10,10 +10,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Spark's setting for the bytes of rows handed to a Python worker at once, its default, and what long texts and sounds leave memory for.
+ARROW_BYTES, DEFAULT, SMALLER = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send the package to the executors once per application; functions that run there are pickled by reference to it."""
+    """Send the package to the executors once per application; functions that run there are pickled by reference to it. Arrow batches get smaller, if the session has Spark's default."""
+    if str(spark.conf.get(ARROW_BYTES, None)).rstrip("bB") == str(DEFAULT):
+        spark.conf.set(ARROW_BYTES, str(SMALLER))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
