@@ -1,11 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibrated scores.
 
-The vocabulary is what the labels single out: terms that come with toxic examples far more often than chance (chi-squared). A
-bounded sample of labelled documents gives vocabulary and examples; document counts for the IDF come from all documents. Examples stand in
-blocks of BLOCK; for each term and block the largest weight is kept, so that a query skips the blocks whose bound is below its k-th best score.
-
-Cases: texts without vocabulary terms (null and empty ones too) have no neighbours and get the calibrated rate of such texts; without labelled rows of both
-kinds every score is 0; ties go to the smaller doc_id; null labels are left out; a null doc_id counts as held out; other columns are ignored.
+The index holds every word of the examples, a bounded sample of labelled documents; document counts for the IDF come from all documents. A word weighs
+its IDF times `FLOOR` plus the part of its log odds among toxic examples that stands beyond chance, so that words which mark toxic texts count most and no word of
+an example is left out. Examples stand in blocks of BLOCK, like beside like; for each word and block the largest weight is kept, so that a query skips the blocks
+whose bound is below its k-th best score.
+
+Cases: words that no example holds have no weight; texts of such words only (null and empty ones too) have no neighbours and get the calibrated rate of such texts;
+without labelled rows of both kinds every score is 0; ties go to the smaller doc_id; null labels are left out, and of several labels of one id the toxic one counts; of
+several labelled texts of one id the smallest is the example; a null doc_id counts as held out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,92 +18,136 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, pieces
+from .common import Frames, fold_of, pieces, shuffle_partitions
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
-#: Blocks read together, best bounds first.
+#: Blocks read in a query's first round, best bounds first; each later round reads twice as many.
 AT_ONCE = 8
-COUNTED = 300_000
+#: What a word weighs without any bearing on toxicity, and the standard errors taken off its log odds.
+FLOOR, ERRORS = 0.1, 2.0
+REMEMBERED = 20_000
 
 
 def terms(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def term_weights(df: np.ndarray, documents: int, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """IDF over all documents times FLOOR plus the lower bound of a word's log odds, from the toxic and clean examples that hold it."""
+    idf = np.log((1 + documents) / (1 + df)) + 1
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    return np.maximum(idf, 1e-3) * (FLOOR + np.maximum(0, odds - ERRORS * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))))
+
+
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all spans, one after another."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+def arranged(owner: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, n_terms: int, width: int = 32) -> np.ndarray:
+    """An order of the examples with like ones beside each other: halves along the main direction of random projections, down to one block."""
+    rng = np.random.default_rng(0)
+    sketch = np.stack([np.bincount(owner, x * rng.standard_normal(n_terms)[term], n) for _ in range(width)], 1)
+    out, open_ = [], [np.arange(n)]
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= BLOCK:
+            out.append(rows)
+            continue
+        centred = sketch[rows] - sketch[rows].mean(0)
+        along = centred @ np.linalg.eigh(centred.T @ centred)[1][:, -1]
+        rows = rows[np.argsort(along, kind="stable")]
+        half = BLOCK * (-(-len(rows) // BLOCK) // 2)
+        open_ += [rows[half:], rows[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 class Index:
-    """Unit vectors of the examples in an inverted index with block maxima. Examples stand in the order of their ids."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]]):
-        """examples: (doc_id, label, counts of vocabulary terms)."""
-        self.number = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)])
-        examples = sorted((d, y, c) for d, y, c in ((d, y, sorted(c.items())) for d, y, c in examples) if c)
-        self.doc_ids, self.labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], float)
-        self.blocks = -(-len(examples) // BLOCK)
-        self.maxima = np.zeros((len(self.number), max(1, self.blocks)))
-        postings: list[tuple[int, int, float]] = []
-        for at, (_, _, counts) in enumerate(examples):
-            t, x = self.vector(dict(counts))
-            postings += zip(t.tolist(), [at] * len(t), x.tolist(), strict=True)
-        postings.sort()
-        self.docs = np.array([p[1] for p in postings], np.int64)
-        self.weights = np.array([p[2] for p in postings])
-        owner = np.array([p[0] for p in postings], np.int64)
-        np.maximum.at(self.maxima, (owner, self.docs // BLOCK), self.weights)
-        #: where the postings of (term, block) start
-        self.starts = np.searchsorted(owner * (self.blocks + 1) + self.docs // BLOCK, np.arange(len(self.number) * (self.blocks + 1) + 1))
+    """Unit vectors of the examples in an inverted index with block maxima."""
+
+    def __init__(self, words: list[str], weight: np.ndarray, doc_ids: np.ndarray, labels: np.ndarray, owner: np.ndarray, term: np.ndarray, tf: np.ndarray):
+        """owner, term, tf: the place of an example, the number of a word it holds, and how often it does."""
+        self.number, self.weight = {w: i for i, w in enumerate(words)}, weight
+        n = len(doc_ids)
+        x = (1 + np.log(tf)) * weight[term]
+        x /= np.sqrt(np.bincount(owner, x * x, n))[owner]
+        order = arranged(owner, term, x, n, len(words))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.doc_ids, self.labels = doc_ids[order], labels[order].astype(float)
+        self.blocks = max(1, -(-n // BLOCK))
+        at = place[owner]
+        by = np.lexsort((at, term))
+        self.docs, self.x = at[by].astype(np.int32), x[by]
+        #: an entry: the postings of one word in one block
+        cell = term[by].astype(np.int64) * self.blocks + self.docs // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.maxima = np.maximum.reduceat(self.x, first) if len(first) else np.zeros(0)
+        self.block = (cell[first] % self.blocks).astype(np.int32)
+        self.starts = np.append(first, len(cell)).astype(np.int32)
+        self.entries = np.searchsorted(cell[first], np.arange(len(words) + 1) * self.blocks).astype(np.int32)
         self.points: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
         self.alone = 0.0
-        self.remembered: dict = {}
+        self.remembered: dict[int, tuple[float | None, list[int]]] = {}
 
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(self.number[w] for w in counts), np.int64)
-        tf = np.array([n for _, n in sorted((self.number[w], n) for w, n in counts.items())], float)
-        x = (1 + np.log(tf)) * self.idf[t]
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        t, tf = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
+        by = np.argsort(t)
+        t, tf = t[by], tf[by]
+        x = (1 + np.log(tf)) * self.weight[t]
         return t, x / max(np.sqrt((x * x).sum()), 1e-300)
 
-    def nearest(self, counts: dict[str, int], k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine above 0; `skip`: a doc_id that is not its own neighbour."""
+    def nearest(self, counts: dict[int, int], k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples with a cosine above 0; counts are by a word's number; `skip`: a doc_id that is not its own neighbour."""
         t, x = self.vector(counts)
-        bounds = x @ self.maxima[t]
+        lengths = self.entries[t + 1] - self.entries[t]
+        entry, x = spans(self.entries[t], lengths), np.repeat(x, lengths)
+        block = self.block[entry]
+        bounds = np.bincount(block, x * self.maxima[entry], self.blocks)
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bounds, kind="stable")
-        for first in range(0, len(order), AT_ONCE):
-            blocks = order[first : first + AT_ONCE]
-            blocks = blocks[(bounds[blocks] > 0) & ((len(best) < k) | (bounds[blocks] >= (best[-1] if len(best) else 0) - 1e-12))]
+        first, step = 0, AT_ONCE
+        while first < len(order):
+            blocks = order[first : first + step]
+            blocks = blocks[(bounds[blocks] > 0) & ((len(best) < k) | (bounds[blocks] >= (best[-1] if len(best) else 0) - 1e-9))]
             if not len(blocks):
                 break
-            cells = (t[:, None] * (self.blocks + 1) + blocks).ravel()
-            lo, n = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
-            posting = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            docs, place = np.unique(self.docs[posting], return_inverse=True)
-            cosines = np.bincount(place, np.repeat(np.repeat(x, len(blocks)), n) * self.weights[posting], len(docs))
+            chosen = np.zeros(self.blocks, bool)
+            chosen[blocks] = True
+            held = np.flatnonzero(chosen[block])
+            lo = self.starts[entry[held]]
+            n = self.starts[entry[held] + 1] - lo
+            posting = spans(lo, n)
+            total = np.bincount(self.docs[posting], np.repeat(x[held], n) * self.x[posting], len(self.doc_ids))
+            docs = np.flatnonzero(total > (best[-1] - 1e-9 if len(best) >= k else 0))
             if skip is not None:
-                docs, cosines = docs[self.doc_ids[docs] != skip], cosines[self.doc_ids[docs] != skip]
-            at, cosines = np.concatenate([best_at, docs]), np.concatenate([best, cosines])
-            top = np.lexsort((at, -cosines))[:k]
+                docs = docs[self.doc_ids[docs] != skip]
+            at, cosines = np.concatenate([best_at, docs]), np.concatenate([best, total[docs]])
+            top = np.lexsort((self.doc_ids[at], -cosines))[:k]
             best_at, best = at[top], cosines[top]
+            first, step = first + step, 2 * step
         return best_at, best
 
-    def vote(self, counts: dict[str, int], k: int, skip: int | None = None) -> tuple[float | None, list[int]]:
+    def vote(self, counts: dict[int, int], k: int, skip: int | None = None) -> tuple[float | None, list[int]]:
         """The share of toxic votes, weighted by 1 / distance, and the neighbours' ids; None without neighbours."""
-        if not counts or not len(self.doc_ids):
-            return None, []
-        key = None if skip is not None else tuple(sorted(counts.items()))
-        if key in self.remembered:
-            return self.remembered[key]
-        at, cosines = self.nearest(counts, k, skip)
+        at, cosines = self.nearest(counts, k, skip) if counts else (np.zeros(0, np.int64), np.zeros(0))
         weight = 1 / (1.02 - np.minimum(cosines, 1))
-        out = (float((weight * self.labels[at]).sum() / weight.sum()) if len(at) else None, self.doc_ids[at].tolist())
-        if key is not None:
-            if len(self.remembered) >= 50_000:
+        return (float((weight * self.labels[at]).sum() / weight.sum()) if len(at) else None), self.doc_ids[at].tolist()
+
+    def vote_of(self, text: str, k: int) -> tuple[float | None, list[int]]:
+        """The vote on a text; those on the last texts are remembered, since copies often stand together."""
+        key = xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
+        if key not in self.remembered:
+            if len(self.remembered) >= REMEMBERED:
                 self.remembered.clear()
-            self.remembered[key] = out
-        return out
+            known = self.number
+            self.remembered[key] = self.vote(Counter(known[t] for t in terms(text) if t in known), k)
+        return self.remembered[key]
 
     def calibrate(self, votes: list[tuple[float | None, int, float]]) -> None:
         """votes: (share or None, label, weight of the row). Pool-adjacent-violators over the shares; the plain rate for those without neighbours."""
@@ -124,80 +170,84 @@ class Index:
         return min(1.0, 0.999 * float(np.interp(share, *self.points)) + 0.001 * share)
 
 
-def sample(labels: DataFrame, max_rows: int) -> DataFrame:
-    """doc_id, label: at most max_rows / 2 of each label outside the held-out fold, those with the smallest hashes of their ids."""
-    rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of() != 0)).select("doc_id", F.col("toxic").cast("int").alias("label"))
+def sample(marked: DataFrame, max_rows: int) -> DataFrame:
+    """At most max_rows / 2 of each label, those with the smallest hashes of their ids."""
     order = (F.xxhash64(F.lit(2), "doc_id"), "doc_id")
-    return rows.where("label = 1").orderBy(*order).limit(max_rows // 2).union(rows.where("label = 0").orderBy(*order).limit(max_rows // 2))
+    return marked.where("label = 1").orderBy(*order).limit(max_rows // 2).union(marked.where("label = 0").orderBy(*order).limit(max_rows // 2))
 
 
-def vocabulary(sampled: DataFrame, positives: int, negatives: int, max_terms: int, least_chi2: float = 15.0, least_df: int = 4) -> list[str]:
-    """Terms with at least twice their chance share of toxic examples and a chi-squared of at least `least_chi2`, best first."""
+def word_counts(examples: DataFrame) -> DataFrame:
+    """doc_id, label, terms, counts of the examples."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[str, int]] = Counter()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in pieces(batches):
+            found = [Counter(terms(text)) for text in texts]
+            arrays = [pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *arrays], ["doc_id", "label", "terms", "counts"])
 
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "label", "df"])
+    return examples.select("doc_id", "label", "text").mapInArrow(counted, "doc_id long, label int, terms array<string>, counts array<int>")
 
-        for part, texts in pieces(batches):
-            for text, y in zip(texts, part.column("label").to_pylist(), strict=True):
-                seen.update((t, y) for t in set(terms(text)))
-            if len(seen) >= COUNTED:
-                yield told()
-                seen.clear()
-        yield told()
-
-    n = positives + negatives
-    p, q = F.col("p").cast("double"), F.col("q").cast("double")
-    chi2 = n * F.pow(p * (negatives - q) - q * (positives - p), 2) / (positives * negatives * (p + q) * F.greatest(n - p - q, F.lit(1)))
-    counted = sampled.mapInArrow(count, "term string, label int, df long").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("df")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("df")).otherwise(0)).alias("q"))
-    rare = counted.where((p + q >= least_df) & (p * negatives >= 2 * q * positives)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
-    return [r.term for r in rare.orderBy(F.desc("chi2"), "term").limit(max_terms).collect()]
-
-
-def document_counts(docs: DataFrame, words: list[str]) -> tuple[int, dict[str, int]]:
+
+def document_counts(docs: DataFrame, words: list[str]) -> tuple[int, np.ndarray]:
     """All documents, and those that hold each of the words."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        number = shared.value
+        seen = np.zeros(len(number) + 1, np.int64)
         for _, texts in pieces(batches):
-            seen[""] += len(texts)
-            for text in texts:
-                seen.update(shared.value.intersection(terms(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "df"])
-
-    rows = {r.term: r.df for r in docs.select("text").mapInArrow(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    return rows.pop("", 0), rows
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, max_terms: int = 4096, k: int = 15) -> Index | None:
-    """The index, from at most `max_rows` labelled documents, or None without examples of both kinds. The sample is broadcast: `max_rows` bounds it."""
-    sampled_labels = sample(labels, max_rows)
-    held = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of() != 0)).groupBy(F.col("toxic").cast("int").alias("y")).count().collect()
-    totals = {r.y: r["count"] for r in held}
-    sampled = docs.select("doc_id", "text").join(F.broadcast(sampled_labels), "doc_id").select("doc_id", "text", "label")
-    sizes = {y: min(n, max_rows // 2) for y, n in totals.items()}
-    if not sizes.get(0) or not sizes.get(1):
+            held = [number[t] for text in texts for t in set(terms(text)) if t in number]
+            seen += np.bincount(np.array(held, np.int64), minlength=len(seen))
+            seen[-1] += len(texts)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["term", "df"])
+
+    rows = docs.select("text").mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(words) + 1, np.int64)
+    df[rows.column("term").to_numpy()] = rows.column("df").to_numpy()
+    shared.unpersist()
+    return int(df[-1]), df[:-1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, k: int = 15) -> Index | None:
+    """The index, from at most `max_rows` labelled documents, or None without examples of both kinds. `max_rows` bounds what is broadcast: the words of so many texts."""
+    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of() != 0)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    totals = {r.label: r["count"] for r in marked.groupBy("label").count().collect()}
+    if not totals.get(0) or not totals.get(1):
         return None
-    words = vocabulary(sampled, sizes[1], sizes[0], max_terms)
-    n, df = document_counts(docs, words)
-    idf = {w: float(np.log((1 + n) / (1 + df.get(w, 0))) + 1) for w in words}
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+    with Frames(docs.sparkSession) as frames:
+        labelled = docs.select("doc_id", "text").join(F.broadcast(sample(marked, max_rows)), "doc_id")
+        examples = labelled.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+        held = frames.save(word_counts(examples))
+        rows = held.toArrow().combine_chunks().sort_by("doc_id")
+        y = rows.column("label").to_numpy()
+        if not (y == 0).any() or not (y == 1).any():
+            return None
+        lists = rows.column("terms").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        words, term = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        owner, tf = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy()), rows.column("counts").combine_chunks().flatten().to_numpy().astype(float)
+        documents, df = document_counts(docs, words)
+        toxic, clean = (np.bincount(term, y[owner] == label, len(words)) for label in (1, 0))
+        index = Index(words, term_weights(df, documents, toxic, clean, int((y == 1).sum()), int((y == 0).sum())), rows.column("doc_id").to_numpy(), y, owner, term, tf)
+        weight = {label: totals[label] / int((y == label).sum()) for label in (0, 1)}
+        index.calibrate([(r.share, r.label, weight[r.label]) for r in votes_without_self(held, index, k).collect()])
+    return index
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches):
-            found = [sorted(Counter(t for t in terms(text) if t in shared.value).items()) for text in texts]
-            arrays = [pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *arrays], ["doc_id", "label", "terms", "counts"])
 
-    rows = sampled.mapInArrow(counted, "doc_id long, label int, terms array<string>, counts array<int>").collect()
-    examples = [(r.doc_id, r.label, dict(zip(r.terms, r.counts, strict=True))) for r in rows]
-    index = Index(idf, examples)
-    weight = {y: totals[y] / max(1, sum(e[1] == y for e in examples)) for y in totals}
-    index.calibrate([(index.vote(c, k, skip=d)[0], y, weight[y]) for d, y, c in examples])
-    return index
+def votes_without_self(held: DataFrame, index: Index, k: int) -> DataFrame:
+    """label, share: how the other examples vote on each example."""
+    shared = held.sparkSession.sparkContext.broadcast(index)
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "terms", "counts"))
+            shares = [index.vote({index.number[t]: n for t, n in zip(ts, ns, strict=True)}, k, skip=d)[0] for d, ts, ns in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(shares, pa.float64())], ["label", "share"])
+
+    return held.repartition(shuffle_partitions(held.sparkSession), "doc_id").mapInArrow(voted, "label int, share double")
 
 
 def score(docs: DataFrame, index: Index | None, k: int = 15) -> DataFrame:
@@ -210,9 +260,7 @@ def score(docs: DataFrame, index: Index | None, k: int = 15) -> DataFrame:
             if index is None:
                 found = [(0.0, []) for _ in texts]
             else:
-                known = index.number
-                votes = (index.vote(Counter(t for t in terms(text) if t in known), k) for text in texts)
-                found = [(index.score(share), near) for share, near in votes]
+                found = [(index.score(share), near) for share, near in (index.vote_of(text, k) for text in texts)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     out = docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double, evidence array<long>")

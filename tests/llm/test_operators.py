@@ -223,19 +223,38 @@ def test_classifiers(spark, docs, none, module, label, least):
 
 def test_nearest_examples_equal_brute_force():
     rng = np.random.default_rng(0)
-    words = [f"w{i}" for i in range(50)]
-    some = lambda: {words[j]: int(rng.integers(1, 4)) for j in set(rng.integers(0, 50, 5).tolist())}
-    index = toxicity.Index({w: float(rng.uniform(1, 6)) for w in words}, [(i, i % 2, some()) for i in range(700)])
+    weight = rng.uniform(1, 6, 50)
+    some = lambda: {int(j): int(rng.integers(1, 4)) for j in set(rng.integers(0, 50, 5).tolist())}
+    examples = [some() for _ in range(700)]
+    examples[300:310] = [examples[7]] * 10  # ties
     dense = np.zeros((700, 50))
-    for term in range(50):
-        lo, hi = index.starts[term * (index.blocks + 1)], index.starts[(term + 1) * (index.blocks + 1)]
-        dense[index.docs[lo:hi], term] = index.weights[lo:hi]
-    for _ in range(50):
-        query = some()
-        _, cosines = index.nearest(query, 9)
-        t, x = index.vector(query)
-        best = np.sort(dense[:, t] @ x)[::-1][:9]
-        assert np.allclose(cosines, best[best > 0])
+    for i, counts in enumerate(examples):
+        for t, n in counts.items():
+            dense[i, t] = (1 + np.log(n)) * weight[t]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    owner, term, tf = (np.array(x) for x in zip(*((i, t, n) for i, counts in enumerate(examples) for t, n in counts.items()), strict=True))
+    ids = np.arange(700)[::-1] * 3
+    index = toxicity.Index([f"w{i}" for i in range(50)], weight, ids, np.arange(700) % 2, owner, term, tf.astype(float))
+    for query in [*(some() for _ in range(50)), examples[7]]:
+        at, cosines = index.nearest(query, 9)
+        x = np.zeros(50)
+        for t, n in query.items():
+            x[t] = (1 + np.log(n)) * weight[t]
+        every = dense @ x / np.linalg.norm(x)
+        best = np.lexsort((ids, -np.round(every, 9)))[:9]
+        assert np.allclose(cosines, every[best][every[best] > 0])
+        assert index.doc_ids[at].tolist() == ids[best][every[best] > 0].tolist()
+        assert ids[best[0]] not in index.doc_ids[index.nearest(query, 9, skip=int(ids[best[0]]))[0]]
+
+
+def test_toxicity_with_repeated_labels_and_texts(spark):
+    rows = [(i, f"calm words {i % 7} about gardens" if i % 3 else "vile filth about gardens") for i in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:20], (5, None), (None, "vile filth"), (999, "一二 " * 50_000), (1000, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] * 2 + [(None, 1), (7, None)], "doc_id long, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert out[None].predicted == 1 and out[None].held_out and len(out[None].evidence) == 15
+    assert all(out[i].predicted == (i % 3 == 0) for i in range(60) if i != 5)
+    assert out[999].evidence == [] and out[1000].evidence == [] and out[999].score == out[1000].score
 
 
 def test_pipeline(spark):
