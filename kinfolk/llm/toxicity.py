@@ -2,8 +2,9 @@
 
 The index holds every word of the examples, a bounded sample of labelled documents; document counts for the IDF come from all documents. A word weighs
 its IDF times `FLOOR` plus the part of its log odds among toxic examples that stands beyond chance, so that words which mark toxic texts count most and no word of
-an example is left out. Examples stand in blocks of BLOCK, like beside like; for each word and block the largest weight is kept, so that a query skips the blocks
-whose bound is below its k-th best score.
+an example is left out. Examples stand in blocks of BLOCK, like beside like. Words that many examples hold are kept as whole columns, multiplied for many queries at once; for
+every other word and block the largest weight is kept, and a query skips the blocks whose bound (the block's best sum over the columns, and the largest weights) is
+below its k-th best score.
 
 Cases: words that no example holds have no weight; texts of such words only (null and empty ones too) have no neighbours and get the calibrated rate of such texts;
 without labelled rows of both kinds every score is 0; ties go to the smaller doc_id; null labels are left out, and of several labels of one id the toxic one counts; of
@@ -26,8 +27,12 @@ from .common import Frames, fold_of, pieces, shuffle_partitions
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
-#: Blocks read in a query's first round, best bounds first; each later round reads twice as many.
-AT_ONCE = 8
+#: Blocks read in a query's first round, best bounds first; each later round reads four times as many.
+AT_ONCE = 24
+#: Words that more than one in so many examples holds are columns.
+COLUMN = 16
+#: Queries multiplied at once.
+QUERIES = 64
 #: What a word weighs without any bearing on toxicity, and the standard errors taken off its log odds.
 FLOOR, ERRORS = 0.1, 2.0
 REMEMBERED = 20_000
@@ -83,6 +88,11 @@ class Index:
         self.blocks = max(1, -(-n // BLOCK))
         at = place[owner]
         by = np.lexsort((at, term))
+        common = np.bincount(term, minlength=len(words)) * COLUMN > n
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        self.columns = np.zeros((int(common.sum()), self.blocks * BLOCK))
+        self.columns[self.column[term[common[term]]], at[common[term]]] = x[common[term]]
+        by = by[~common[term[by]]]
         self.docs, self.x = at[by].astype(np.int32), x[by]
         #: an entry: the postings of one word in one block
         cell = term[by].astype(np.int64) * self.blocks + self.docs // BLOCK
@@ -102,19 +112,33 @@ class Index:
         x = (1 + np.log(tf)) * self.weight[t]
         return t, x / max(np.sqrt((x * x).sum()), 1e-300)
 
-    def nearest(self, counts: dict[int, int], k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine above 0; counts are by a word's number; `skip`: a doc_id that is not its own neighbour."""
-        t, x = self.vector(counts)
+    def nearest(self, queries: list[dict[int, int]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of each query's k nearest examples with a cosine above 0; counts are by a word's number; `skip`: doc_ids that are not their query's neighbours."""
+        out = []
+        for first in range(0, len(queries), QUERIES):
+            vectors = [self.vector(q) for q in queries[first : first + QUERIES]]
+            over = np.zeros((len(vectors), len(self.columns)))
+            for row, (t, x) in zip(over, vectors, strict=True):
+                row[self.column[t[self.column[t] >= 0]]] = x[self.column[t] >= 0]
+            sums = over @ self.columns
+            tops = sums.reshape(len(vectors), self.blocks, BLOCK).max(2)
+            for i, (t, x) in enumerate(vectors):
+                rest = self.column[t] < 0
+                out.append(self._nearest(sums[i], tops[i], t[rest], x[rest], k, skip[first + i] if skip else None))
+        return out
+
+    def _nearest(self, sums: np.ndarray, tops: np.ndarray, t: np.ndarray, x: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """One query: its sums over the columns and their best by block, the other words and their weights."""
         lengths = self.entries[t + 1] - self.entries[t]
         entry, x = spans(self.entries[t], lengths), np.repeat(x, lengths)
         block = self.block[entry]
-        bounds = np.bincount(block, x * self.maxima[entry], self.blocks)
+        bounds = tops + np.bincount(block, x * self.maxima[entry], self.blocks)
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bounds, kind="stable")
         first, step = 0, AT_ONCE
         while first < len(order):
             blocks = order[first : first + step]
-            blocks = blocks[(bounds[blocks] > 0) & ((len(best) < k) | (bounds[blocks] >= (best[-1] if len(best) else 0) - 1e-9))]
+            blocks = blocks[bounds[blocks] >= (best[-1] - 1e-9 if len(best) >= k else 1e-12)]
             if not len(blocks):
                 break
             chosen = np.zeros(self.blocks, bool)
@@ -123,31 +147,40 @@ class Index:
             lo = self.starts[entry[held]]
             n = self.starts[entry[held] + 1] - lo
             posting = spans(lo, n)
-            total = np.bincount(self.docs[posting], np.repeat(x[held], n) * self.x[posting], len(self.doc_ids))
-            docs = np.flatnonzero(total > (best[-1] - 1e-9 if len(best) >= k else 0))
+            total = np.bincount(self.docs[posting], np.repeat(x[held], n) * self.x[posting], len(sums))
+            docs = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            # equal examples get equal cosines, however their sums were rounded
+            cosines = np.round(sums[docs] + total[docs], 12)
+            kept = cosines >= (best[-1] if len(best) >= k else 1e-12)
             if skip is not None:
-                docs = docs[self.doc_ids[docs] != skip]
-            at, cosines = np.concatenate([best_at, docs]), np.concatenate([best, total[docs]])
+                kept &= self.doc_ids[np.minimum(docs, len(self.doc_ids) - 1)] != skip
+            at, cosines = np.concatenate([best_at, docs[kept]]), np.concatenate([best, cosines[kept]])
             top = np.lexsort((self.doc_ids[at], -cosines))[:k]
             best_at, best = at[top], cosines[top]
-            first, step = first + step, 2 * step
+            first, step = first + step, 4 * step
         return best_at, best
 
-    def vote(self, counts: dict[int, int], k: int, skip: int | None = None) -> tuple[float | None, list[int]]:
-        """The share of toxic votes, weighted by 1 / distance, and the neighbours' ids; None without neighbours."""
-        at, cosines = self.nearest(counts, k, skip) if counts else (np.zeros(0, np.int64), np.zeros(0))
-        weight = 1 / (1.02 - np.minimum(cosines, 1))
-        return (float((weight * self.labels[at]).sum() / weight.sum()) if len(at) else None), self.doc_ids[at].tolist()
-
-    def vote_of(self, text: str, k: int) -> tuple[float | None, list[int]]:
-        """The vote on a text; those on the last texts are remembered, since copies often stand together."""
-        key = xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
-        if key not in self.remembered:
-            if len(self.remembered) >= REMEMBERED:
-                self.remembered.clear()
-            known = self.number
-            self.remembered[key] = self.vote(Counter(known[t] for t in terms(text) if t in known), k)
-        return self.remembered[key]
+    def votes(self, queries: list[dict[int, int]], k: int, skip: list[int] | None = None) -> list[tuple[float | None, list[int]]]:
+        """For each query the share of toxic votes, weighted by 1 / distance, and the neighbours' ids; None without neighbours."""
+        out = []
+        for at, cosines in self.nearest(queries, k, skip):
+            weight = 1 / (1.02 - np.minimum(cosines, 1))
+            out.append((float((weight * self.labels[at]).sum() / weight.sum()) if len(at) else None, self.doc_ids[at].tolist()))
+        return out
+
+    def votes_of(self, texts: list[str], k: int) -> list[tuple[float | None, list[int]]]:
+        """The votes on texts, equal ones voted on once; those on the last texts are remembered, since copies often stand together."""
+        keys = [xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass")) for text in texts]
+        if len(self.remembered) >= REMEMBERED:
+            self.remembered.clear()
+        new = {key: text for key, text in zip(keys, texts, strict=True) if key not in self.remembered}
+        queries = []
+        for text in new.values():
+            counts = Counter(map(self.number.get, terms(text)))
+            counts.pop(None, None)
+            queries.append(counts)
+        self.remembered.update(zip(new, self.votes(queries, k), strict=True))
+        return [self.remembered[key] for key in keys]
 
     def calibrate(self, votes: list[tuple[float | None, int, float]]) -> None:
         """votes: (share or None, label, weight of the row). Pool-adjacent-violators over the shares; the plain rate for those without neighbours."""
@@ -243,9 +276,12 @@ def votes_without_self(held: DataFrame, index: Index, k: int) -> DataFrame:
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "terms", "counts"))
-            shares = [index.vote({index.number[t]: n for t, n in zip(ts, ns, strict=True)}, k, skip=d)[0] for d, ts, ns in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(shares, pa.float64())], ["label", "share"])
+            for first in range(0, len(batch), QUERIES):
+                part = batch.slice(first, QUERIES)
+                terms, counts = (part.column(c).to_pylist() for c in ("terms", "counts"))
+                queries = [{index.number[t]: n for t, n in zip(ts, ns, strict=True)} for ts, ns in zip(terms, counts, strict=True)]
+                shares = [share for share, _ in index.votes(queries, k, part.column("doc_id").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(shares, pa.float64())], ["label", "share"])
 
     return held.repartition(shuffle_partitions(held.sparkSession), "doc_id").mapInArrow(voted, "label int, share double")
 
@@ -260,7 +296,7 @@ def score(docs: DataFrame, index: Index | None, k: int = 15) -> DataFrame:
             if index is None:
                 found = [(0.0, []) for _ in texts]
             else:
-                found = [(index.score(share), near) for share, near in (index.vote_of(text, k) for text in texts)]
+                found = [(index.score(share), near) for share, near in index.votes_of(texts, k)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     out = docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double, evidence array<long>")

@@ -224,7 +224,7 @@ def test_classifiers(spark, docs, none, module, label, least):
 def test_nearest_examples_equal_brute_force():
     rng = np.random.default_rng(0)
     weight = rng.uniform(1, 6, 50)
-    some = lambda: {int(j): int(rng.integers(1, 4)) for j in set(rng.integers(0, 50, 5).tolist())}
+    some = lambda: {int(j): int(rng.integers(1, 4)) for j in set((rng.random(5) ** 2 * 50).astype(int).tolist())}
     examples = [some() for _ in range(700)]
     examples[300:310] = [examples[7]] * 10  # ties
     dense = np.zeros((700, 50))
@@ -235,8 +235,9 @@ def test_nearest_examples_equal_brute_force():
     owner, term, tf = (np.array(x) for x in zip(*((i, t, n) for i, counts in enumerate(examples) for t, n in counts.items()), strict=True))
     ids = np.arange(700)[::-1] * 3
     index = toxicity.Index([f"w{i}" for i in range(50)], weight, ids, np.arange(700) % 2, owner, term, tf.astype(float))
-    for query in [*(some() for _ in range(50)), examples[7]]:
-        at, cosines = index.nearest(query, 9)
+    queries = [*(some() for _ in range(150)), examples[7]]
+    assert 0 < len(index.columns) < 50
+    for query, (at, cosines) in zip(queries, index.nearest(queries, 9), strict=True):
         x = np.zeros(50)
         for t, n in query.items():
             x[t] = (1 + np.log(n)) * weight[t]
@@ -244,7 +245,7 @@ def test_nearest_examples_equal_brute_force():
         best = np.lexsort((ids, -np.round(every, 9)))[:9]
         assert np.allclose(cosines, every[best][every[best] > 0])
         assert index.doc_ids[at].tolist() == ids[best][every[best] > 0].tolist()
-        assert ids[best[0]] not in index.doc_ids[index.nearest(query, 9, skip=int(ids[best[0]]))[0]]
+        assert ids[best[0]] not in index.doc_ids[index.nearest([query], 9, [int(ids[best[0]])])[0][0]]
 
 
 def test_toxicity_with_repeated_labels_and_texts(spark):
