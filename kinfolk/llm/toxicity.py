@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Frames, fold_of, pieces, shuffle_partitions
@@ -72,38 +72,75 @@ def arranged(owner: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, n_terms
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+class Scale:
+    """From shares of toxic votes to scores: pool-adjacent-violators over the shares, the plain rate for texts without neighbours."""
+
+    def __init__(self, votes: list[tuple[float | None, int, float]]):
+        """votes: (share or None, label, weight of the row)."""
+        none = [(y, w) for v, y, w in votes if v is None]
+        self.alone = (sum(y * w for y, w in none)) / (sum(w for _, w in none) + 1) if none else 0.0
+        pools: list[list[float]] = []
+        for v, y, w in sorted(x for x in votes if x[0] is not None):
+            pools.append([v * w, y * w, w])
+            while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+                last = pools.pop()
+                pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+        self.shares = np.array([p[0] / p[2] for p in pools] or [0.0])
+        self.rates = np.maximum.accumulate([(p[1] + 0.5 * self.alone) / (p[2] + 0.5) for p in pools] or [0.0])
+
+    def score(self, share: float | None) -> float:
+        """Calibrated, and strictly rising a little with the share, so that ties of the calibration keep their order."""
+        if share is None:
+            return min(1.0, self.alone)
+        return min(1.0, 0.999 * float(np.interp(share, self.shares, self.rates)) + 0.001 * share)
+
+
 class Index:
-    """Unit vectors of the examples in an inverted index with block maxima."""
+    """Unit vectors of the examples in an inverted index with block maxima. Only what it is made from travels: each worker builds the rest."""
 
-    def __init__(self, words: list[str], weight: np.ndarray, doc_ids: np.ndarray, labels: np.ndarray, owner: np.ndarray, term: np.ndarray, tf: np.ndarray):
-        """owner, term, tf: the place of an example, the number of a word it holds, and how often it does."""
-        self.number, self.weight = {w: i for i, w in enumerate(words)}, weight
-        n = len(doc_ids)
-        x = (1 + np.log(tf)) * weight[term]
-        x /= np.sqrt(np.bincount(owner, x * x, n))[owner]
-        order = arranged(owner, term, x, n, len(words))
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        self.doc_ids, self.labels = doc_ids[order], labels[order].astype(float)
+    def __init__(self, words: list[str], weight: np.ndarray, doc_ids: np.ndarray, labels: np.ndarray, holders: np.ndarray, docs: np.ndarray, tf: np.ndarray):
+        """holders: how many examples hold each word; docs, tf: their places, word by word and rising, and how often each holds it."""
+        self.source = words, weight, doc_ids, labels, holders, docs, tf
+        self.number, self.weight, self.doc_ids, self.labels = {w: i for i, w in enumerate(words)}, weight, doc_ids, labels.astype(float)
+        n, at = len(doc_ids), docs.astype(np.int32)
         self.blocks = max(1, -(-n // BLOCK))
-        at = place[owner]
-        by = np.lexsort((at, term))
-        common = np.bincount(term, minlength=len(words)) * COLUMN > n
+        x = (1 + np.log(tf)) * np.repeat(weight, holders)
+        x /= np.sqrt(np.bincount(at, x * x, n))[at]
+        common = holders * COLUMN > n
         self.column = np.where(common, np.cumsum(common) - 1, -1)
         self.columns = np.zeros((int(common.sum()), self.blocks * BLOCK))
-        self.columns[self.column[term[common[term]]], at[common[term]]] = x[common[term]]
-        by = by[~common[term[by]]]
-        self.docs, self.x = at[by].astype(np.int32), x[by]
+        column = np.repeat(self.column, holders)
+        self.columns[column[column >= 0], at[column >= 0]] = x[column >= 0]
+        self.docs, self.x = at[column < 0], x[column < 0]
         #: an entry: the postings of one word in one block
-        cell = term[by].astype(np.int64) * self.blocks + self.docs // BLOCK
+        cell = np.repeat(np.arange(len(words)), np.where(common, 0, holders)) * self.blocks + self.docs // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         self.maxima = np.maximum.reduceat(self.x, first) if len(first) else np.zeros(0)
         self.block = (cell[first] % self.blocks).astype(np.int32)
         self.starts = np.append(first, len(cell)).astype(np.int32)
         self.entries = np.searchsorted(cell[first], np.arange(len(words) + 1) * self.blocks).astype(np.int32)
-        self.points: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
-        self.alone = 0.0
         self.remembered: dict[int, tuple[float | None, list[int]]] = {}
+        self.broadcast, self.scale = None, Scale([])
+
+    @classmethod
+    def of(cls, words: list[str], weight: np.ndarray, doc_ids: np.ndarray, labels: np.ndarray, owner: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Index:
+        """owner, term, tf: an example, the number of a word it holds, and how often it does."""
+        n = len(doc_ids)
+        x = (1 + np.log(tf)) * weight[term]
+        order = arranged(owner, term, x / np.sqrt(np.bincount(owner, x * x, n))[owner], n, len(words))
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n)
+        by = np.lexsort((place[owner], term))
+        return cls(words, weight, doc_ids[order], labels[order], np.bincount(term, minlength=len(words)).astype(np.int32), place[owner][by], tf[by].astype(np.int32))
+
+    def __reduce__(self):
+        return Index, self.source
+
+    def shared(self, spark: SparkSession):
+        """Its one broadcast; the scale is not part of it."""
+        if self.broadcast is None:
+            self.broadcast = spark.sparkContext.broadcast(self)
+        return self.broadcast
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t, tf = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
@@ -182,26 +219,6 @@ class Index:
         self.remembered.update(zip(new, self.votes(queries, k), strict=True))
         return [self.remembered[key] for key in keys]
 
-    def calibrate(self, votes: list[tuple[float | None, int, float]]) -> None:
-        """votes: (share or None, label, weight of the row). Pool-adjacent-violators over the shares; the plain rate for those without neighbours."""
-        none = [(y, w) for v, y, w in votes if v is None]
-        self.alone = (sum(y * w for y, w in none)) / (sum(w for _, w in none) + 1) if none else 0.0
-        pools: list[list[float]] = []
-        for v, y, w in sorted(x for x in votes if x[0] is not None):
-            pools.append([v * w, y * w, w])
-            while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-                last = pools.pop()
-                pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-        if pools:
-            self.points = np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5 * self.alone) / (p[2] + 0.5) for p in pools])
-        self.points = (self.points[0], np.maximum.accumulate(self.points[1]))
-
-    def score(self, share: float | None) -> float:
-        """Calibrated, and strictly rising a little with the share, so that ties of the calibration keep their order."""
-        if share is None:
-            return min(1.0, self.alone)
-        return min(1.0, 0.999 * float(np.interp(share, *self.points)) + 0.001 * share)
-
 
 def sample(marked: DataFrame, max_rows: int) -> DataFrame:
     """At most max_rows / 2 of each label, those with the smallest hashes of their ids."""
@@ -238,7 +255,7 @@ def document_counts(docs: DataFrame, words: list[str]) -> tuple[int, np.ndarray]
     rows = docs.select("text").mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(words) + 1, np.int64)
     df[rows.column("term").to_numpy()] = rows.column("df").to_numpy()
-    shared.unpersist()
+    shared.destroy()
     return int(df[-1]), df[:-1]
 
 
@@ -263,15 +280,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, k: int = 15) -
         owner, tf = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy()), rows.column("counts").combine_chunks().flatten().to_numpy().astype(float)
         documents, df = document_counts(docs, words)
         toxic, clean = (np.bincount(term, y[owner] == label, len(words)) for label in (1, 0))
-        index = Index(words, term_weights(df, documents, toxic, clean, int((y == 1).sum()), int((y == 0).sum())), rows.column("doc_id").to_numpy(), y, owner, term, tf)
+        index = Index.of(words, term_weights(df, documents, toxic, clean, int((y == 1).sum()), int((y == 0).sum())), rows.column("doc_id").to_numpy(), y, owner, term, tf)
         weight = {label: totals[label] / int((y == label).sum()) for label in (0, 1)}
-        index.calibrate([(r.share, r.label, weight[r.label]) for r in votes_without_self(held, index, k).collect()])
+        index.scale = Scale([(r.share, r.label, weight[r.label]) for r in votes_without_self(held, index, k).collect()])
     return index
 
 
 def votes_without_self(held: DataFrame, index: Index, k: int) -> DataFrame:
     """label, share: how the other examples vote on each example."""
-    shared = held.sparkSession.sparkContext.broadcast(index)
+    shared = index.shared(held.sparkSession)
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -288,15 +305,11 @@ def votes_without_self(held: DataFrame, index: Index, k: int) -> DataFrame:
 
 def score(docs: DataFrame, index: Index | None, k: int = 15) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared, scale = (index.shared(docs.sparkSession), index.scale) if index else (None, Scale([]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for part, texts in pieces(batches):
-            if index is None:
-                found = [(0.0, []) for _ in texts]
-            else:
-                found = [(index.score(share), near) for share, near in index.votes_of(texts, k)]
+            found = [(scale.score(share), near) for share, near in shared.value.votes_of(texts, k)] if shared else [(0.0, []) for _ in texts]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     out = docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double, evidence array<long>")

@@ -234,7 +234,7 @@ def test_nearest_examples_equal_brute_force():
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     owner, term, tf = (np.array(x) for x in zip(*((i, t, n) for i, counts in enumerate(examples) for t, n in counts.items()), strict=True))
     ids = np.arange(700)[::-1] * 3
-    index = toxicity.Index([f"w{i}" for i in range(50)], weight, ids, np.arange(700) % 2, owner, term, tf.astype(float))
+    index = toxicity.Index.of([f"w{i}" for i in range(50)], weight, ids, np.arange(700) % 2, owner, term, tf.astype(float))
     queries = [*(some() for _ in range(150)), examples[7]]
     assert 0 < len(index.columns) < 50
     for query, (at, cosines) in zip(queries, index.nearest(queries, 9), strict=True):
