@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chroma, jaccard, licenses, mixing, packing, quality, secrets, topk, toxicity
-from .common import documents, labels, save
+from . import chat, chroma, exact, jaccard, licenses, mixing, packing, periodic, quality, secrets, topk, toxicity, whitening
+from .common import documents, labels, save, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +63,19 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as the first batch of a new index."""
+    return exact.deduplicated(documents(spark, sf_dir), f"{scratch_dir(spark)}/kinfolk-index-{uuid.uuid4().hex}")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.scan(documents(spark, sf_dir), planted=True))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,6 +93,9 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_source_mixing": op9_source_mixing,
     "op10_chroma_fingerprints": op10_chroma_fingerprints,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 
@@ -120,4 +137,27 @@ key AS (SELECT doc_id, len(g) AS n, array_to_string(list_sort(g), chr(10)) AS k
 class AS (SELECT k, min(doc_id) AS class_id, count(*) AS n_copies FROM key WHERE n > 0 GROUP BY k)
 SELECT key.doc_id, n AS n_shingles, m AS component_id, coalesce(class_id, key.doc_id) AS class_id, CAST(coalesce(n_copies, 1) AS BIGINT) AS n_copies
 FROM key JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = key.doc_id LEFT JOIN class USING (k)""",
+    "op11_exact_dedup": r"""
+WITH t AS (SELECT doc_id, coalesce(length(text), 0) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r""",
+    # crc32 bit by bit; every pair of equal words at a distance of at most a quarter of the text; matches in a row as islands; periods that a divisor does not explain
+    "op13_periodic_runs": r"""
+WITH RECURSIVE raw AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, CAST(doc_id AS VARCHAR) AS id FROM documents),
+bits AS (SELECT *, list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, length(id) + 1), lambda i: [ascii(id[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS inverse FROM raw),
+hashed AS (SELECT doc_id, ws, len(ws) AS n, xor(inverse, 4294967295) AS h FROM bits),
+tails AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a, h % 10 = 0 AND n > 0 AS planted FROM hashed),
+periods AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM tails),
+d AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(0, n), lambda i: ws[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) ELSE ws END AS ws FROM periods),
+w AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(ws) AS word FROM d),
+m AS (SELECT x.doc_id, x.i - y.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+islands AS (SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM m) GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM islands b WHERE NOT EXISTS (SELECT 1 FROM islands s WHERE s.doc_id = b.doc_id AND s.q < b.q AND s.start <= b.start AND s.start + s.length >= b.start + b.length)),
+listed AS (SELECT doc_id, count(*) AS n_runs, min(struct_pack(l := -length, s := start, p := q)) AS best, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS shown FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs),
+rest AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length, best.p AS period, (1000 * -best.l) // best.p AS exponent_milli,
+  sha256(coalesce(shown, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN rest USING (doc_id)""",
 }
