@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import graph
+from .operators import centrality, graph, search
 from .plans import social
-from .sources.network import Network, read_star_schema, symmetric
+from .sources.network import Network, broken_lines, read_folder, read_star_schema, symmetric, write_folder
 
 SINCE = "1995-06-01"
 FLAGSHIP = "q4_topk"
@@ -56,6 +57,39 @@ def _members(net: Network) -> DataFrame:
     return graph.save(social.topic_members(net, first_topic(net)))
 
 
+def _pairs(net: Network) -> DataFrame:
+    """query_no, p1, p2, x, h: from every 20th person to one that its id picks, with x from -1 to 4 and h from 1 to 7."""
+    ids = net.knows.select(F.col("src").alias("p1")).distinct()
+    far = net.knows.agg(F.max("src").alias("top"))
+    asked = ids.where("p1 % 20 = 0").join(F.broadcast(far)).select("p1", F.expr("(p1 * 7919 + 13) % (top + 1)").alias("p2"))
+    return asked.select(F.col("p1").alias("query_no"), "p1", "p2", F.expr("CAST(p1 div 20 % 6 - 1 AS INT)").alias("x"), F.expr("CAST(1 + p1 div 20 % 7 AS INT)").alias("h"))
+
+
+def _inner(net: Network, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """`apply` to the members of the first topic and the friendships among them."""
+    members = _members(net)
+    return apply(graph.save(graph.induced(net.knows, members)), members)
+
+
+def _files(net: Network) -> str:
+    return write_folder(net, f"{graph.scratch_dir(net.spark)}/kinfolk-files-{uuid.uuid4().hex}")
+
+
+def _by_files(net: Network) -> Network:
+    """The network written as a folder of delimited files and read back."""
+    return read_folder(net.spark, _files(net))
+
+
+def _query_lines(net: Network) -> DataFrame:
+    """query_no, value: a line of a query file for each asked pair, birthday, place and tag."""
+    paths = _pairs(net).select(F.format_string("query1(%d, %d, %d)", "p1", "p2", "x").alias("value"))
+    dates = net.person.where("birthday IS NOT NULL").select(F.format_string("  query2(%d, %s)", F.col("id") % 8 + 1, F.date_format("birthday", "yyyy-MM-dd")).alias("value"))
+    places = net.place.select(F.format_string("query3(%d,%d,%s)", F.col("id") % 8 + 1, F.col("id") % 7 + 1, "name").alias("value"))
+    tags = net.tag.select(F.format_string("query4(3, %s) ", "name").alias("value"))
+    other = net.spark.createDataFrame([("",), ("query5(1, 2)",), ("no query",)], "value string")
+    return paths.unionByName(dates).unionByName(places).unionByName(tags).unionByName(other).withColumn("query_no", F.monotonically_increasing_id())
+
+
 PLANS: dict[str, Callable[[Network], DataFrame]] = {
     "knows_edges": lambda net: net.knows,
     "degree": lambda net: net.knows.groupBy(F.col("src").alias("person")).agg(F.count("*").alias("degree")),
@@ -74,18 +108,24 @@ PLANS: dict[str, Callable[[Network], DataFrame]] = {
     "bfs_levels": lambda net: graph.reach(net.knows, net.knows.agg(F.min("src").alias("person"))).select("node", "dist"),
     "reach_within_h": lambda net: graph.reach(net.knows, social.persons_in_place(net, "NATION_3"), 2),
     "common_interest_count": lambda net: graph.common_interests(net.knows.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")), net.interest),
-    "distance_sum": lambda net: (lambda m: graph.distance_sums(graph.induced(net.knows, m), m))(_members(net)),
+    "distance_sum": lambda net: (lambda m: centrality.distance_sums(graph.induced(net.knows, m), m))(_members(net)),
     "closeness": lambda net: _rounded(social.centralities(net, first_topic(net))),
     "two_hop_neighbours": lambda net: graph.two_hop_neighbours(graph.induced(net.knows, _members(net))),
-    "depth_limited_bound": lambda net: (lambda m: graph.depth_bound(graph.induced(net.knows, m), m, 2))(_members(net)),
-    "sampled_distance_sum": lambda net: (lambda m: graph.sampled_sums(graph.induced(net.knows, m), m, 0.1))(_members(net)).select("person", F.round("estimate", 6).alias("estimate")),
-    "masked_distance_sum": lambda net: (lambda m: graph.masked_sums(graph.induced(net.knows, m), m, pass_rows=1 << 20))(_members(net)),
-    "distance_histogram": lambda net: (lambda m: graph.reach(graph.induced(net.knows, m), m))(_members(net)).groupBy("dist").agg(F.count("*").alias("pairs")),
-    "diameter": lambda net: (lambda m: graph.reach(graph.induced(net.knows, m), m))(_members(net)).agg(F.max("dist").alias("diameter")),
+    "depth_limited_bound": lambda net: (lambda m: centrality.depth_bound(graph.induced(net.knows, m), m, 2))(_members(net)),
+    "sampled_distance_sum": lambda net: (lambda m: centrality.sampled_sums(graph.induced(net.knows, m), m, 0.1))(_members(net)).select("person", F.round("estimate", 6).alias("estimate")),
+    "masked_distance_sum": lambda net: (lambda m: centrality.masked_sums(graph.induced(net.knows, m), m, pass_rows=1 << 20))(_members(net)),
+    "distance_histogram": lambda net: (lambda m: centrality.distance_histogram(graph.induced(net.knows, m), m))(_members(net)),
+    "diameter": lambda net: (lambda m: centrality.diameter(graph.induced(net.knows, m), m))(_members(net)),
+    "hop3_counts": lambda net: _inner(net, lambda e, m: search.hop_counts(e, m, 3)),
+    "neighbourhood_sizes": lambda net: _inner(net, lambda e, m: search.walk_counts(e, m, 4)).select("person", *(F.get("walks", F.lit(i)).alias(f"w{i + 1}") for i in range(4))),
+    "path_node_frequency": lambda net: _inner(net, lambda e, m: centrality.path_frequency(e, m.where("person % 10 = 0"))).select("person", F.round("frequency", 6).alias("frequency")),
     "q2_batch": lambda net: social.top_interests_of(net, _dates(net, BATCH)),
     "q1_path_nofilter": lambda net: _batch(net, -1),
     "q1_path_x0": lambda net: _batch(event_network(net), 0),
     "q1_path_x1": lambda net: _batch(event_network(net), 1),
+    "q1_path_pairs": lambda net: (lambda n: social.shortest_paths(n, _pairs(n)))(event_network(net)),
+    "q1_path_nodes": lambda net: social.path_nodes(net, _pairs(net)),
+    "pairs_within_h": lambda net: social.pairs_within(net, _pairs(net)).drop("query_no"),
     "q2_topk": lambda net: social.top_interests(net, 8, SINCE),
     "q2_topk_pad": lambda net: social.top_interests(net, 200, "1998-01-01", include_empty=True),
     "q2_answer": lambda net: text.joined(social.top_interests(net, 5, SINCE), F.col("name"), -F.col("size"), F.col("name")),
@@ -93,9 +133,24 @@ PLANS: dict[str, Callable[[Network], DataFrame]] = {
     "q3_nation_h2": lambda net: social.similar_pairs(net, 20, 2, "NATION_7"),
     "q3_region_h1": lambda net: social.similar_pairs(net, 20, 1, "EUROPE"),
     "q3_unknown_place": lambda net: social.similar_pairs(net, 5, 2, "Nowhere"),
+    "q3_overlap_first": lambda net: social.similar_pairs(net, 20, 2, "NATION_7", plan="overlap"),
+    "q3_overlap_h3": lambda net: social.similar_pairs(net, 50, 3, "NATION_5", plan="overlap"),
+    "q3_chosen_plan": lambda net: social.similar_pairs(net, 30, 3, "NATION_9"),
     "q3_answer": lambda net: text.joined(social.similar_pairs(net, 5, 1, "NATION_3"), F.concat_ws("|", "a", "b"), -F.col("common"), F.col("a"), F.col("b")),
     "q4_topk": lambda net: _rounded(social.top_central(net, 10, first_topic(net))),
+    "q4_topk_bounded": lambda net: _rounded(social.top_central_bounded(net, 10, first_topic(net))),
+    "q4_answer": lambda net: text.joined(social.top_central(net, 7, first_topic(net)), F.col("person").cast("string"), -F.col("centrality"), F.col("person")),
     "q4_drop_isolated": lambda net: _rounded(social.top_central(net, 10, first_topic(net), drop_isolated=True)),
+    "graph_dump": lambda net: text.dumped(net.knows),
+    "files_lines": lambda net: broken_lines(net.spark, _files(net)),
+    "files_reply_counts": lambda net: graph.reply_counts(_by_files(net).replies),
+    "files_located": lambda net: _by_files(net).located,
+    "files_interest_stats": lambda net: (lambda n: _named(n, n.interest.join(n.person, F.col("person") == F.col("id")).groupBy("tag").agg(F.count("*").alias("persons"), F.max("birthday").cast("string").alias("youngest"))))(_by_files(net)),
+    "files_q1_pairs": lambda net: (lambda n: social.shortest_paths(n, _pairs(n)))(_by_files(event_network(net))),
+    "files_q2_topk": lambda net: social.top_interests(_by_files(net), 8, SINCE),
+    "files_q3_nation_h1": lambda net: social.similar_pairs(_by_files(net), 20, 1, "NATION_3"),
+    "files_q4_topk": lambda net: (lambda n: _rounded(social.top_central(n, 10, first_topic(n))))(_by_files(net)),
+    "query_text_kinds": lambda net: text.parsed(_query_lines(net)).select("kind", F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("p1", "p2", "x", "k", "d", "h", "name"))).alias("parts")),
     "query_text_parse": lambda net: text.parsed(net.tag.select(F.lit(0).cast("long").alias("query_no"), F.concat(F.lit("query4(3, "), "name", F.lit(")")).alias("value"))).select("kind", "k", "name"),
     "answer_parse": lambda net: net.tag.select(text.answer_of(F.concat("name", F.lit(" % a comment"))).alias("answer")),
 }
@@ -147,6 +202,7 @@ FROM (SELECT source AS a, node AS b FROM dist WHERE source < node AND node IN (S
         f"tied AS (SELECT DISTINCT person FROM located WHERE place IN (SELECT descendant FROM closure JOIN place ON id = ancestor WHERE name = '{place}'))", _WALK.format(start="tied", edges="knows", depth=hops), _DIST)
 
 
+_ASKED = "asked AS (SELECT p1, (p1 * 7919 + 13) % (top + 1) AS p2, p1 // 20 % 6 - 1 AS x, CAST(1 + p1 // 20 % 7 AS INT) AS h, p1 AS query_no FROM (SELECT DISTINCT src AS p1 FROM {edges}), (SELECT max(src) AS top FROM {edges}) WHERE p1 % 20 = 0)"
 _SUMS = "sums AS (SELECT source AS person, count(*) AS r, CAST(sum(dist) AS BIGINT) AS s FROM dist GROUP BY 1)"
 _CLOSE = "CASE WHEN s > 0 THEN round(CAST((r - 1) * (r - 1) AS DOUBLE) / (CAST(n - 1 AS DOUBLE) * s), 9) ELSE 0 END AS centrality"
 _ALL = f"close_ AS (SELECT person, {_CLOSE} FROM sums, (SELECT count(*) AS n FROM members))"
@@ -179,6 +235,18 @@ ORACLE_SQL: dict[str, str] = {
     "masked_distance_sum": _sql("SELECT person, CAST(r AS BIGINT) AS r, s FROM sums", _INNER, _SUMS),
     "distance_histogram": _sql("SELECT dist, count(*) AS pairs FROM dist GROUP BY 1", _INNER),
     "diameter": _sql("SELECT max(dist) AS diameter FROM dist", _INNER),
+    "hop3_counts": _sql("SELECT source AS person, count(*) FILTER (dist <= 1) - 1 AS h1, count(*) FILTER (dist <= 2) - 1 AS h2, count(*) FILTER (dist <= 3) - 1 AS h3 FROM dist GROUP BY 1", _INNER),
+    # walks that do not turn back, each from the walks one and two edges shorter
+    "neighbourhood_sizes": _sql("SELECT person, w1, w2, w3, coalesce(a, 0) - greatest(w1 - 1, 0) * w2 AS w4 FROM v3 LEFT JOIN (SELECT src, CAST(sum(w3) AS BIGINT) AS a FROM inner_edges JOIN v3 ON person = dst GROUP BY 1) ON src = person",
+        "v1 AS (SELECT person, count(src) AS w1 FROM members LEFT JOIN inner_edges ON src = person GROUP BY 1)",
+        "v2 AS (SELECT person, w1, coalesce(a, 0) - w1 AS w2 FROM v1 LEFT JOIN (SELECT src, CAST(sum(w1) AS BIGINT) AS a FROM inner_edges JOIN v1 ON person = dst GROUP BY 1) ON src = person)",
+        "v3 AS (SELECT person, w1, w2, coalesce(a, 0) - greatest(w1 - 1, 0) * w1 AS w3 FROM v2 LEFT JOIN (SELECT src, CAST(sum(w2) AS BIGINT) AS a FROM inner_edges JOIN v2 ON person = dst GROUP BY 1) ON src = person)"),
+    # paths of each length, level by level; a node between two ends carries its share of their paths
+    "path_node_frequency": _sql("""SELECT b.node AS person, round(sum(a.n * b.n / c.n), 6) AS frequency FROM paths c JOIN paths b ON b.source = c.source AND b.dist < c.dist AND b.dist > 0
+JOIN paths a ON a.source = b.node AND a.node = c.node AND a.dist + b.dist = c.dist WHERE c.source % 10 = 0 GROUP BY 1""",
+        _INNER, "c0 AS (SELECT person AS source, person AS node, CAST(1 AS DOUBLE) AS n FROM members)",
+        *(f"c{i} AS (SELECT c.source, e.dst AS node, sum(n) AS n FROM c{i - 1} c JOIN inner_edges e ON e.src = c.node JOIN dist d ON d.source = c.source AND d.node = e.dst AND d.dist = {i} GROUP BY 1, 2)" for i in range(1, 10)),
+        "paths AS (" + " UNION ALL ".join(f"SELECT source, node, {i} AS dist, n FROM c{i}" for i in range(10)) + ")"),
     "q2_batch": _sql("SELECT query_no, topic AS name, size FROM sizes JOIN asked USING (query_no) QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY size DESC, topic) <= k",
         "asked(query_no, k, since) AS (VALUES " + ", ".join(f"(CAST({n} AS BIGINT), {k}, DATE '{d}')" for n, k, d in BATCH) + ")",
         "young AS (SELECT query_no, topic, person FROM interest JOIN person ON id = person JOIN asked ON birthday >= since)",
@@ -188,6 +256,13 @@ ORACLE_SQL: dict[str, str] = {
     "q1_path_nofilter": _paths("knows", "SELECT src, dst FROM knows"),
     "q1_path_x0": _paths("talk", "SELECT src, dst FROM weights WHERE reply_min > 0"),
     "q1_path_x1": _paths("talk", "SELECT src, dst FROM weights WHERE reply_min > 1"),
+    "q1_path_pairs": _sql("SELECT p1 AS query_no, CAST(CASE WHEN p1 = p2 THEN 0 ELSE coalesce(dist, -1) END AS INT) AS distance FROM asked LEFT JOIN dist ON source = p1 AND node = p2",
+        _ASKED.format(edges="talk"), "walk(source, x, node, dist) AS (SELECT p1, x, p1, 0 FROM asked UNION SELECT source, x, dst, dist + 1 FROM walk JOIN weights e ON e.src = walk.node AND (x < 0 OR reply_min > x) WHERE dist < 14)", _DIST),
+    # each node's smallest neighbour one step nearer to the source, followed back from the target
+    "q1_path_nodes": _sql("SELECT query_no, step, person FROM trace", _ASKED.format(edges="knows"), "start AS (SELECT p1 AS person FROM asked)", _WALK.format(start="start", edges="knows", depth=5), _DIST,
+        "before AS (SELECT t.source, t.node, min(e.src) AS before FROM dist t JOIN knows e ON e.dst = t.node JOIN dist s ON s.source = t.source AND s.node = e.src AND s.dist + 1 = t.dist GROUP BY 1, 2)",
+        "trace(query_no, step, person) AS (SELECT p1, dist, p2 FROM asked JOIN dist ON source = p1 AND node = p2 UNION ALL SELECT query_no, step - 1, before FROM trace JOIN before ON source = query_no AND node = person)"),
+    "pairs_within_h": _sql("SELECT p1, p2, h, dist AS distance FROM asked JOIN dist ON source = p1 AND node = p2 WHERE dist <= h", _ASKED.format(edges="knows"), "start AS (SELECT p1 AS person FROM asked)", _WALK.format(start="start", edges="knows", depth=5), _DIST),
     "q2_topk": _sql("SELECT topic AS name, size FROM sizes ORDER BY size DESC, name LIMIT 8", _FANS),
     "q2_topk_pad": _sql("SELECT DISTINCT parts.topic AS name, coalesce(size, 0) AS size FROM parts LEFT JOIN sizes USING (topic) ORDER BY size DESC, name LIMIT 200", _FANS).replace(SINCE, "1998-01-01"),
     "q2_answer": _sql("SELECT coalesce(string_agg(name, ' ' ORDER BY size DESC, name), '') AS answer FROM (SELECT topic AS name, size FROM sizes ORDER BY size DESC, name LIMIT 5)", _FANS),
@@ -195,14 +270,34 @@ ORACLE_SQL: dict[str, str] = {
     "q3_nation_h2": _similar(20, 2, "NATION_7"),
     "q3_region_h1": _similar(20, 1, "EUROPE"),
     "q3_unknown_place": _similar(5, 2, "Nowhere"),
+    "q3_overlap_first": _similar(20, 2, "NATION_7"),
+    "q3_overlap_h3": _similar(50, 3, "NATION_5"),
+    "q3_chosen_plan": _similar(30, 3, "NATION_9"),
     "q3_answer": _similar(5, 1, "NATION_3", answer=True),
     "q4_topk": _sql("SELECT person, centrality FROM close_ ORDER BY centrality DESC, person LIMIT 10", _INNER, _SUMS, _ALL),
+    "q4_topk_bounded": _sql("SELECT person, centrality FROM close_ ORDER BY centrality DESC, person LIMIT 10", _INNER, _SUMS, _ALL),
+    "q4_answer": _sql("SELECT coalesce(string_agg(person, ' ' ORDER BY centrality DESC, person), '') AS answer FROM (SELECT person, centrality FROM close_ ORDER BY centrality DESC, person LIMIT 7)", _INNER, _SUMS, _ALL),
     "q4_drop_isolated": _sql("SELECT person, centrality FROM close_ ORDER BY centrality DESC, person LIMIT 10", _INNER, _SUMS, _SOCIAL),
+    "graph_dump": _sql("SELECT 0 AS part, src AS a, CAST(0 AS BIGINT) AS b, CAST(src AS VARCHAR) AS line FROM (SELECT DISTINCT src FROM knows) UNION ALL SELECT 1, 0, 0, '#' UNION ALL SELECT 2, src, dst, src || ' ' || dst FROM knows WHERE src < dst"),
+    "files_lines": _sql("SELECT * FROM lines", "away AS (SELECT person, place FROM located l WHERE place > (SELECT min(place) FROM located h WHERE h.person = l.person))",
+        "lines(file, lines, broken) AS (" + " UNION ALL ".join(f"SELECT '{f}', ({n}), CAST(0 AS BIGINT)" for f, n in {
+            "person": "SELECT count(*) FROM customer", "person_knows_person": "SELECT count(*) FROM knows", "comment_hasCreator_person": "SELECT 2 * count(*) FROM replies", "comment_replyOf_comment": "SELECT count(*) FROM replies",
+            "person_hasInterest_tag": "SELECT count(*) FROM interest", "tag": "SELECT count(DISTINCT topic) FROM parts", "place": "SELECT count(*) FROM place", "place_isPartOf_place": "SELECT count(*) FROM part_of",
+            "person_isLocatedIn_place": "SELECT count(DISTINCT person) FROM located", "organisation_isLocatedIn_place": "SELECT count(*) FROM place", "person_studyAt_organisation": "SELECT count(*) FROM away WHERE place % 2 = 0",
+            "person_workAt_organisation": "SELECT count(*) FROM away WHERE place % 2 = 1", "forum_hasTag_tag": "SELECT count(*) FROM parts", "forum_hasMember_person": "SELECT count(*) FROM (SELECT DISTINCT l_partkey, o_custkey FROM bought)",
+        }.items()) + ")"),
+    "files_located": _sql("SELECT person, place FROM located"),
+    "query_text_kinds": _sql("""SELECT 1 AS kind, p1 || '|' || p2 || '|' || x || '||||' AS parts FROM asked UNION ALL SELECT 2, '|||' || (id % 8 + 1) || '|' || birthday || '||' FROM person WHERE birthday IS NOT NULL
+UNION ALL SELECT 3, '|||' || (id % 8 + 1) || '||' || (id % 7 + 1) || '|' || name FROM place UNION ALL SELECT DISTINCT 4, '|||3|||' || topic FROM parts""", _ASKED.format(edges="knows")),
     "query_text_parse": _sql("SELECT DISTINCT 4 AS kind, 3 AS k, topic AS name FROM parts"),
     "answer_parse": _sql("SELECT DISTINCT topic AS answer FROM parts"),
 }
 
 
+#: Read back from files, the same rows.
+ORACLE_SQL |= {f"files_{name}": ORACLE_SQL[same] for name, same in {"reply_counts": "reply_counts", "interest_stats": "interest_stats", "q1_pairs": "q1_path_pairs", "q2_topk": "q2_topk", "q3_nation_h1": "q3_nation_h1", "q4_topk": "q4_topk"}.items()}
+
+
 def _query(plan: Callable[[Network], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: plan(read_star_schema(spark, sf_dir))
 

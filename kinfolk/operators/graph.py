@@ -7,16 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 #: Folders made for sessions that name none, by application.
 _own: dict[str, str] = {}
-#: Sources that a row's mask stands for, and rows (block of sources, node) that one pass over the sources may hold.
-MASK_BITS, PASS_ROWS = 63, 1 << 30
+#: Nodes that `contracted` remembers before it hands on what it has.
+FOREST_NODES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -69,19 +68,67 @@ def reach(edges: DataFrame, sources: DataFrame, hops: int | None = None, wanted:
         if wanted is not None:
             wanted = save(wanted.join(frontier, ["source", "node"], "left_anti"))
             active = active.join(wanted.select("source").distinct(), "source", "left_semi")
-        near = active.join(edges, active.node == edges.src).select("source", F.col("dst").alias("node")).distinct()
-        fresh = near.join(frontier, ["source", "node"], "left_anti").join(last, ["source", "node"], "left_anti")
-        last, frontier = frontier, save(fresh.withColumn("dist", F.lit(level)))
+        near = active.join(edges, active.node == edges.src).select("source", F.col("dst").alias("node"), F.lit(False).alias("known"))
+        for old in (frontier, last):  # they go through the shuffle that makes the new rows distinct
+            near = near.unionAll(old.select("source", "node", F.lit(True)))
+        fresh = near.groupBy("source", "node").agg(F.bool_or("known").alias("known")).where("NOT known")
+        last, frontier = frontier, save(fresh.select("source", "node", F.lit(level).alias("dist")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen
 
 
-def components(edges: DataFrame, nodes: DataFrame, key: str | None = None) -> DataFrame:
-    """(key,) node, comp: the smallest node each one reaches. With `key`, one graph per key in a single loop (edges and nodes carry it)."""
-    keys = [key] if key else []
-    edges = save(edges.select(*keys, "src", "dst"))
+def contracted(edges: DataFrame, keys: tuple[str, ...] = (), nodes: int = FOREST_NODES) -> DataFrame:
+    """(*keys,) src, dst, both ways: stars that join the same nodes as `edges` do, from edges joined within each task.
+
+    With keys, a graph's edges come together, large graphs in several parts. A task that has met `nodes` nodes emits its stars and starts anew, so its memory is bounded;
+    what it could not join is left to the caller.
+    """
+    names = [*keys, "src", "dst"]
+    once = edges.where("src < dst").select(*names)
+    if keys:
+        once = once.hint("rebalance", *keys)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[tuple, tuple] = {}
+
+        def root(x: tuple) -> tuple:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            rows = [(*x[:-1], x[-1], r[-1]) for x in above if (r := root(x)) != x]
+            rows += [(*k, b, a) for *k, a, b in rows]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        schema = None
+        for batch in batches:
+            schema = schema or batch.schema
+            *of, a, b = (column.to_pylist() for column in batch.columns)
+            for *key, x, y in zip(*of, a, b, strict=True):
+                x, y = (*key, x), (*key, y)
+                x, y = root(above.setdefault(x, x)), root(above.setdefault(y, y))
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                if len(above) >= nodes:
+                    yield stars()
+                    above.clear()
+        if above:
+            yield stars()
+
+    return once.mapInArrow(join, once.schema)
+
+
+def components(edges: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys,) node, comp: the smallest node each one reaches. With `keys`, one graph for each value of these columns, all in a single loop.
+
+    Tasks first join what edges they hold to stars, of which there are fewer; the loop then has little to do.
+    """
+    edges = save(contracted(edges, keys))
     labels = save(nodes.select(*keys, F.col("person").alias("node"), F.col("person").alias("comp")).distinct())
     while True:
         near = edges.join(labels.withColumnRenamed("node", "dst"), [*keys, "dst"]).groupBy(*keys, "src").agg(F.min("comp").alias("near"))
@@ -93,93 +140,6 @@ def components(edges: DataFrame, nodes: DataFrame, key: str | None = None) -> Da
         labels = moved.select(*keys, "node", "comp")
 
 
-def distance_sums(edges: DataFrame, nodes: DataFrame, broadcast_edges: int = 4_000_000) -> DataFrame:
-    """person, r (nodes reached, itself included), s (sum of the distances to them) within the graph of `nodes` (person).
-
-    A graph of at most `broadcast_edges` edges goes to the executors, which search from 64 sources at a time; a larger one is searched by `masked_sums`.
-    """
-    edges, nodes = save(edges.select("src", "dst")), save(nodes.select("person").distinct())
-    if edges.count() > broadcast_edges:
-        return masked_sums(edges, nodes)
-    table = edges.toPandas().sort_values(["dst", "src"])
-    ids = np.unique(np.concatenate([table.src.to_numpy(np.int64), table.dst.to_numpy(np.int64)]))
-    src, dst = np.searchsorted(ids, table.src), np.searchsorted(ids, table.dst)
-    heads, starts = np.unique(dst, return_index=True)
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, src, heads, starts))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, src, heads, starts = shared.value
-        for batch in batches:
-            person = batch.column("person").to_numpy()
-            r, s = np.ones(len(person), np.int64), np.zeros(len(person), np.int64)
-            at = np.minimum(np.searchsorted(ids, person), max(0, len(ids) - 1))
-            inside = np.flatnonzero(ids[at] == person) if len(ids) else np.zeros(0, np.int64)
-            for first in range(0, len(inside), 64):
-                some = inside[first : first + 64]
-                bit = np.uint64(1) << np.arange(len(some), dtype=np.uint64)
-                front = np.zeros(len(ids), np.uint64)
-                np.bitwise_or.at(front, at[some], bit)
-                seen, level = front.copy(), 0
-                while front.any():
-                    level += 1
-                    near = np.zeros(len(ids), np.uint64)
-                    near[heads] = np.bitwise_or.reduceat(front[src], starts)
-                    front = near & ~seen
-                    seen |= front
-                    new = front[front != 0]
-                    reached = ((new[:, None] & bit) != 0).sum(axis=0)
-                    r[some] += reached
-                    s[some] += level * reached
-            yield pa.RecordBatch.from_arrays([batch.column("person"), pa.array(r), pa.array(s)], ["person", "r", "s"])
-
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return nodes.repartition(parts).mapInArrow(search, "person long, r long, s long")
-
-
-def masked_sums(edges: DataFrame, nodes: DataFrame, pass_rows: int = PASS_ROWS) -> DataFrame:
-    """As `distance_sums`, by joins: a row (block, node, mask) tells which of a block's MASK_BITS sources have come to the node, so that a level of a block is one row a node.
-
-    Sources are dealt to passes of at most `pass_rows` such rows; a pass leaves two numbers a source.
-    """
-    n = nodes.count()
-    blocks = -(-n // MASK_BITS)
-    passes = max(1, -(-blocks * n // pass_rows))
-    per_pass = -(-blocks // passes)
-    # ranks from sums over hash buckets; within a bucket by id
-    buckets = max(1, -(-n // 1000))
-    bucketed = nodes.withColumn("bucket", F.pmod(F.xxhash64("person"), F.lit(buckets)))
-    starts = bucketed.groupBy("bucket").agg(F.count("*").alias("c")).withColumn("first", F.coalesce(F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.col("first") + F.row_number().over(Window.partitionBy("bucket").orderBy("person")) - 1
-    numbered = save(bucketed.join(starts, "bucket").select("person", rank.alias("rank")).select("person", F.expr(f"rank div {MASK_BITS}").alias("block"), (F.col("rank") % MASK_BITS).cast("int").alias("bit")))
-    sums = []
-    for first in range(0, max(1, blocks), max(1, per_pass)):
-        mine = numbered.where((F.col("block") >= first) & (F.col("block") < first + per_pass))
-        front = save(mine.select("block", F.col("person").alias("node"), F.expr("shiftleft(1L, bit)").alias("mask")))
-        last, level = front, 0
-        while True:
-            level += 1
-            near = front.join(edges, front.node == edges.src).groupBy("block", F.col("dst").alias("node")).agg(F.bit_or("mask").alias("mask"))
-            for old, name in ((front, "x"), (last, "y")):
-                near = near.join(old.select("block", "node", F.col("mask").alias(name)), ["block", "node"], "left")
-            fresh = near.select("block", "node", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("x", F.lit(0)).bitwiseOR(F.coalesce("y", F.lit(0))))).alias("mask"))
-            last, front = front, save(fresh.where("mask <> 0"))
-            if front.isEmpty():
-                break
-            counts = front.groupBy("block").agg(*(F.sum(F.shiftright("mask", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(MASK_BITS)))
-            each = counts.select("block", F.posexplode(F.array(*(f"b{b}" for b in range(MASK_BITS)))).alias("bit", "c"))
-            sums.append(save(mine.join(each, ["block", "bit"]).select("person", F.col("c").alias("r"), (F.col("c") * level).alias("s"))))
-    whole = nodes.select("person", F.lit(1).cast("long").alias("r"), F.lit(0).cast("long").alias("s"))
-    for more in sums:
-        whole = whole.unionByName(more)
-    return whole.groupBy("person").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
-
-
-def closeness(r: Column, s: Column, n: Column) -> Column:
-    """(r - 1)^2 / ((n - 1) s), 0 if nothing else is reached."""
-    reached = (r - 1).cast("double") * (r - 1)
-    return F.when((s > 0) & (n > 1), reached / ((n - 1).cast("double") * s)).otherwise(F.lit(0.0))
-
-
 def place_closure(place: DataFrame, part_of: DataFrame) -> DataFrame:
     """ancestor, descendant: every place with itself and all places inside it."""
     seen = save(place.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant")).distinct())
@@ -204,28 +164,3 @@ def two_hop_neighbours(edges: DataFrame) -> DataFrame:
     e = edges.select("src", "dst")
     two = e.alias("x").join(e.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst")).where("src <> dst").distinct()
     return two.join(e, ["src", "dst"], "left_anti").select(F.col("src").alias("person"), F.col("dst").alias("other"))
-
-
-def depth_bound(edges: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """person, bound: a lower bound of the distance sum: levels up to `depth` exactly, the rest of the component one level further."""
-    size = components(edges, nodes)
-    held = size.groupBy("comp").agg(F.count("*").alias("r")).join(size, "comp").select(F.col("node").alias("person"), "r")
-    near = reach(edges, nodes, depth).groupBy(F.col("source").alias("person")).agg(F.count("*").alias("seen"), F.sum("dist").alias("s"))
-    return near.join(held, "person").select("person", (F.col("s") + (F.col("r") - F.col("seen")) * (depth + 1)).cast("long").alias("bound"))
-
-
-def sampled_sums(edges: DataFrame, nodes: DataFrame, share: float, seed: int = 1) -> DataFrame:
-    """person, estimate: the distance sum, scaled up from the distances to a sample of the nodes; an estimate by design.
-
-    Sampled nodes, and those of components without any, get their exact sums. The sample goes by arithmetic on the ids (fixed values).
-    """
-    edges, nodes = save(edges.select("src", "dst")), save(nodes.select("person").distinct())
-    chosen = nodes.where(F.pmod(F.col("person") * 7919 + seed, F.lit(10_007)) < int(share * 10_007))
-    of = save(components(edges, nodes))
-    dist = save(reach(edges, chosen))
-    exact = dist.groupBy(F.col("source").alias("person")).agg(F.sum("dist").cast("double").alias("estimate"))
-    sizes = of.groupBy("comp").agg(F.count("*").alias("r"))
-    rest = dist.groupBy("node").agg(F.avg("dist").alias("mean")).join(exact, F.col("node") == F.col("person"), "left_anti").join(of, "node").join(sizes, "comp")
-    alone = nodes.join(dist.select(F.col("node").alias("person")).distinct(), "person", "left_anti")
-    apart = distance_sums(induced(edges, alone), alone).select("person", F.col("s").cast("double").alias("estimate"))
-    return exact.union(rest.select(F.col("node").alias("person"), (F.col("mean") * F.col("r")).alias("estimate"))).union(apart)

@@ -5,24 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import centrality, graph, overlap, search
 from ..sources.network import Network
 
 
+#: From so many targets on, a source's queries share one search that starts at the source alone.
+MANY_TARGETS = 16
+
+
 def shortest_paths(net: Network, asked: DataFrame) -> DataFrame:
-    """query_no, distance (-1: unreachable) of each row (query_no, p1, p2, x) of `asked`; rows with equal x share one loop."""
-    asked = graph.save(asked)
-    parts = []
-    weights = None
-    for (x,) in sorted(asked.select("x").distinct().collect()):
-        mine = asked.where(F.col("x") == x)
-        if x < 0:
-            edges = net.knows
-        else:
-            weights = weights if weights is not None else graph.save(graph.reply_weights(net.knows, net.replies))
-            edges = weights.where(F.col("reply_min") > x).select("src", "dst")
+    """query_no, distance (-1: unreachable) of each row (query_no, p1, p2, x) of `asked`.
+
+    Single pairs are searched from both ends, all in one loop; the pairs of a source with many targets by a search from the source, one loop for each x.
+    """
+    asked = graph.save(asked.select("query_no", "p1", "p2", "x"))
+    ranges = asked.agg(F.max("x")).first()[0]
+    if ranges is None:
+        return asked.select("query_no", F.lit(-1).alias("distance"))
+    edges = weighted(net, ranges)
+    targets = asked.groupBy("p1", "x").agg(F.count("*").alias("targets"))
+    split = graph.save(asked.join(targets, ["p1", "x"]))
+    parts = [search.meet(edges, split.where(F.col("targets") < MANY_TARGETS).withColumn("h", F.lit(None).cast("int")))]
+    broad = split.where(F.col("targets") >= MANY_TARGETS).drop("targets")
+    for (x,) in sorted(broad.select(F.greatest("x", F.lit(-1))).distinct().collect()):
+        mine = broad.where(F.greatest("x", F.lit(-1)) == x)
+        kept = edges if x < 0 else edges.where(F.col("reply_min") > x)
         wanted = mine.select(F.col("p1").alias("source"), F.col("p2").alias("node"))
-        dist = graph.reach(edges, mine.select(F.col("p1").alias("person")), wanted=wanted)
+        dist = graph.reach(kept.select("src", "dst"), mine.select(F.col("p1").alias("person")), wanted=wanted)
         found = dist.select(F.col("source").alias("p1"), F.col("node").alias("p2"), "dist")
         parts.append(mine.join(found, ["p1", "p2"], "left").select("query_no", F.coalesce("dist", F.lit(-1)).cast("int").alias("distance")))
     out = parts[0]
@@ -31,24 +40,34 @@ def shortest_paths(net: Network, asked: DataFrame) -> DataFrame:
     return out
 
 
+def weighted(net: Network, largest_x: int = 0) -> DataFrame:
+    """src, dst, reply_min of the friendships; the replies are not read where no query asks for them (largest_x < 0)."""
+    if largest_x < 0:
+        return net.knows.select("src", "dst", F.lit(0).cast("long").alias("reply_min"))
+    return graph.save(graph.reply_weights(net.knows, net.replies))
+
+
+def path_nodes(net: Network, asked: DataFrame) -> DataFrame:
+    """query_no, step, person along a shortest path of each row (query_no, p1, p2) of `asked`, over all friendships."""
+    return search.path_nodes(net.knows, asked)
+
+
 def shortest_path(net: Network, p1: int, p2: int, x: int) -> DataFrame:
     asked = net.spark.createDataFrame([(0, p1, p2, x)], "query_no long, p1 long, p2 long, x int")
     return shortest_paths(net, asked).select("distance")
 
 
-def interest_ranges(net: Network, asked: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+def interest_ranges(net: Network, asked: DataFrame) -> DataFrame:
     """query_no, tag, size: for each (query_no, since) of `asked`, the largest group of a tag's followers born on `since` or later who are connected through such followers.
 
-    All queries and tags share one loop. `tags` (query_no, tag): only these.
+    All queries and tags share one loop.
     """
     fans = young_followers(net, asked)
-    if tags is not None:
-        fans = fans.join(tags.select("query_no", "tag"), ["query_no", "tag"], "left_semi")
-    fans = graph.save(fans.select(F.struct("query_no", "tag").alias("key"), "person"))
-    edges = net.knows.join(fans.select(F.col("person").alias("src"), "key"), "src").join(fans.select(F.col("person").alias("dst"), "key"), ["dst", "key"]).select("key", "src", "dst")
-    comps = graph.components(edges, fans, "key")
-    sizes = comps.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max("size").alias("size"))
-    return sizes.select("key.query_no", "key.tag", "size")
+    fans = graph.save(fans.select("query_no", "tag", "person"))
+    once = net.knows.where("src < dst")
+    edges = once.join(fans.withColumnRenamed("person", "src"), "src").join(fans.withColumnRenamed("person", "dst"), ["dst", "query_no", "tag"]).select("query_no", "tag", "src", "dst")
+    comps = graph.components(edges, fans, ("query_no", "tag"))
+    return comps.groupBy("query_no", "tag", "comp").agg(F.count("*").alias("size")).groupBy("query_no", "tag").agg(F.max("size").alias("size"))
 
 
 def young_followers(net: Network, asked: DataFrame) -> DataFrame:
@@ -59,21 +78,9 @@ def young_followers(net: Network, asked: DataFrame) -> DataFrame:
 
 
 def top_interests_of(net: Network, asked: DataFrame) -> DataFrame:
-    """query_no, name, size: for each (query_no, k, since), the k tags with the largest ranges, by size, then name.
-
-    A range is no larger than the number of its tag's followers: the tags with most followers go first, and then only those that have as many as the k-th range so far.
-    """
+    """query_no, name, size: for each (query_no, k, since), the k tags with the largest ranges, by size, then name."""
     asked = graph.save(asked)
-    counts = graph.save(young_followers(net, asked).groupBy("query_no", "tag").agg(F.count("*").alias("followers")).join(asked.select("query_no", "k"), "query_no"))
-    by_followers = Window.partitionBy("query_no").orderBy(F.desc("followers"), "tag")
-    first = graph.save(counts.withColumn("place", F.row_number().over(by_followers)).where(F.col("place") <= 2 * F.col("k")).select("query_no", "tag", "k"))
-    known = graph.save(interest_ranges(net, asked, first))
-    by_size = Window.partitionBy("query_no").orderBy(F.desc("size"), "tag")
-    kth = known.join(asked.select("query_no", "k"), "query_no").withColumn("place", F.row_number().over(by_size)).where(F.col("place") == F.col("k")).select("query_no", F.col("size").alias("least"))
-    rest = counts.join(first.select("query_no", "tag"), ["query_no", "tag"], "left_anti").join(kth, "query_no", "left").where(F.col("followers") >= F.coalesce("least", F.lit(0)))
-    rest = graph.save(rest.select("query_no", "tag"))
-    if not rest.isEmpty():
-        known = graph.save(known.unionByName(interest_ranges(net, asked, rest)))
+    known = graph.save(interest_ranges(net, asked))
     named = known.join(net.tag.select(F.col("id").alias("tag"), "name"), "tag").join(asked.select("query_no", "k"), "query_no")
     best = Window.partitionBy("query_no").orderBy(F.desc("size"), "name")
     return named.withColumn("place", F.row_number().over(best)).where(F.col("place") <= F.col("k")).select("query_no", "name", "size")
@@ -104,10 +111,26 @@ def near_pairs(net: Network, members: DataFrame, hops: int) -> DataFrame:
     return dist.join(members.select(F.col("person").alias("node")), "node", "left_semi").select(F.col("source").alias("a"), F.col("node").alias("b"))
 
 
-def similar_pairs(net: Network, k: int, hops: int, place: str) -> DataFrame:
-    """a, b, common: the k pairs tied to `place`, at most `hops` apart, with most interests in common; by common, a, b."""
-    pairs = near_pairs(net, persons_in_place(net, place), hops)
-    return graph.common_interests(pairs, net.interest).orderBy(F.desc("common"), "a", "b").limit(k)
+def similar_pairs(net: Network, k: int, hops: int, place: str, plan: str | None = None) -> DataFrame:
+    """a, b, common: the k pairs tied to `place`, at most `hops` apart, with most interests in common; by common, a, b.
+
+    Plan "reach" searches from all members and counts what the pairs within `hops` share; "overlap" takes pairs by what they share and measures how far apart they are.
+    Without a name, the one with fewer rows by `overlap.costs` is taken.
+    """
+    members = graph.save(persons_in_place(net, place))
+    if plan is None:
+        far, shared = overlap.costs(net.knows, net.interest, members, hops)
+        plan = "reach" if far <= shared else "overlap"
+    if plan == "overlap":
+        return overlap.overlap_first(net.knows, net.interest, members, k, hops)
+    return graph.common_interests(near_pairs(net, members, hops), net.interest).orderBy(F.desc("common"), "a", "b").limit(k)
+
+
+def pairs_within(net: Network, pairs: DataFrame) -> DataFrame:
+    """The rows of `pairs` (query_no, p1, p2, h) that are at most h friendships apart, with their distance."""
+    edges = weighted(net, -1)
+    distance = search.meet(edges, pairs.select("query_no", "p1", "p2", F.lit(-1).alias("x"), "h")).where("distance >= 0")
+    return pairs.join(distance, "query_no").select("query_no", "p1", "p2", "h", "distance")
 
 
 def topic_members(net: Network, name: str) -> DataFrame:
@@ -124,11 +147,17 @@ def centralities(net: Network, name: str, drop_isolated: bool = False) -> DataFr
     if drop_isolated:
         members = graph.save(members.join(edges.select(F.col("src").alias("person")), "person", "left_semi"))
     n = members.count()
-    sums = graph.distance_sums(edges, members).withColumn("n", F.lit(n))
-    return sums.withColumn("centrality", graph.closeness(F.col("r"), F.col("s"), F.col("n")))
+    sums = centrality.distance_sums(edges, members).withColumn("n", F.lit(n))
+    return sums.withColumn("centrality", centrality.closeness(F.col("r"), F.col("s"), F.col("n")))
 
 
 def top_central(net: Network, k: int, name: str, drop_isolated: bool = False) -> DataFrame:
     """person, centrality of the k most central members, by centrality, then id."""
     return centralities(net, name, drop_isolated).select("person", "centrality").orderBy(F.desc("centrality"), "person").limit(k)
 
+
+
+def top_central_bounded(net: Network, k: int, name: str, work: search.Work | None = None) -> DataFrame:
+    """As `top_central`, searching only from members whose bounds may reach the k-th place."""
+    members = graph.save(topic_members(net, name))
+    return centrality.most_central(graph.save(graph.induced(net.knows, members)), members, k, work=work)

@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import save
+
 #: File name: schema of the columns that are used, in the order of the files. Columns further right are not read.
 SCHEMAS = {
     "person": "id BIGINT, firstName STRING, lastName STRING, gender STRING, birthday DATE",
@@ -53,11 +55,15 @@ class Network:
         return self.person.sparkSession
 
 
+def _read(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).options(sep="|", header=True, quote="", mode="PERMISSIVE", enforceSchema=True).csv(f"{folder}/{name}.csv")
+
+
 def read_folder(spark: SparkSession, folder: str) -> Network:
     """Files `<name>.csv`, `|` between values, one header line, no quotes."""
 
     def read(name: str) -> DataFrame:
-        return spark.read.schema(SCHEMAS[name]).options(sep="|", header=True, quote="", mode="PERMISSIVE", enforceSchema=True).csv(f"{folder}/{name}.csv")
+        return _read(spark, folder, name, SCHEMAS[name])
 
     creator = read("comment_hasCreator_person")
     reply = read("comment_replyOf_comment")
@@ -72,6 +78,37 @@ def read_folder(spark: SparkSession, folder: str) -> Network:
     )
 
 
+def write_folder(net: Network, folder: str) -> str:
+    """The network as files that `read_folder` reads, and the folder. A person's smallest place is the home; each other one has an organisation, for work or study in turn."""
+    replies = save(net.replies.select("src", "dst", F.monotonically_increasing_id().alias("i")))
+    comment = F.explode(F.array(F.struct((F.col("i") * 20).alias("comment"), F.col("dst").alias("person")), F.struct((F.col("i") * 20 + 10).alias("comment"), F.col("src").alias("person"))))
+    located = save(net.located)
+    home = located.groupBy("person").agg(F.min("place").alias("place"))
+    away = located.join(home, ["person", "place"], "left_anti").select("person", (F.col("place") * 10).alias("organisation"), F.lit(2000).alias("since"))
+    tables = {
+        "person": net.person.select("id", F.lit("first").alias("firstName"), F.lit("last").alias("lastName"), F.lit("x").alias("gender"), "birthday"), "person_knows_person": net.knows, "comment_hasCreator_person": replies.select(comment.alias("c")).select("c.*"),
+        "comment_replyOf_comment": replies.select((F.col("i") * 20 + 10).alias("reply"), (F.col("i") * 20).alias("parent")), "person_hasInterest_tag": net.interest, "tag": net.tag.withColumn("url", F.lit("u")), "place": net.place.withColumn("url", F.lit("u")),
+        "place_isPartOf_place": net.part_of, "person_isLocatedIn_place": home, "organisation_isLocatedIn_place": net.place.select((F.col("id") * 10).alias("organisation"), F.col("id").alias("place")),
+        "person_studyAt_organisation": away.where("organisation % 20 = 0"), "person_workAt_organisation": away.where("organisation % 20 <> 0"), "forum_hasTag_tag": net.forum_tag, "forum_hasMember_person": net.forum_member.withColumn("joined", F.lit("2010-01-01")),
+    }
+    for name, rows in tables.items():
+        rows.write.options(sep="|", header=True, quote="").csv(f"{folder}/{name}.csv")
+    return folder
+
+
+def broken_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """file, lines, broken (lines of which an id, or a birthday that is not empty, cannot be read) of each file of `folder`. `read_folder` reads such values as nulls, which match nothing."""
+    whole = None
+    for name, schema in SCHEMAS.items():
+        columns = [c.split() for c in schema.split(", ")]
+        raw = _read(spark, folder, name, ", ".join(f"{c} STRING" for c, _ in columns))
+        fine = [F.coalesce(F.expr(f"try_cast({c} AS {kind}) IS NOT NULL"), F.lit(False)) | ((F.col(c).isNull() | (F.col(c) == "")) if kind == "DATE" else F.lit(False)) for c, kind in columns if kind != "STRING"]
+        fine = fine[0] if len(fine) == 1 else fine[0] & fine[1]
+        counted = raw.agg(F.count("*").alias("lines"), F.count_if(~fine).alias("broken")).select(F.lit(name).alias("file"), "lines", "broken")
+        whole = counted if whole is None else whole.unionByName(counted)
+    return whole
+
+
 def read_star_schema(spark: SparkSession, folder: str) -> Network:
     """A network that the supplied tables imply: customers of consecutive orders know each other, parts are forums, nations and regions are places."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfolk.functions import text
-from kinfolk.operators import graph
+from kinfolk.operators import centrality, graph
 from kinfolk.plans import social
 from kinfolk.sources.network import read_folder
 
@@ -95,5 +95,5 @@ def test_both_ways_to_sum_distances_agree(spark):
     rows = spark.createDataFrame([(i, (i * i + 3 * i) % 150) for i in range(140)] + [(i, i + 1) for i in range(0, 100, 3)], "src long, dst long").where("src <> dst")
     edges = rows.union(rows.select("dst", "src")).distinct()
     nodes = spark.range(155).select(F.col("id").alias("person"))
-    a, b = (sorted(map(tuple, graph.distance_sums(edges, nodes, n).collect())) for n in (10_000, 0))
+    a, b = (sorted(map(tuple, centrality.distance_sums(edges, nodes, n).collect())) for n in (10_000, 0))
     assert a == b and len(a) == 155
