@@ -10,37 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinfolk.llm import jaccard, mixing, packing, quality, secrets
 from kinfolk.llm.common import documents, labels, save
-from kinfolk.session import ship_package
+from kinfolk.session import ship_package, small_batches
+
+
+def prepare(spark: SparkSession) -> None:
+    ship_package(spark)
+    small_batches(spark)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    ship_package(spark)
+    prepare(spark)
     return quality.accepted(docs, quality.fit(docs, labels(spark, sf_dir)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, the document with the smallest id stays."""
-    ship_package(spark)
+    prepare(spark)
     return jaccard.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are taken out of the texts."""
-    ship_package(spark)
+    prepare(spark)
     return secrets.redacted(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in training order: the order of the files written from this, and of the rows in them."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.curriculum(docs).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their token ids and places in sequences. `train_order`, from 0 to 1, is the document's place in the training order (copies of one have
     their own), and pieces of like length are dealt to sequences in this order."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(mixing.in_order(docs, "train_order"), public_tokenizers.path("word_bpe_49k.json"), with_ids=True, order="train_order")
 
 

@@ -259,8 +259,8 @@ JOIN paths a ON a.source = b.node AND a.node = c.node AND a.dist + b.dist = c.di
     "q1_path_pairs": _sql("SELECT p1 AS query_no, CAST(CASE WHEN p1 = p2 THEN 0 ELSE coalesce(dist, -1) END AS INT) AS distance FROM asked LEFT JOIN dist ON source = p1 AND node = p2",
         _ASKED.format(edges="talk"), "walk(source, x, node, dist) AS (SELECT p1, x, p1, 0 FROM asked UNION SELECT source, x, dst, dist + 1 FROM walk JOIN weights e ON e.src = walk.node AND (x < 0 OR reply_min > x) WHERE dist < 14)", _DIST),
     # each node's smallest neighbour one step nearer to the source, followed back from the target
-    "q1_path_nodes": _sql("SELECT query_no, step, person FROM trace", _ASKED.format(edges="knows"), "start AS (SELECT p1 AS person FROM asked)", _WALK.format(start="start", edges="knows", depth=5), _DIST,
-        "before AS (SELECT t.source, t.node, min(e.src) AS before FROM dist t JOIN knows e ON e.dst = t.node JOIN dist s ON s.source = t.source AND s.node = e.src AND s.dist + 1 = t.dist GROUP BY 1, 2)",
+    "q1_path_nodes": _sql("SELECT query_no, step, person FROM trace", _ASKED.format(edges="knows"), "start AS (SELECT p1 AS person FROM asked)", _WALK.format(start="start", edges="knows", depth=5), _DIST.replace("AS", "AS MATERIALIZED", 1),
+        "before AS MATERIALIZED (SELECT t.source, t.node, min(e.src) AS before FROM dist t JOIN knows e ON e.dst = t.node JOIN dist s ON s.source = t.source AND s.node = e.src AND s.dist + 1 = t.dist GROUP BY 1, 2)",
         "trace(query_no, step, person) AS (SELECT p1, dist, p2 FROM asked JOIN dist ON source = p1 AND node = p2 UNION ALL SELECT query_no, step - 1, before FROM trace JOIN before ON source = query_no AND node = person)"),
     "pairs_within_h": _sql("SELECT p1, p2, h, dist AS distance FROM asked JOIN dist ON source = p1 AND node = p2 WHERE dist <= h", _ASKED.format(edges="knows"), "start AS (SELECT p1 AS person FROM asked)", _WALK.format(start="start", edges="knows", depth=5), _DIST),
     "q2_topk": _sql("SELECT topic AS name, size FROM sizes ORDER BY size DESC, name LIMIT 8", _FANS),

@@ -111,6 +111,10 @@ def near_pairs(net: Network, members: DataFrame, hops: int) -> DataFrame:
     return dist.join(members.select(F.col("person").alias("node")), "node", "left_semi").select(F.col("source").alias("a"), F.col("node").alias("b"))
 
 
+#: Rows that a search from all members makes in about the time that the rounds of the other plan take to start and end.
+ROUNDS_IN_ROWS = 20_000_000
+
+
 def similar_pairs(net: Network, k: int, hops: int, place: str, plan: str | None = None) -> DataFrame:
     """a, b, common: the k pairs tied to `place`, at most `hops` apart, with most interests in common; by common, a, b.
 
@@ -120,7 +124,7 @@ def similar_pairs(net: Network, k: int, hops: int, place: str, plan: str | None
     members = graph.save(persons_in_place(net, place))
     if plan is None:
         far, shared = overlap.costs(net.knows, net.interest, members, hops)
-        plan = "reach" if far <= shared else "overlap"
+        plan = "reach" if far <= shared + ROUNDS_IN_ROWS else "overlap"
     if plan == "overlap":
         return overlap.overlap_first(net.knows, net.interest, members, k, hops)
     return graph.common_interests(near_pairs(net, members, hops), net.interest).orderBy(F.desc("common"), "a", "b").limit(k)

@@ -15,9 +15,7 @@ ARROW_BYTES, DEFAULT, SMALLER = "spark.sql.execution.arrow.maxBytesPerBatch", 64
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send the package to the executors once per application; functions that run there are pickled by reference to it. Arrow batches get smaller, if the session has Spark's default."""
-    if str(spark.conf.get(ARROW_BYTES, None)).rstrip("bB") == str(DEFAULT):
-        spark.conf.set(ARROW_BYTES, str(SMALLER))
+    """Send the package to the executors once per application; functions that run there are pickled by reference to it."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -28,3 +26,9 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For an application's own session: rows go to Python workers in smaller batches, unless the session asks for a size of its own."""
+    if spark.conf.get(ARROW_BYTES).lower().rstrip("b") == str(DEFAULT):
+        spark.conf.set(ARROW_BYTES, str(SMALLER))
