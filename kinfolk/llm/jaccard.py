@@ -17,7 +17,8 @@ How it works, no link being lost at any step:
    the bitmaps below, the range of set sizes and of families. A dual traversal drops each pair of nodes of one family, and each in which no pair of
    sets can overlap enough. The pairs of leaves left are compared by their signatures. Of pairs that may link, those that connect two families not yet connected are handed on, so that a group gives fewer pairs than
    it has families. Groups of more than BLOCK sets are dealt to tasks by pairs of blocks; the largest family's blocks never meet each other.
-5. Pairs are compared shingle by shingle. Where one does not link, others it stood for may: what is left of those groups is searched again, all pairs handed on.
+5. Pairs are compared shingle by shingle. Where one does not link, others it stood for may: what is left of those groups is searched again, by the sets of shingles
+   themselves in place of signatures, so that only pairs that link connect families. No search hands on more pairs in a task than it has sets.
 6. Components come from the links between classes, by smallest labels and pointer jumping.
 
 Cases: a null or wordless text has an empty set and links with nothing; fewer words than a shingle make one shingle of them all; rows with a null doc_id are
@@ -215,9 +216,9 @@ def overlaps(x: np.ndarray, n: int, others: list[np.ndarray], sizes: np.ndarray,
     return np.minimum(met + np.minimum(n - len(x), sizes - lengths), np.minimum(n, sizes))
 
 
-def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, n: int, threshold_pct: int) -> DataFrame:
-    """a, b, linked of each of `pairs`, compared shingle by shingle. Only texts of their ends are hashed again; no text leaves the scan."""
-    need = known.join(ends(pairs), "class", "left_semi").select("class", F.col("first_tie").alias("tie"))
+def sets_of(classes: DataFrame, known: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """class, shingles (sorted) of each of `classes` (class). Only their texts are hashed again; no text leaves the scan."""
+    need = known.join(classes, "class", "left_semi").select("class", F.col("first_tie").alias("tie"))
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(need.select("tie")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +226,12 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, n: int, thresh
             sets = shingle_sets(texts, n)
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "shingles"])
 
-    sets = docs.select(row_hash(docs).alias("tie"), "text").mapInArrow(hashed, "class long, shingles binary").join(need, "class", "left_semi").dropDuplicates(["class"])
+    return docs.select(row_hash(docs).alias("tie"), "text").mapInArrow(hashed, "class long, shingles binary").join(need.select("class"), "class", "left_semi").dropDuplicates(["class"])
+
+
+def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, n: int, threshold_pct: int) -> DataFrame:
+    """a, b, linked of each of `pairs`, compared shingle by shingle."""
+    sets = sets_of(ends(pairs), known, docs, n)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,8 +441,14 @@ def candidates(sizes: np.ndarray, signatures: list[np.ndarray], tags: tuple[np.n
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def group_pairs(family: np.ndarray, sizes: np.ndarray, signatures: list[np.ndarray], tags: tuple[np.ndarray, ...], threshold_pct: int, spanning: bool, scratch: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of sets of different families that may link: all, or (`spanning`) only those that connect what was not connected before."""
+def exact_overlaps(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many shingles the sorted set x shares with each of the others."""
+    at = (np.searchsorted(x, y) for y in others)
+    return np.array([np.count_nonzero(x[np.minimum(a, len(x) - 1)] == y) for a, y in zip(at, others, strict=True)], np.int64)
+
+
+def group_pairs(family: np.ndarray, sizes: np.ndarray, signatures: list[np.ndarray], tags: tuple[np.ndarray, ...], threshold_pct: int, scratch: np.ndarray | None) -> list[tuple[int, int]]:
+    """Pairs of sets of different families that may link, and only those that connect what was not connected before. Without `scratch`, the signatures are the sets themselves, and the pairs do link."""
     i, j = candidates(sizes, signatures, tags, threshold_pct)
     if not len(i):
         return []
@@ -446,15 +458,15 @@ def group_pairs(family: np.ndarray, sizes: np.ndarray, signatures: list[np.ndarr
     cuts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
     for a, b in zip(cuts, np.append(cuts[1:], len(i)), strict=True):
         x, others = int(i[a]), j[a:b]
-        others = others[root[others] != root[x]] if spanning else others
+        others = others[root[others] != root[x]]
         if not len(others):
             continue
-        shared = overlaps(signatures[x], int(sizes[x]), [signatures[y] for y in others], sizes[others], scratch)
+        those = [signatures[y] for y in others]
+        shared = exact_overlaps(signatures[x], those) if scratch is None else overlaps(signatures[x], int(sizes[x]), those, sizes[others], scratch)
         for y in others[(100 + threshold_pct) * shared >= threshold_pct * (sizes[x] + sizes[others])].tolist():
-            if not spanning or root[x] != root[y]:
+            if root[x] != root[y]:
                 out.append((x, y))
-                if spanning:
-                    root[root == root[y]] = root[x]
+                root[root == root[y]] = root[x]
     return out
 
 
@@ -501,10 +513,10 @@ def dealt(groups: DataFrame, known: DataFrame) -> DataFrame:
     return placed.withColumn("task", task).join(known.select("class", "row"), "class").select("task", "family", "row", "block", "other")
 
 
-def tree_pairs(groups: DataFrame, known: DataFrame, rows: DataFrame, threshold_pct: int, spanning: bool, frames: Frames) -> DataFrame:
-    """Pairs (a, b) of classes from different families of one of `groups` (grp, class, family) that may link; `known` names a row of each class.
+def tree_pairs(groups: DataFrame, known: DataFrame, rows: DataFrame, threshold_pct: int, frames: Frames, docs: DataFrame | None = None, n: int = 0) -> DataFrame:
+    """Pairs (a, b) of classes from different families of one of `groups` (grp, class, family) that may link, fewer in each task than it has sets; `known` names a row of each class.
 
-    The trees are made of bitmaps; of the sets in pairs that they leave, signatures follow.
+    The trees are made of bitmaps; of the sets in pairs that they leave, signatures follow. Given `docs` and the words of a shingle, the sets themselves follow, and the pairs do link.
     """
     parts = shuffle_partitions(groups.sparkSession)
 
@@ -516,10 +528,10 @@ def tree_pairs(groups: DataFrame, known: DataFrame, rows: DataFrame, threshold_p
             yield pa.RecordBatch.from_arrays([pa.array(of[c][some]) for c in ("task", "family", "row", "block", "other")], ["task", "family", "row", "block", "other"])
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scratch = np.zeros(MAX_BITS, np.uint8)
+        scratch = np.zeros(MAX_BITS, np.uint8) if docs is None else None
         for of, signatures in by_task(batches, "signature"):
-            places = [np.frombuffer(x, np.uint16) for x in signatures]
-            found = np.array(group_pairs(of["family"], of["n_shingles"], places, tags_of(of), threshold_pct, spanning, scratch), np.int64).reshape(-1, 2)
+            places = [np.frombuffer(x, np.uint16 if docs is None else np.uint64) for x in signatures]
+            found = np.array(group_pairs(of["family"], of["n_shingles"], places, tags_of(of), threshold_pct, scratch), np.int64).reshape(-1, 2)
             a, b = of["class"][found[:, 0]], of["class"][found[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -529,7 +541,12 @@ def tree_pairs(groups: DataFrame, known: DataFrame, rows: DataFrame, threshold_p
 
     placed = frames.save(dealt(groups, known))
     left = frames.save(together(placed, "n_shingles", "bitmap").mapInArrow(sift, placed.schema))
-    return together(left, "class", "n_shingles", "signature").mapInArrow(traverse, "a long, b long").distinct()
+    if docs is None:
+        return together(left, "class", "n_shingles", "signature").mapInArrow(traverse, "a long, b long").distinct()
+    of = left.join(known.select("row", "class", "n_shingles"), "row")
+    sets = frames.save(sets_of(of.select("class").distinct(), known, docs, n))
+    whole = of.join(sets.select("class", F.col("shingles").alias("signature")), "class").select("class", "n_shingles", "signature", "task", "family", "row", "block", "other")
+    return whole.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(traverse, "a long, b long").distinct()
 
 
 def of_families(groups: DataFrame, found: DataFrame) -> DataFrame:
@@ -560,15 +577,14 @@ def links(rows: DataFrame, known: DataFrame, docs: DataFrame, n: int, threshold_
 
     entries = (rows.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - threshold_pct) // 100
     groups = save(of_families(prefix_groups(rows, threshold_pct, entries), connected(linked, frames)))
-    compared = save(verified(save(tree_pairs(groups, known, rows, threshold_pct, True, frames)), known, docs, n, threshold_pct))
+    compared = save(verified(save(tree_pairs(groups, known, rows, threshold_pct, frames)), known, docs, n, threshold_pct))
     linked = save(linked.union(compared.where("linked").select("a", "b")))
     failed = save(ends(compared.where("not linked")))
     if failed.isEmpty():
         return linked
     touched = groups.join(failed, "class", "left_semi").select("grp").distinct()
     left = save(of_families(groups.join(touched, "grp", "left_semi"), connected(linked, frames)))
-    more = save(tree_pairs(left, known, rows, threshold_pct, False, frames).join(compared.select("a", "b"), ["a", "b"], "left_anti"))
-    return save(linked.union(verified(more, known, docs, n, threshold_pct).where("linked").select("a", "b")))
+    return save(linked.union(tree_pairs(left, known, rows, threshold_pct, frames, docs, n)))
 
 
 def classified(docs: DataFrame, n: int, threshold_pct: int, frames: Frames) -> DataFrame:
