@@ -4,7 +4,9 @@ Two conversations, one chosen and one rejected, share a longest common prefix of
 prompt; what follows in each is its completion, with the character spans that count for the loss: the texts of assistant turns and their end marks.
 
 Cases: a null role or text is empty; a pair with one side only has an empty other side and no common prefix; equal conversations have empty completions;
-turns with equal or null numbers stand in the order of role and text, nulls first; rows with a null key are left out; other columns are ignored.
+turns with equal or null numbers stand in the order of role and text, nulls first, repeated rows beside each other; rows with a null key are left out; an empty table
+gives no rows; other columns are ignored. Texts are rendered as they are: one that holds the marks of a turn looks like turns, so whoever trains on untrusted texts
+takes the marks out of them first.
 """
 
 from __future__ import annotations
@@ -51,4 +53,4 @@ def preferences(turns: DataFrame, key: str = "pair_id", chosen: str = "is_chosen
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of `conversations` as pairs: of each two neighbouring conv_ids the even one is chosen, the odd one rejected."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return rows.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), "turn", "role", "text")
+    return rows.select(F.shiftright("conv_id", 1).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), "turn", "role", "text")
