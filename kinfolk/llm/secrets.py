@@ -2,7 +2,8 @@
 
 Fixed patterns find secrets that say what they are (`assign`, `access`, `hex`). Besides, each long unbroken string that stands within `context`
 characters after a sensitive word is a candidate: it is compressed behind its surroundings with a dictionary of the corpus's own
-identifiers, and reported as `novel` if it costs nearly as many marginal bytes as random characters would.
+identifiers, and reported as `novel` if it costs nearly as many marginal bytes as random strings of its length and alphabet do in the same place. A long candidate costs more
+time, in proportion to its length.
 
 The dictionary holds the commonest identifiers by exact counts over all documents, wherever they stand in the text; its size is bounded.
 What stands only once in the corpus is not common: it would be a secret's own evidence.
@@ -13,6 +14,7 @@ Cases: a null or empty text has no spans; a null doc_id is kept; repeated rows a
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +37,11 @@ IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,31}")
 #: What may be an identifier: whole runs, as a part of a longer one is none.
 RUN = re.compile(r"\w+")
 KINDS = ("assign", "access", "hex", "novel")
+#: Where a name is cut into parts, and what stands between the words of the surroundings.
+CUT = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|[^A-Za-z0-9]+")
+BETWEEN = re.compile(r"\W+")
+#: Beginnings of the surroundings that are tried, random strings drawn for each, and the share of their cost from which a string is reported.
+CUTS, DRAWS, LEAST = 8, 3, 0.87
 #: Distinct words counted before a worker hands its counts on.
 COUNTED = 200_000
 
@@ -68,20 +75,46 @@ def identifier_dictionary(docs: DataFrame, max_bytes: int = 1 << 16) -> bytes:
     return "\n".join(reversed(words)).encode()
 
 
+def parts(string: str) -> str:
+    """The words of a name or path, a line each, in small letters: cut at marks, before capitals and between letters and digits."""
+    return "\n" + CUT.sub("\n", string).lower() + "\n"
+
+
+def alphabet(string: str) -> str:
+    """What a random string like this one is drawn from: whole sets of small letters, capitals and digits where it has any, and its own marks."""
+    sets = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+    return "".join(s for s in sets if set(s) & set(string)) + "".join(sorted(c for c in set(string) if not c.isalnum()))
+
+
 class Novelty:
-    """Marginal compressed bytes of a string behind its surroundings, against a dictionary."""
+    """Marginal compressed bytes of a string behind its surroundings and a dictionary, against those of random strings of its length and alphabet.
+
+    Strings, surroundings and dictionary are compared by their parts in small letters, so that a name made of known words is cheap however it is written.
+    """
 
     def __init__(self, dictionary: bytes, level: int = 3):
         self.compressor = zstandard.ZstdCompressor(level=level)
-        if len(dictionary) >= 8:
-            primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            primed.precompute_compress(level=level)
-            self.compressor = zstandard.ZstdCompressor(level=level, dict_data=primed)
-
-    def marginal(self, around: str, string: str) -> float:
-        """Bytes for each character that `string` adds behind `around`."""
-        alone, both = (len(self.compressor.compress(x.encode("utf-8", "surrogatepass"))) for x in (around, around + string))
-        return (both - alone) / max(1, len(string))
+        words = dict.fromkeys(reversed(dictionary.decode().lower().split("\n")))
+        primed = ("\n".join(reversed(words)) + "\n").encode()
+        if len(primed) >= 8:
+            held = zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(level=level)
+            self.compressor = zstandard.ZstdCompressor(level=level, dict_data=held)
+
+    def _bytes(self, text: str) -> int:
+        return len(self.compressor.compress(text.encode("utf-8", "surrogatepass")))
+
+    def relative(self, around: str, string: str) -> float:
+        """1 for a string that costs what random ones do, less for one that its surroundings or the dictionary explain. Sums over CUTS beginnings of the surroundings level the steps of whole bytes."""
+        before = "\n" + BETWEEN.sub("\n", around).lower()
+        letters, draw = alphabet(string), random.Random(f"{len(string)} {string[:1]}")
+        own = drawn = 0
+        for k in range(CUTS):
+            held = before[len(before) * k // (2 * CUTS) :]
+            alone = self._bytes(held)
+            own += DRAWS * (self._bytes(held + parts(string)) - alone)
+            drawn += sum(self._bytes(held + parts("".join(draw.choices(letters, k=len(string))))) - alone for _ in range(DRAWS))
+        return own / max(1, drawn)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -94,7 +127,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, found: list[tuple[int, int, str]], novelty: Novelty, context: int, least: float) -> list[tuple[int, int, str]]:
-    """Candidates in sensitive context, not inside a base span, that cost at least `least` bytes a character."""
+    """Candidates in sensitive context, not inside a base span, that cost at least `least` of what random strings like them do."""
     out = []
     words = [m.start() for m in SENSITIVE.finditer(text)]
     if not words:
@@ -106,7 +139,7 @@ def novel_spans(text: str, found: list[tuple[int, int, str]], novelty: Novelty,
         if not 0 < m.start() - words[at] <= context or any(a < m.end() and m.start() < b for a, b, _ in found):
             continue
         before, after = text[max(0, m.start() - 4 * context) : m.start()], text[m.end() : m.end() + 4 * context]
-        if novelty.marginal(after + before, m[0]) >= least:
+        if novelty.relative(after + before, m[0]) >= least:
             out.append((m.start(), m.end(), "novel"))
     return out
 
@@ -115,7 +148,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))))
 
 
-def scan(docs: DataFrame, context: int = 64, least: float = 0.7, dictionary: bytes | None = None) -> DataFrame:
+def scan(docs: DataFrame, context: int = 64, least: float = LEAST, dictionary: bytes | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans, redacted (the text with each span replaced, null if it has none)."""
     spark = docs.sparkSession
     primed = spark.sparkContext.broadcast(identifier_dictionary(docs) if dictionary is None else dictionary)
@@ -148,7 +181,7 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, context: int = 64, least: float = 0.7, dictionary: bytes | None = None) -> DataFrame:
+def redacted(docs: DataFrame, context: int = 64, least: float = LEAST, dictionary: bytes | None = None) -> DataFrame:
     """`docs` with secrets taken out of `text` (and n_chars, if there, counted anew); all other columns as they are."""
     spark = docs.sparkSession
     primed = spark.sparkContext.broadcast(identifier_dictionary(docs) if dictionary is None else dictionary)
