@@ -518,7 +518,7 @@ def tree_pairs(groups: DataFrame, known: DataFrame, rows: DataFrame, threshold_p
 
     The trees are made of bitmaps; of the sets in pairs that they leave, signatures follow. Given `docs` and the words of a shingle, the sets themselves follow, and the pairs do link.
     """
-    parts = shuffle_partitions(groups.sparkSession)
+    parts, exact = shuffle_partitions(groups.sparkSession), docs is not None
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for of, bitmaps in by_task(batches, "bitmap"):
@@ -528,9 +528,9 @@ def tree_pairs(groups: DataFrame, known: DataFrame, rows: DataFrame, threshold_p
             yield pa.RecordBatch.from_arrays([pa.array(of[c][some]) for c in ("task", "family", "row", "block", "other")], ["task", "family", "row", "block", "other"])
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scratch = np.zeros(MAX_BITS, np.uint8) if docs is None else None
+        scratch = None if exact else np.zeros(MAX_BITS, np.uint8)
         for of, signatures in by_task(batches, "signature"):
-            places = [np.frombuffer(x, np.uint16 if docs is None else np.uint64) for x in signatures]
+            places = [np.frombuffer(x, np.uint64 if exact else np.uint16) for x in signatures]
             found = np.array(group_pairs(of["family"], of["n_shingles"], places, tags_of(of), threshold_pct, scratch), np.int64).reshape(-1, 2)
             a, b = of["class"][found[:, 0]], of["class"][found[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -541,7 +541,7 @@ def tree_pairs(groups: DataFrame, known: DataFrame, rows: DataFrame, threshold_p
 
     placed = frames.save(dealt(groups, known))
     left = frames.save(together(placed, "n_shingles", "bitmap").mapInArrow(sift, placed.schema))
-    if docs is None:
+    if not exact:
         return together(left, "class", "n_shingles", "signature").mapInArrow(traverse, "a long, b long").distinct()
     of = left.join(known.select("row", "class", "n_shingles"), "row")
     sets = frames.save(sets_of(of.select("class").distinct(), known, docs, n))
