@@ -97,6 +97,7 @@ PLANS: dict[str, Callable[[Network], DataFrame]] = {
     "reply_counts": lambda net: graph.reply_counts(net.replies),
     "friend_reply_semi": lambda net: net.replies.join(net.knows, ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.count("*").alias("n")),
     "reply_min": lambda net: (lambda n: graph.reply_weights(n.knows, n.replies))(event_network(net)),
+    "replies_of_pairs": lambda net: (lambda n: graph.replies_between(n.replies, n.knows.where("src < dst AND (src + dst) % 3 = 0").select((F.col("src") * 1_000_000 + F.col("dst")).alias("query_no"), F.col("src").alias("p1"), F.col("dst").alias("p2"))))(event_network(net)),
     "interest_stats": lambda net: _named(net, net.interest.join(net.person, F.col("person") == F.col("id")).groupBy("tag").agg(F.count("*").alias("persons"), F.max("birthday").cast("string").alias("youngest"))),
     "tag_lookup": lambda net: net.forum_tag.join(net.tag.where(F.col("name") == first_topic(net)), F.col("tag") == F.col("id"), "left_semi").select("forum"),
     "place_closure": lambda net: graph.place_closure(net.place, net.part_of),
@@ -114,6 +115,8 @@ PLANS: dict[str, Callable[[Network], DataFrame]] = {
     "depth_limited_bound": lambda net: (lambda m: centrality.depth_bound(graph.induced(net.knows, m), m, 2))(_members(net)),
     "sampled_distance_sum": lambda net: (lambda m: centrality.sampled_sums(graph.induced(net.knows, m), m, 0.1))(_members(net)).select("person", F.round("estimate", 6).alias("estimate")),
     "masked_distance_sum": lambda net: (lambda m: centrality.masked_sums(graph.induced(net.knows, m), m, pass_rows=1 << 20))(_members(net)),
+    "estimate_error": lambda net: _inner(net, lambda e, m: centrality.estimate_error(centrality.sampled_sums(e, m, 0.1), centrality.masked_sums(e, m))).select("nodes", F.round("mean_error", 9).alias("mean_error"), "beyond"),
+    "kth_of_sample": lambda net: centrality.kth_largest(_rounded(social.centralities(net, first_topic(net))).where("person % 3 = 0"), "centrality", 5),
     "distance_histogram": lambda net: (lambda m: centrality.distance_histogram(graph.induced(net.knows, m), m))(_members(net)),
     "diameter": lambda net: (lambda m: centrality.diameter(graph.induced(net.knows, m), m))(_members(net)),
     "hop3_counts": lambda net: _inner(net, lambda e, m: search.hop_counts(e, m, 3)),
@@ -215,6 +218,7 @@ ORACLE_SQL: dict[str, str] = {
     "reply_counts": _sql("SELECT src, dst, n FROM counts"),
     "friend_reply_semi": _sql("SELECT src, dst, count(*) AS n FROM replies SEMI JOIN knows USING (src, dst) GROUP BY 1, 2"),
     "reply_min": _sql("SELECT src, dst, reply_min FROM weights"),
+    "replies_of_pairs": _sql("SELECT t.src * 1000000 + t.dst AS query_no, coalesce(a.n, 0) AS forth, coalesce(b.n, 0) AS back FROM talk t LEFT JOIN counts a ON a.src = t.src AND a.dst = t.dst LEFT JOIN counts b ON b.src = t.dst AND b.dst = t.src WHERE t.src < t.dst AND (t.src + t.dst) % 3 = 0"),
     "interest_stats": _sql("SELECT topic AS name, count(*) AS persons, CAST(max(birthday) AS VARCHAR) AS youngest FROM interest JOIN person ON id = person GROUP BY 1"),
     "tag_lookup": _sql("SELECT p_partkey AS forum FROM parts WHERE topic = (SELECT min(topic) FROM parts)"),
     "place_closure": _sql("SELECT ancestor, descendant FROM closure"),
@@ -233,6 +237,9 @@ ORACLE_SQL: dict[str, str] = {
     "sampled_distance_sum": _sql("""SELECT person, round(CASE WHEN (person * 7919 + 1) % 10007 < 1000 OR mean IS NULL THEN CAST(s AS DOUBLE) ELSE mean * r END, 6) AS estimate FROM sums LEFT JOIN means ON node = person""",
         _INNER, _SUMS, "means AS (SELECT node, avg(dist) AS mean FROM dist WHERE (source * 7919 + 1) % 10007 < 1000 GROUP BY 1)"),
     "masked_distance_sum": _sql("SELECT person, CAST(r AS BIGINT) AS r, s FROM sums", _INNER, _SUMS),
+    "estimate_error": _sql("SELECT count(*) AS nodes, round(coalesce(avg(off), 0), 9) AS mean_error, count(*) FILTER (off > 0.05) AS beyond FROM (SELECT abs(CASE WHEN (person * 7919 + 1) % 10007 < 1000 OR mean IS NULL THEN CAST(s AS DOUBLE) ELSE mean * r END - s) / s AS off FROM sums LEFT JOIN means ON node = person WHERE s > 0)",
+        _INNER, _SUMS, "means AS (SELECT node, avg(dist) AS mean FROM dist WHERE (source * 7919 + 1) % 10007 < 1000 GROUP BY 1)"),
+    "kth_of_sample": _sql("SELECT min(centrality) AS value FROM (SELECT centrality FROM close_ WHERE person % 3 = 0 ORDER BY centrality DESC LIMIT 5)", _INNER, _SUMS, _ALL),
     "distance_histogram": _sql("SELECT dist, count(*) AS pairs FROM dist GROUP BY 1", _INNER),
     "diameter": _sql("SELECT max(dist) AS diameter FROM dist", _INNER),
     "hop3_counts": _sql("SELECT source AS person, count(*) FILTER (dist <= 1) - 1 AS h1, count(*) FILTER (dist <= 2) - 1 AS h2, count(*) FILTER (dist <= 3) - 1 AS h3 FROM dist GROUP BY 1", _INNER),

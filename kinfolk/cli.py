@@ -21,17 +21,19 @@ from .sources.network import Network, read_folder
 
 
 def answers(net: Network, asked: DataFrame) -> list[str]:
-    """The answers to parsed queries (query_no, kind, ...), in order of query_no. All path queries share their loops."""
+    """The answers to parsed queries (query_no, kind, ...), in order of query_no. All path queries share their loops, and so do all interest queries."""
     rows = asked.orderBy("query_no").collect()
     out: dict[int, str] = {}
     paths = [(r.query_no, r.p1, r.p2, r.x) for r in rows if r.kind == 1]
     if paths:
         frame = net.spark.createDataFrame(paths, "query_no long, p1 long, p2 long, x int")
         out |= {r.query_no: str(r.distance) for r in social.shortest_paths(net, frame).collect()}
+    ranges = [(r.query_no, r.k, str(r.d)) for r in rows if r.kind == 2]
+    if ranges:
+        top = social.top_interests_of(net, net.spark.createDataFrame(ranges, "query_no long, k int, since string"))
+        out |= {n: "" for n, *_ in ranges} | {r.query_no: r.answer for r in text.joined_by(top, "query_no", F.col("name"), -F.col("size"), F.col("name")).collect()}
     for r in rows:
-        if r.kind == 2:
-            top = text.joined(social.top_interests(net, r.k, str(r.d)), F.col("name"), -F.col("size"), F.col("name"))
-        elif r.kind == 3:
+        if r.kind == 3:
             top = text.joined(social.similar_pairs(net, r.k, r.h, r["name"]), F.concat_ws("|", "a", "b"), -F.col("common"), F.col("a"), F.col("b"))
         elif r.kind == 4:
             top = text.joined(social.top_central(net, r.k, r["name"]), F.col("person").cast("string"), -F.col("centrality"), F.col("person"))

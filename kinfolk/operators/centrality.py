@@ -174,6 +174,18 @@ def sampled_sums(edges: DataFrame, nodes: DataFrame, share: float, seed: int = 1
     return exact.union(rest.select("person", (F.col("s") / F.col("n") * F.col("r")).alias("estimate"))).union(apart)
 
 
+def estimate_error(estimates: DataFrame, sums: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """One row: nodes with a distance sum above 0, mean relative error of their estimates (person, estimate) against `sums` (person, s), how many are off by more than `tolerance`."""
+    off = F.abs(F.col("estimate") - F.col("s")) / F.col("s")
+    both = estimates.join(sums.select("person", "s"), "person").where("s > 0").select(off.alias("off"))
+    return both.agg(F.count("*").alias("nodes"), F.coalesce(F.avg("off"), F.lit(0.0)).alias("mean_error"), F.count_if(F.col("off") > tolerance).alias("beyond"))
+
+
+def kth_largest(values: DataFrame, column: str, k: int) -> DataFrame:
+    """One row, value: the k-th largest of a column, or the smallest if there are fewer rows; null without rows."""
+    return values.select(F.col(column).alias("value")).orderBy(F.desc("value")).limit(k).agg(F.min("value").alias("value"))
+
+
 def path_frequency(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """person, frequency: over all shortest paths from `sources` (person) to all other nodes, each pair's paths sharing a weight of 1, how much of it passes through each node that is neither end.
 

@@ -48,6 +48,15 @@ def reply_weights(knows: DataFrame, replies: DataFrame) -> DataFrame:
     return weighed.select("src", "dst", F.least(F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))).alias("reply_min"))
 
 
+def replies_between(replies: DataFrame, pairs: DataFrame) -> DataFrame:
+    """query_no, forth, back: how often p1 of each of `pairs` (query_no, p1, p2) replied to p2, and p2 to p1. Only the pairs' replies are counted."""
+    ends = pairs.select("query_no", F.col("p1").alias("src"), F.col("p2").alias("dst"))
+    both = ends.withColumn("forth", F.lit(1)).unionByName(ends.select("query_no", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).alias("forth")))
+    counts = reply_counts(replies.join(both.select("src", "dst").distinct(), ["src", "dst"], "left_semi"))
+    found = both.join(counts, ["src", "dst"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return found.groupBy("query_no").agg(F.sum(F.col("n") * F.col("forth")).alias("forth"), F.sum(F.col("n") * (1 - F.col("forth"))).alias("back"))
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges with both ends in `nodes` (person)."""
     return edges.join(nodes.select(F.col("person").alias("src")), "src", "left_semi").join(nodes.select(F.col("person").alias("dst")), "dst", "left_semi").select("src", "dst")

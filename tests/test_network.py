@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kinfolk.functions import text
 from kinfolk.operators import centrality, graph
 from kinfolk.plans import social
+from kinfolk.sources import network
 from kinfolk.sources.network import read_folder
 
 BIRTHDAYS = ["1980-01-01", "1985-05-05", "1990-02-02", "1979-12-31", "1991-01-01", "1992-01-01"]
@@ -86,9 +87,9 @@ def test_components_of_a_long_chain(spark):
 def test_answers_come_in_input_order(spark, net):
     from kinfolk import cli
 
-    lines = ["query4(2, Alpha)", "query1(0, 4, -1)", "query3(3, 2, China)", "query2(2, 1980-01-02)", "query1(0, 3, 1)"]
+    lines = ["query4(2, Alpha)", "query1(0, 4, -1)", "query3(3, 2, China)", "query2(2, 1980-01-02)", "query1(0, 3, 1)", "query2(3, 1980-01-01)", "query2(3, 2030-01-01)"]
     asked = text.parsed(spark.createDataFrame(list(enumerate(lines)), "query_no long, value string"))
-    assert cli.answers(net, asked) == ["2 0", "3", "0|2 0|1 1|2", "Alpha Beta", "-1"]
+    assert cli.answers(net, asked) == ["2 0", "3", "0|2 0|1 1|2", "Alpha Beta", "-1", "Alpha Beta Gamma", ""]
 
 
 def test_both_ways_to_sum_distances_agree(spark):
@@ -97,3 +98,52 @@ def test_both_ways_to_sum_distances_agree(spark):
     nodes = spark.range(155).select(F.col("id").alias("person"))
     a, b = (sorted(map(tuple, centrality.distance_sums(edges, nodes, n).collect())) for n in (10_000, 0))
     assert a == b and len(a) == 155
+
+
+def test_files_written_and_read_back(spark, net, tmp_path):
+    again = read_folder(spark, network.write_folder(net, f"file://{tmp_path}/files"))
+    for name in ("person", "knows", "replies", "interest", "tag", "place", "part_of", "located", "forum_tag", "forum_member"):
+        before, after = (sorted(map(tuple, getattr(n, name).collect()), key=repr) for n in (net, again))
+        assert before == after, name
+
+
+def test_broken_lines_are_counted(spark, net, tmp_path):
+    folder = network.write_folder(net, f"file://{tmp_path}/files")
+    with open(f"{tmp_path}/files/person_knows_person.csv/more.csv", "w") as f:
+        f.write("header\n1|x\n7\n|\n3|4|extra\n")
+    with open(f"{tmp_path}/files/person.csv/more.csv", "w") as f:
+        f.write("header\n77|a|b|c|1980-13-45\n78|a|b|c|\n79|a|b|c|1980-02-03\n")
+    counts = {r.file: (r.lines, r.broken) for r in network.broken_lines(spark, folder).collect()}
+    assert counts["person_knows_person"] == (10 + 4, 3) and counts["person"] == (6 + 3, 1)
+    assert all(broken == 0 for name, (_, broken) in counts.items() if name not in ("person_knows_person", "person"))
+
+
+def test_replies_of_pairs(spark, net):
+    pairs = spark.createDataFrame([(0, 0, 1), (1, 3, 2), (2, 3, 4), (3, 4, 3), (4, 0, 5), (5, 1, 1), (6, 9, 8)], "query_no long, p1 long, p2 long")
+    got = {r.query_no: (r.forth, r.back) for r in graph.replies_between(net.replies, pairs).collect()}
+    assert got == {0: (2, 1), 1: (2, 3), 2: (1, 0), 3: (0, 1), 4: (1, 0), 5: (0, 0), 6: (0, 0)}
+
+
+def test_graph_dump(net):
+    lines = [r.line for r in text.dumped(net.knows).orderBy("part", "a", "b").collect()]
+    assert lines == ["0", "1", "2", "3", "4", "#", "0 1", "0 2", "1 2", "2 3", "3 4"]
+
+
+def test_both_plans_of_similar_pairs_agree(net):
+    for h in (1, 2, 7):
+        rows = [[tuple(r) for r in social.similar_pairs(net, 4, h, "China", plan).collect()] for plan in ("reach", "overlap", None)]
+        assert rows[0] == rows[1] == rows[2] and rows[0]
+
+
+def test_bounded_search_of_the_micro_network(net):
+    for name in ("Alpha", "Beta", "Nothing"):
+        a, b = ([tuple(r) for r in f(net, 5, name).collect()] for f in (social.top_central, social.top_central_bounded))
+        assert a == b
+
+
+def test_estimates_and_the_kth_value(spark):
+    e = spark.createDataFrame([(1, 10.0), (2, 22.0), (3, 5.0), (4, 0.0)], "person long, estimate double")
+    s = spark.createDataFrame([(1, 10), (2, 20), (3, 10), (4, 0)], "person long, s long")
+    assert tuple(centrality.estimate_error(e, s).first()) == (3, pytest.approx(0.2), 2)
+    assert [centrality.kth_largest(e, "estimate", k).first().value for k in (1, 2, 9)] == [22.0, 10.0, 0.0]
+    assert centrality.kth_largest(e.where("false"), "estimate", 2).first().value is None
