@@ -18,6 +18,9 @@ FLAGSHIP = "q4_topk"
 #: Queries (number, k, date) that are answered together.
 BATCH = [(1, 5, "1994-06-01"), (2, 10, "1995-06-01"), (3, 40, "1996-01-01"), (4, 3, "2030-01-01")]
 
+#: A date of each year of the tables.
+DATES = [(year, 1, f"{year}-03-01") for year in range(1992, 1999)]
+
 
 def first_topic(net: Network) -> str:
     return net.tag.agg(F.min("name")).first()[0]
@@ -123,6 +126,7 @@ PLANS: dict[str, Callable[[Network], DataFrame]] = {
     "neighbourhood_sizes": lambda net: _inner(net, lambda e, m: search.walk_counts(e, m, 4)).select("person", *(F.get("walks", F.lit(i)).alias(f"w{i + 1}") for i in range(4))),
     "path_node_frequency": lambda net: _inner(net, lambda e, m: centrality.path_frequency(e, m.where("person % 10 = 0"))).select("person", F.round("frequency", 6).alias("frequency")),
     "q2_batch": lambda net: social.top_interests_of(net, _dates(net, BATCH)),
+    "q2_all_dates": lambda net: _named(net, social.interest_ranges_by_forest(net, _dates(net, DATES))),
     "q1_path_nofilter": lambda net: _batch(net, -1),
     "q1_path_x0": lambda net: _batch(event_network(net), 0),
     "q1_path_x1": lambda net: _batch(event_network(net), 1),
@@ -211,6 +215,19 @@ _CLOSE = "CASE WHEN s > 0 THEN round(CAST((r - 1) * (r - 1) AS DOUBLE) / (CAST(n
 _ALL = f"close_ AS (SELECT person, {_CLOSE} FROM sums, (SELECT count(*) AS n FROM members))"
 _SOCIAL = f"close_ AS (SELECT person, {_CLOSE} FROM sums, (SELECT count(DISTINCT src) AS n FROM inner_edges) WHERE r > 1)"
 
+
+
+def _young(asked: list[tuple[int, int, str]]) -> list[str]:
+    """The followers for each asked date, who reaches whom among them, and the largest range of each tag."""
+    return [
+        "asked(query_no, k, since) AS (VALUES " + ", ".join(f"(CAST({n} AS BIGINT), {k}, DATE '{d}')" for n, k, d in asked) + ")",
+        "young AS (SELECT query_no, topic, person FROM interest JOIN person ON id = person JOIN asked ON birthday >= since)",
+        "young_edges AS (SELECT a.query_no, a.topic, src, dst FROM knows JOIN young a ON a.person = src JOIN young b ON b.person = dst AND a.topic = b.topic AND a.query_no = b.query_no)",
+        "spread(query_no, topic, person, other) AS (SELECT query_no, topic, person, person FROM young UNION SELECT s.query_no, s.topic, s.person, e.dst FROM spread s JOIN young_edges e ON e.query_no = s.query_no AND e.topic = s.topic AND e.src = s.other)",
+        "sizes AS (SELECT query_no, topic, max(n) AS size FROM (SELECT query_no, topic, person, count(*) AS n FROM spread GROUP BY 1, 2, 3) GROUP BY 1, 2)",
+    ]
+
+
 ORACLE_SQL: dict[str, str] = {
     "knows_edges": _sql("SELECT src, dst FROM knows"),
     "degree": _sql("SELECT src AS person, count(*) AS degree FROM knows GROUP BY 1"),
@@ -254,12 +271,8 @@ JOIN paths a ON a.source = b.node AND a.node = c.node AND a.dist + b.dist = c.di
         _INNER, "c0 AS (SELECT person AS source, person AS node, CAST(1 AS DOUBLE) AS n FROM members)",
         *(f"c{i} AS (SELECT c.source, e.dst AS node, sum(n) AS n FROM c{i - 1} c JOIN inner_edges e ON e.src = c.node JOIN dist d ON d.source = c.source AND d.node = e.dst AND d.dist = {i} GROUP BY 1, 2)" for i in range(1, 10)),
         "paths AS (" + " UNION ALL ".join(f"SELECT source, node, {i} AS dist, n FROM c{i}" for i in range(10)) + ")"),
-    "q2_batch": _sql("SELECT query_no, topic AS name, size FROM sizes JOIN asked USING (query_no) QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY size DESC, topic) <= k",
-        "asked(query_no, k, since) AS (VALUES " + ", ".join(f"(CAST({n} AS BIGINT), {k}, DATE '{d}')" for n, k, d in BATCH) + ")",
-        "young AS (SELECT query_no, topic, person FROM interest JOIN person ON id = person JOIN asked ON birthday >= since)",
-        "young_edges AS (SELECT a.query_no, a.topic, src, dst FROM knows JOIN young a ON a.person = src JOIN young b ON b.person = dst AND a.topic = b.topic AND a.query_no = b.query_no)",
-        "spread(query_no, topic, person, other) AS (SELECT query_no, topic, person, person FROM young UNION SELECT s.query_no, s.topic, s.person, e.dst FROM spread s JOIN young_edges e ON e.query_no = s.query_no AND e.topic = s.topic AND e.src = s.other)",
-        "sizes AS (SELECT query_no, topic, max(n) AS size FROM (SELECT query_no, topic, person, count(*) AS n FROM spread GROUP BY 1, 2, 3) GROUP BY 1, 2)"),
+    "q2_batch": _sql("SELECT query_no, topic AS name, size FROM sizes JOIN asked USING (query_no) QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY size DESC, topic) <= k", *_young(BATCH)),
+    "q2_all_dates": _sql("SELECT query_no, topic AS name, size FROM sizes", *_young(DATES)),
     "q1_path_nofilter": _paths("knows", "SELECT src, dst FROM knows"),
     "q1_path_x0": _paths("talk", "SELECT src, dst FROM weights WHERE reply_min > 0"),
     "q1_path_x1": _paths("talk", "SELECT src, dst FROM weights WHERE reply_min > 1"),

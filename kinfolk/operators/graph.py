@@ -132,6 +132,42 @@ def contracted(edges: DataFrame, keys: tuple[str, ...] = (), nodes: int = FOREST
     return once.mapInArrow(join, once.schema)
 
 
+def thinned(edges: DataFrame, keys: tuple[str, ...] = (), nodes: int = FOREST_NODES) -> DataFrame:
+    """Of `edges` (*keys, src, dst, weight; each once) enough to join, at every weight, what all edges of that weight or more join: spanning forests of the largest weights.
+
+    Each task reads its edges from the largest weight down and leaves out those whose ends it has already joined. A graph in one task becomes a forest; a large one lies in
+    several, and a task that has met `nodes` nodes forgets them, so that some more edges stay.
+    """
+    names = [*keys, "src", "dst", "weight"]
+    placed = edges.select(*names)
+    if keys:
+        placed = placed.hint("rebalance", *keys)
+
+    def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[tuple, tuple] = {}
+
+        def root(x: tuple) -> tuple:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        for batch in batches:
+            *of, a, b = (column.to_pylist() for column in batch.columns[:-1])
+            kept = []
+            for i, (*key, x, y) in enumerate(zip(*of, a, b, strict=True)):
+                x, y = (*key, x), (*key, y)
+                x, y = root(above.setdefault(x, x)), root(above.setdefault(y, y))
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    kept.append(i)
+                if len(above) >= nodes:
+                    above.clear()
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return placed.sortWithinPartitions(*keys, F.desc("weight"), "src", "dst").mapInArrow(joining, placed.schema)
+
+
 def components(edges: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(*keys,) node, comp: the smallest node each one reaches. With `keys`, one graph for each value of these columns, all in a single loop.
 

@@ -70,6 +70,20 @@ def interest_ranges(net: Network, asked: DataFrame) -> DataFrame:
     return comps.groupBy("query_no", "tag", "comp").agg(F.count("*").alias("size")).groupBy("query_no", "tag").agg(F.max("size").alias("size"))
 
 
+def interest_ranges_by_forest(net: Network, asked: DataFrame) -> DataFrame:
+    """As `interest_ranges`, for many dates: each tag's friendships are joined and thinned to a spanning forest by the date up to which both friends count, once; the dates only read the forests."""
+    since = F.broadcast(graph.save(asked.select("query_no", F.col("since").cast("date").alias("since"))))
+    born = net.person.select(F.col("id").alias("person"), "birthday").where("birthday IS NOT NULL")
+    fans = graph.save(net.interest.distinct().join(born, "person"))
+    ends = [fans.select("tag", F.col("person").alias(name), F.col("birthday").alias(f"{name}_born")) for name in ("src", "dst")]
+    edges = net.knows.where("src < dst").join(ends[0], "src").join(ends[1], ["dst", "tag"]).select("tag", "src", "dst", F.least("src_born", "dst_born").alias("weight"))
+    forest = graph.save(graph.thinned(edges, ("tag",)))
+    alive = forest.join(since, F.col("weight") >= F.col("since")).select("query_no", "tag", "src", "dst")
+    young = fans.join(since, F.col("birthday") >= F.col("since")).select("query_no", "tag", "person")
+    comps = graph.components(alive, young, ("query_no", "tag"))
+    return comps.groupBy("query_no", "tag", "comp").agg(F.count("*").alias("size")).groupBy("query_no", "tag").agg(F.max("size").alias("size"))
+
+
 def young_followers(net: Network, asked: DataFrame) -> DataFrame:
     """query_no, tag, person. `asked` is a set of queries, not a table of the data."""
     born = net.interest.join(net.person.select(F.col("id").alias("person"), "birthday"), "person")
@@ -80,7 +94,8 @@ def young_followers(net: Network, asked: DataFrame) -> DataFrame:
 def top_interests_of(net: Network, asked: DataFrame) -> DataFrame:
     """query_no, name, size: for each (query_no, k, since), the k tags with the largest ranges, by size, then name."""
     asked = graph.save(asked)
-    known = graph.save(interest_ranges(net, asked))
+    ranges = interest_ranges if asked.count() == 1 else interest_ranges_by_forest
+    known = graph.save(ranges(net, asked))
     named = known.join(net.tag.select(F.col("id").alias("tag"), "name"), "tag").join(asked.select("query_no", "k"), "query_no")
     best = Window.partitionBy("query_no").orderBy(F.desc("size"), "name")
     return named.withColumn("place", F.row_number().over(best)).where(F.col("place") <= F.col("k")).select("query_no", "name", "size")
