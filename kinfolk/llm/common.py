@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -82,8 +83,16 @@ def shuffle_partitions(spark: SparkSession, rows: int = 0, per_partition: int =
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
 
 
+def give_back() -> None:
+    """Free memory of this Python worker goes back to the system: a worker waits for its next task for as long as the application lasts."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with their texts (null: empty), about PIECE_CHARS each."""
+    """Slices of the batches with their texts (null: empty), about PIECE_CHARS each. Memory that a task's batches took is given back at their end."""
     for batch in batches:
         column = batch.column(text)
         start, size = 0, 0
@@ -94,6 +103,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
                 part = batch.slice(start, i + 1 - start)
                 yield part, [t or "" for t in part.column(text).to_pylist()]
                 start, size = i + 1, 0
+                del part
+    give_back()
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

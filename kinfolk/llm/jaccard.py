@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Frames, mix64, pieces, shuffle_partitions, word_hashes
+from .common import Frames, give_back, mix64, pieces, shuffle_partitions, word_hashes
 
 #: Odd multipliers (fixed values) that give the words of a shingle their places.
 PLACE, SIZE_SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -492,6 +492,8 @@ def by_task(batches: Iterator[pa.RecordBatch], binary: str) -> Iterator[tuple[di
             last = task[a]
     if held:
         yield whole()
+    held = []
+    give_back()
 
 
 def tags_of(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from .common import pieces, save
+from .common import give_back, pieces, save
 
 #: Chunks of text, and parts of them, whose ids are remembered by a Python worker; its memory is bounded by forgetting all when they are more.
 REMEMBERED = 100_000
@@ -140,6 +140,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separa
         # workers live on, and other operators' tasks need the room
         ids_of.clear()
         ids_of.parts.clear()
+        give_back()
 
     carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return docs.select(*kept, "text").mapInArrow(cut, f"doc_id long{carried}, {PIECE_COLUMNS}" + ", ids array<int>" * with_ids)
