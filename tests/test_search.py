@@ -83,10 +83,10 @@ def test_most_central_by_bounds(spark, seed, n, m, parts):
 
 
 def test_fewer_searches_than_members(spark):
-    ids, adjacent = random_graph(9, 300, 900)
+    ids, adjacent = random_graph(9, 400, 1000)
     edges, nodes = frames(spark, ids, adjacent)
     work = search.Work()
-    centrality.most_central(edges, nodes, 5, depth=5, block=40, work=work).collect()
+    centrality.most_central(edges, nodes, 5, block=32, work=work).collect()
     assert work.searched <= len(ids) / 3
 
 
@@ -122,7 +122,7 @@ def test_pairs_from_both_ends(spark, seed, n, m, parts):
 
 
 def test_two_frontiers_are_smaller_than_one(spark):
-    ids, adjacent = random_graph(5, 600, 2400)
+    ids, adjacent = random_graph(5, 600, 1500)
     edges, _ = frames(spark, ids, adjacent)
     rng = random.Random(1)
     asked = spark.createDataFrame([(q, rng.choice(ids), rng.choice(ids), -1, None) for q in range(30)], "query_no long, p1 long, p2 long, x int, h int")
