@@ -21,6 +21,8 @@ from .common import save
 
 #: Rows aimed at in a (source, bucket) group.
 BUCKET_ROWS = 1000
+#: What copies are range-sorted by.
+TRAINING_ORDER = ("train_position", "doc_id", "tie", "copy")
 
 
 def word_count(text: Column) -> Column:
@@ -105,11 +107,37 @@ def curriculum(
     docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most_repeats: float = 2.0, slopes: tuple[float, ...] = (3.0, 1.0, 1 / 3)
 ) -> DataFrame:
     """The documents as often as the mix takes them, in the order of their training positions, with column `train_position` added."""
-    mixed = _placed(docs, True, weights, share, most_repeats, slopes).where("repeats > 0")
-    copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
+    placed = _copies(_placed(docs, True, weights, share, most_repeats, slopes), "doc")
+    return placed.orderBy(*TRAINING_ORDER).select("doc.*", "train_position")
+
+
+def schedule(
+    docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most_repeats: float = 2.0, slopes: tuple[float, ...] = (3.0, 1.0, 1 / 3)
+) -> DataFrame:
+    """The rows of `mix`, with the training positions of all copies of a row (positions) and their numbers from 0 in the training order of all copies (places); no copies: empty.
+
+    The copies are range-sorted as those of `curriculum`; a copy's place is its number in its range behind the copies of the ranges before.
+    """
+    rows = save(_placed(docs, False, weights, share, most_repeats, slopes))
+    kept = ["doc_id", "source", "size", "source_size", "target", "taken", "repeats", "position", "slope", "before"]
+    in_turn = save(_copies(rows, *kept[1:]).orderBy(*TRAINING_ORDER).withColumn("at", F.monotonically_increasing_id()))
+    ranges = in_turn.groupBy(F.shiftright("at", 33).alias("range")).agg(F.count("*").alias("copies"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition of the sort
+    starts = ranges.select("range", F.coalesce(F.sum("copies").over(earlier), F.lit(0)).alias("start"))
+    place = F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)
+    numbered = in_turn.join(F.broadcast(starts), F.shiftright("at", 33) == F.col("range")).withColumn("place", place)
+    # before differs between rows of one source that have words, so a group is one row's copies
+    taken = numbered.groupBy(*kept).agg(F.sort_array(F.collect_list(F.struct("copy", "train_position", "place"))).alias("of"))
+    taken = taken.select(*kept, F.col("of.train_position").alias("positions"), F.col("of.place").alias("places"))
+    rest = rows.where("repeats = 0").select(*kept, F.array().cast("array<double>").alias("positions"), F.array().cast("array<long>").alias("places"))
+    return taken.unionByName(rest)
+
+
+def _copies(placed: DataFrame, *kept: str) -> DataFrame:
+    """The copies of rows of `_placed`, each with its train_position, doc_id, tie, copy (from 0) and the columns `kept`."""
+    copies = placed.where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
     demand = F.col("before") + F.col("copy") * F.col("source_size")
-    placed = copies.select("doc", "doc_id", "tie", "copy", position(demand, F.col("target"), F.col("slope")).alias("train_position"))
-    return placed.orderBy("train_position", "doc_id", "tie", "copy").select("doc.*", "train_position")
+    return copies.select(*kept, "doc_id", "tie", "copy", position(demand, F.col("target"), F.col("slope")).alias("train_position"))
 
 
 def in_order(docs: DataFrame, name: str) -> DataFrame:

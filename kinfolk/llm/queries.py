@@ -60,7 +60,8 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
+    """With the places of each document's copies in the training order of the whole mix."""
+    return mixing.schedule(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position", "positions", "places")
 
 
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
