@@ -3,8 +3,8 @@
 The index holds every word of the examples, a bounded sample of labelled documents; document counts for the IDF come from all documents. A word weighs
 its IDF times `FLOOR` plus the part of its log odds among toxic examples that stands beyond chance, so that words which mark toxic texts count most and no word of
 an example is left out. Examples stand in blocks of BLOCK, like beside like. Words that many examples hold are kept as whole columns, multiplied for many queries at once; for
-every other word and block the largest weight is kept, and a query skips the blocks whose bound (the block's best sum over the columns, and the largest weights) is
-below its k-th best score.
+every other word and block the largest weight is kept (for words in many of the blocks as rows of a matrix, for the rest as lists), and a query skips the blocks whose bound (the block's best sum over the columns, and the largest weights) is
+below its k-th best score; where that leaves many blocks, it reads its lists whole.
 
 Cases: words that no example holds have no weight; texts of such words only (null and empty ones too) have no neighbours and get the calibrated rate of such texts;
 without labelled rows of both kinds every score is 0; ties go to the smaller doc_id; null labels are left out, and of several labels of one id the toxic one counts; of
@@ -26,11 +26,17 @@ from pyspark.sql import functions as F
 from .common import Frames, fold_of, pieces, shuffle_partitions
 
 WORD = re.compile(r"[^\W\d_]+")
+#: In UTF-8: ASCII letters and all that is not ASCII stay, the rest becomes blanks.
+LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 BLOCK = 64
 #: Blocks read in a query's first round, best bounds first; each later round reads four times as many.
 AT_ONCE = 24
+#: If one in so many blocks or more may still hold a neighbour after the first round, the query's lists are read whole, which costs less than to pick blocks from them.
+WHOLE = 6
 #: Words that more than one in so many examples holds are columns.
 COLUMN = 16
+#: Words in at least one in so many blocks are rows.
+ROW = 4
 #: Queries multiplied at once.
 QUERIES = 64
 #: What a word weighs without any bearing on toxicity, and the standard errors taken off its log odds: the best of eight pairs by AUC over three folds of the training rows of sf0.1.
@@ -42,6 +48,22 @@ def terms(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def numbered(words: list[str] | list[bytes]) -> dict[bytes, int]:
+    """The words' numbers, by their UTF-8."""
+    return {w if isinstance(w, bytes) else w.encode(): i for i, w in enumerate(words)}
+
+
+def known(text: str, number: dict[bytes, int]) -> list[int | None]:
+    """The numbers of all its terms that have one, and Nones. Cut at ASCII first, which is fast; pieces that are no known word and not ASCII may hold several terms."""
+    low = text.lower().encode("utf-8", "surrogatepass")
+    found = low.translate(LETTERS).split()
+    out = list(map(number.get, found))
+    if not low.isascii():
+        rest = [p for p, i in zip(found, out, strict=True) if i is None and not p.isascii()]
+        out += [number.get(w.encode("utf-8", "surrogatepass")) for p in rest for w in terms(p.decode("utf-8", "surrogatepass"))]
+    return out
+
+
 def term_weights(df: np.ndarray, documents: int, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
     """IDF over all documents times FLOOR plus the lower bound of a word's log odds, from the toxic and clean examples that hold it."""
     idf = np.log((1 + documents) / (1 + df)) + 1
@@ -98,10 +120,10 @@ class Scale:
 class Index:
     """Unit vectors of the examples in an inverted index with block maxima. Only what it is made from travels: each worker builds the rest."""
 
-    def __init__(self, words: list[str], weight: np.ndarray, doc_ids: np.ndarray, labels: np.ndarray, holders: np.ndarray, docs: np.ndarray, tf: np.ndarray):
+    def __init__(self, words: list[str] | list[bytes], weight: np.ndarray, doc_ids: np.ndarray, labels: np.ndarray, holders: np.ndarray, docs: np.ndarray, tf: np.ndarray):
         """holders: how many examples hold each word; docs, tf: their places, word by word and rising, and how often each holds it."""
-        self.source = words, weight, doc_ids, labels, holders, docs, tf
-        self.number, self.weight, self.doc_ids, self.labels = {w: i for i, w in enumerate(words)}, weight, doc_ids, labels.astype(float)
+        self.number, self.weight, self.doc_ids, self.labels = numbered(words), weight, doc_ids, labels.astype(float)
+        self.source = list(self.number), weight, doc_ids, labels, holders, docs, tf
         n, at = len(doc_ids), docs.astype(np.int32)
         self.blocks = max(1, -(-n // BLOCK))
         x = (1 + np.log(tf)) * np.repeat(weight, holders)
@@ -112,13 +134,21 @@ class Index:
         column = np.repeat(self.column, holders)
         self.columns[column[column >= 0], at[column >= 0]] = x[column >= 0]
         self.docs, self.x = at[column < 0], x[column < 0]
-        #: an entry: the postings of one word in one block
         cell = np.repeat(np.arange(len(words)), np.where(common, 0, holders)) * self.blocks + self.docs // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.maxima = np.maximum.reduceat(self.x, first) if len(first) else np.zeros(0)
-        self.block = (cell[first] % self.blocks).astype(np.int32)
-        self.starts = np.append(first, len(cell)).astype(np.int32)
-        self.entries = np.searchsorted(cell[first], np.arange(len(words) + 1) * self.blocks).astype(np.int32)
+        maxima = np.maximum.reduceat(self.x, first) if len(first) else np.zeros(0)
+        of, block, starts = cell[first] // self.blocks, (cell[first] % self.blocks).astype(np.int32), np.append(first, len(cell)).astype(np.int32)
+        many = np.bincount(of, minlength=len(words)) * ROW >= self.blocks
+        #: rows: the largest weight in each block, and where the postings of each begin
+        self.row = np.where(many, np.cumsum(many) - 1, -1)
+        self.tallest = np.zeros((int(many.sum()), self.blocks))
+        self.tallest[self.row[of[many[of]]], block[many[of]]] = maxima[many[of]]
+        self.begins = np.searchsorted(cell, np.flatnonzero(many)[:, None] * self.blocks + np.arange(self.blocks + 1)).astype(np.int32)
+        self.lists = np.append(0, np.cumsum(np.where(common, 0, holders))).astype(np.int32)
+        #: an entry: the postings of one other word in one block
+        few = ~many[of]
+        self.maxima, self.block, self.starts, self.stops = maxima[few], block[few], starts[:-1][few], starts[1:][few]
+        self.entries = np.searchsorted(of[few], np.arange(len(words) + 1)).astype(np.int32)
         self.remembered: dict[int, tuple[float | None, list[int]]] = {}
         self.broadcast, self.scale = None, Scale([])
 
@@ -167,36 +197,56 @@ class Index:
     def _nearest(self, sums: np.ndarray, tops: np.ndarray, t: np.ndarray, x: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
         """One query: its sums over the columns and their best by block, the other words and their weights."""
         lengths = self.entries[t + 1] - self.entries[t]
-        entry, x = spans(self.entries[t], lengths), np.repeat(x, lengths)
+        entry, each = spans(self.entries[t], lengths), np.repeat(x, lengths)
         block = self.block[entry]
-        bounds = tops + np.bincount(block, x * self.maxima[entry], self.blocks)
+        in_rows = self.row[t] >= 0
+        weight, rows, x = x, self.row[t[in_rows]], x[in_rows]
+        begins = self.begins[rows]
+        bounds = tops + x @ self.tallest[rows] + np.bincount(block, each * self.maxima[entry], self.blocks)
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bounds, kind="stable")
         first, step = 0, AT_ONCE
         while first < len(order):
-            blocks = order[first : first + step]
-            blocks = blocks[bounds[blocks] >= (best[-1] - 1e-9 if len(best) >= k else 1e-12)]
-            if not len(blocks):
+            least = best[-1] - 1e-9 if len(best) >= k else 1e-12
+            open_ = order[first:][bounds[order[first:]] >= least]
+            if not len(open_):
                 break
+            if first and len(open_) * WHOLE >= self.blocks:
+                lo, n = self.lists[t], self.lists[t + 1] - self.lists[t]
+                total = self._sums(lo, n, weight, len(sums))
+                return self._best(np.arange(len(self.doc_ids)), (sums + total)[: len(self.doc_ids)], least, k, skip)
+            blocks = open_[:step]
             chosen = np.zeros(self.blocks, bool)
             chosen[blocks] = True
             held = np.flatnonzero(chosen[block])
-            lo = self.starts[entry[held]]
-            n = self.starts[entry[held] + 1] - lo
-            posting = spans(lo, n)
-            total = np.bincount(self.docs[posting], np.repeat(x[held], n) * self.x[posting], len(sums))
+            lo = np.concatenate([begins[:, blocks].ravel(), self.starts[entry[held]]])
+            n = np.concatenate([begins[:, blocks + 1].ravel(), self.stops[entry[held]]]) - lo
+            total = self._sums(lo, n, np.concatenate([np.repeat(x, len(blocks)), each[held]]), len(sums))
             docs = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            # equal examples get equal cosines, however their sums were rounded
-            cosines = np.round(sums[docs] + total[docs], 12)
-            kept = cosines >= (best[-1] if len(best) >= k else 1e-12)
-            if skip is not None:
-                kept &= self.doc_ids[np.minimum(docs, len(self.doc_ids) - 1)] != skip
-            at, cosines = np.concatenate([best_at, docs[kept]]), np.concatenate([best, cosines[kept]])
-            top = np.lexsort((self.doc_ids[at], -cosines))[:k]
-            best_at, best = at[top], cosines[top]
+            docs = docs[docs < len(self.doc_ids)]
+            best_at, best = self._best(np.concatenate([best_at, docs]), np.concatenate([best, sums[docs] + total[docs]]), least, k, skip)
             first, step = first + step, 4 * step
         return best_at, best
 
+    def _sums(self, lo: np.ndarray, n: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+        """The spans of postings, n from lo on, times their weights, summed by example."""
+        posting = spans(lo, n)
+        return np.bincount(self.docs[posting], np.repeat(weight, n) * self.x[posting], size)
+
+    def _best(self, docs: np.ndarray, cosines: np.ndarray, least: float, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of these examples, of those with `least`; equal examples get equal cosines, however their sums were rounded, and the smaller id goes first."""
+        kept = cosines >= least - 1e-12
+        if skip is not None:
+            kept &= self.doc_ids[docs] != skip
+        docs, cosines = docs[kept], cosines[kept]
+        if len(docs) > k:
+            kept = cosines >= np.partition(cosines, -k)[-k] - 1e-11
+            docs, cosines = docs[kept], cosines[kept]
+        cosines = np.round(cosines, 12)
+        docs, cosines = docs[cosines >= 1e-12], cosines[cosines >= 1e-12]
+        top = np.lexsort((self.doc_ids[docs], -cosines))[:k]
+        return docs[top], cosines[top]
+
     def votes(self, queries: list[dict[int, int]], k: int, skip: list[int] | None = None) -> list[tuple[float | None, list[int]]]:
         """For each query the share of toxic votes, weighted by 1 / distance, and the neighbours' ids; None without neighbours."""
         out = []
@@ -213,7 +263,7 @@ class Index:
         new = {key: text for key, text in zip(keys, texts, strict=True) if key not in self.remembered}
         queries = []
         for text in new.values():
-            counts = Counter(map(self.number.get, terms(text)))
+            counts = Counter(known(text, self.number))
             counts.pop(None, None)
             queries.append(counts)
         self.remembered.update(zip(new, self.votes(queries, k), strict=True))
@@ -240,13 +290,15 @@ def word_counts(examples: DataFrame) -> DataFrame:
 
 def document_counts(docs: DataFrame, words: list[str]) -> tuple[int, np.ndarray]:
     """All documents, and those that hold each of the words."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    shared = docs.sparkSession.sparkContext.broadcast(numbered(words))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value
         seen = np.zeros(len(number) + 1, np.int64)
         for _, texts in pieces(batches):
-            held = [number[t] for text in texts for t in set(terms(text)) if t in number]
+            held: list[int] = []
+            for text in texts:
+                held += set(known(text, number)) - {None}
             seen += np.bincount(np.array(held, np.int64), minlength=len(seen))
             seen[-1] += len(texts)
         at = np.flatnonzero(seen)
@@ -296,7 +348,7 @@ def votes_without_self(held: DataFrame, index: Index, k: int) -> DataFrame:
             for first in range(0, len(batch), QUERIES):
                 part = batch.slice(first, QUERIES)
                 terms, counts = (part.column(c).to_pylist() for c in ("terms", "counts"))
-                queries = [{index.number[t]: n for t, n in zip(ts, ns, strict=True)} for ts, ns in zip(terms, counts, strict=True)]
+                queries = [{index.number[t.encode()]: n for t, n in zip(ts, ns, strict=True)} for ts, ns in zip(terms, counts, strict=True)]
                 shares = [share for share, _ in index.votes(queries, k, part.column("doc_id").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(shares, pa.float64())], ["label", "share"])
 
