@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from .common import Frames, fold_of, pieces, shuffle_partitions
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Hashes of words with equal bits from here on stand together.
+LEADING = np.uint64(44)
 #: In UTF-8: ASCII letters and all that is not ASCII stay, the rest becomes blanks.
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 BLOCK = 64
 #: Blocks read in a query's first round, best bounds first; each later round reads four times as many.
-AT_ONCE = 24
+AT_ONCE = 6
 #: If one in so many blocks or more may still hold a neighbour after the first round, the query's lists are read whole, which costs less than to pick blocks from them.
 WHOLE = 6
 #: Words that more than one in so many examples holds are columns.
@@ -48,20 +50,69 @@ def terms(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def numbered(words: list[str] | list[bytes]) -> dict[bytes, int]:
-    """The words' numbers, by their UTF-8."""
-    return {w if isinstance(w, bytes) else w.encode(): i for i, w in enumerate(words)}
+class Numbers:
+    """The numbers of words (in UTF-8, with blanks between), by their 64-bit hashes, sorted: many words are looked up at once. Only the words travel, as hashes differ between processes."""
 
+    def __init__(self, words: bytes):
+        self.words = words
+        hashes = self.hashes(words.split())
+        order = np.argsort(hashes)
+        self.keys, self.order = hashes[order], order.astype(np.int32)
+        self.begins = np.searchsorted(self.keys >> LEADING, np.arange((1 << 64 - int(LEADING)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __reduce__(self):
+        return Numbers, (self.words,)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __contains__(self, word: bytes) -> bool:
+        return self.of([word])[0] >= 0
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Each one's number, or -1."""
+        hashes, out = self.hashes(words), np.full(len(words), -1, np.int64)
+        lead = (hashes >> LEADING).astype(np.int64)
+        at, end = self.begins[lead], self.begins[lead + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.keys[at[left]] == hashes[left]
+            out[left[hit]] = self.order[at[left[hit]]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
+def numbered(words: list[str]) -> Numbers:
+    return Numbers(" ".join(words).encode())
 
-def known(text: str, number: dict[bytes, int]) -> list[int | None]:
-    """The numbers of all its terms that have one, and Nones. Cut at ASCII first, which is fast; pieces that are no known word and not ASCII may hold several terms."""
-    low = text.lower().encode("utf-8", "surrogatepass")
-    found = low.translate(LETTERS).split()
-    out = list(map(number.get, found))
-    if not low.isascii():
-        rest = [p for p, i in zip(found, out, strict=True) if i is None and not p.isascii()]
-        out += [number.get(w.encode("utf-8", "surrogatepass")) for p in rest for w in terms(p.decode("utf-8", "surrogatepass"))]
-    return out
+
+def counted(texts: list[str], number: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which text holds which known term how often, by text and term. Cut at ASCII first, which is fast; pieces that are no known word and not ASCII may hold several terms."""
+    found, lengths = [], []
+    for text in texts:
+        words = text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split()
+        found += words
+        lengths.append(len(words))
+    owner, term = np.repeat(np.arange(len(texts)), lengths), number.of(found)
+    rest = [i for i in np.flatnonzero(term < 0).tolist() if not found[i].isascii()]
+    if rest:
+        parts = [[w.encode("utf-8", "surrogatepass") for w in terms(found[i].decode("utf-8", "surrogatepass"))] for i in rest]
+        owner = np.concatenate([owner, np.repeat(owner[rest], [len(p) for p in parts])])
+        term = np.concatenate([term, number.of([w for p in parts for w in p])])
+    cell = np.sort(owner[term >= 0] * len(number) + term[term >= 0])
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    return cell[first] // max(1, len(number)), cell[first] % max(1, len(number)), np.diff(np.append(first, len(cell)))
+
+
+def known(text: str, number: Numbers) -> list[int]:
+    """The numbers of all its terms that have one."""
+    _, term, tf = counted([text], number)
+    return np.repeat(term, tf).tolist()
 
 
 def term_weights(df: np.ndarray, documents: int, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -73,7 +124,9 @@ def term_weights(df: np.ndarray, documents: int, toxic: np.ndarray, clean: np.nd
 
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers of all spans, one after another."""
-    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    out = np.arange(lengths.sum())
+    out += np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+    return out
 
 
 def arranged(owner: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, n_terms: int, width: int = 32) -> np.ndarray:
@@ -120,10 +173,10 @@ class Scale:
 class Index:
     """Unit vectors of the examples in an inverted index with block maxima. Only what it is made from travels: each worker builds the rest."""
 
-    def __init__(self, words: list[str] | list[bytes], weight: np.ndarray, doc_ids: np.ndarray, labels: np.ndarray, holders: np.ndarray, docs: np.ndarray, tf: np.ndarray):
+    def __init__(self, number: Numbers, weight: np.ndarray, doc_ids: np.ndarray, labels: np.ndarray, holders: np.ndarray, docs: np.ndarray, tf: np.ndarray):
         """holders: how many examples hold each word; docs, tf: their places, word by word and rising, and how often each holds it."""
-        self.number, self.weight, self.doc_ids, self.labels = numbered(words), weight, doc_ids, labels.astype(float)
-        self.source = list(self.number), weight, doc_ids, labels, holders, docs, tf
+        self.number, self.weight, self.doc_ids, self.labels = number, weight, doc_ids, labels.astype(float)
+        self.source = number, weight, doc_ids, labels, holders, docs, tf
         n, at = len(doc_ids), docs.astype(np.int32)
         self.blocks = max(1, -(-n // BLOCK))
         x = (1 + np.log(tf)) * np.repeat(weight, holders)
@@ -133,12 +186,12 @@ class Index:
         self.columns = np.zeros((int(common.sum()), self.blocks * BLOCK))
         column = np.repeat(self.column, holders)
         self.columns[column[column >= 0], at[column >= 0]] = x[column >= 0]
-        self.docs, self.x = at[column < 0], x[column < 0]
-        cell = np.repeat(np.arange(len(words)), np.where(common, 0, holders)) * self.blocks + self.docs // BLOCK
+        self.docs, self.x = at[column < 0].astype(np.int64), x[column < 0]
+        cell = np.repeat(np.arange(len(number)), np.where(common, 0, holders)) * self.blocks + self.docs // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         maxima = np.maximum.reduceat(self.x, first) if len(first) else np.zeros(0)
         of, block, starts = cell[first] // self.blocks, (cell[first] % self.blocks).astype(np.int32), np.append(first, len(cell)).astype(np.int32)
-        many = np.bincount(of, minlength=len(words)) * ROW >= self.blocks
+        many = np.bincount(of, minlength=len(number)) * ROW >= self.blocks
         #: rows: the largest weight in each block, and where the postings of each begin
         self.row = np.where(many, np.cumsum(many) - 1, -1)
         self.tallest = np.zeros((int(many.sum()), self.blocks))
@@ -148,20 +201,22 @@ class Index:
         #: an entry: the postings of one other word in one block
         few = ~many[of]
         self.maxima, self.block, self.starts, self.stops = maxima[few], block[few], starts[:-1][few], starts[1:][few]
-        self.entries = np.searchsorted(of[few], np.arange(len(words) + 1)).astype(np.int32)
+        self.entries = np.searchsorted(of[few], np.arange(len(number) + 1)).astype(np.int32)
         self.remembered: dict[int, tuple[float | None, list[int]]] = {}
         self.broadcast, self.scale = None, Scale([])
 
     @classmethod
-    def of(cls, words: list[str], weight: np.ndarray, doc_ids: np.ndarray, labels: np.ndarray, owner: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Index:
-        """owner, term, tf: an example, the number of a word it holds, and how often it does."""
+    def of(cls, words: list[str] | Numbers, weight: np.ndarray, doc_ids: np.ndarray, labels: np.ndarray, owner: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Index:
+        """words: as strings without blanks, or their numbers; owner, term, tf: an example, the number of a word it holds, and how often it does."""
         n = len(doc_ids)
         x = (1 + np.log(tf)) * weight[term]
-        order = arranged(owner, term, x / np.sqrt(np.bincount(owner, x * x, n))[owner], n, len(words))
+        x /= np.sqrt(np.bincount(owner, x * x, n))[owner]
+        order = arranged(owner, term, x, n, len(words))
+        del x
         place = np.empty(n, np.int32)
         place[order] = np.arange(n)
         by = np.lexsort((place[owner], term))
-        return cls(words, weight, doc_ids[order], labels[order], np.bincount(term, minlength=len(words)).astype(np.int32), place[owner][by], tf[by].astype(np.int32))
+        return cls(words if isinstance(words, Numbers) else numbered(words), weight, doc_ids[order], labels[order], np.bincount(term, minlength=len(words)).astype(np.int32), place[owner][by], tf[by].astype(np.int32))
 
     def __reduce__(self):
         return Index, self.source
@@ -172,37 +227,42 @@ class Index:
             self.broadcast = spark.sparkContext.broadcast(self)
         return self.broadcast
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t, tf = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
-        by = np.argsort(t)
-        t, tf = t[by], tf[by]
-        x = (1 + np.log(tf)) * self.weight[t]
-        return t, x / max(np.sqrt((x * x).sum()), 1e-300)
-
     def nearest(self, queries: list[dict[int, int]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places and cosines of each query's k nearest examples with a cosine above 0; counts are by a word's number; `skip`: doc_ids that are not their query's neighbours."""
+        cells = [(i, t, n) for i, q in enumerate(queries) for t, n in sorted(q.items())]
+        owner, term, tf = np.array(cells, np.int64).reshape(-1, 3).T
+        return self.nearest_of(len(queries), owner, term, tf, k, skip)
+
+    def nearest_of(self, n: int, owner: np.ndarray, term: np.ndarray, tf: np.ndarray, k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for n queries as `counted` gives them."""
+        x = (1 + np.log(tf)) * self.weight[term]
+        x /= np.maximum(np.sqrt(np.bincount(owner, x * x, n)), 1e-300)[owner]
+        column = self.column[term]
         out = []
-        for first in range(0, len(queries), QUERIES):
-            vectors = [self.vector(q) for q in queries[first : first + QUERIES]]
-            over = np.zeros((len(vectors), len(self.columns)))
-            for row, (t, x) in zip(over, vectors, strict=True):
-                row[self.column[t[self.column[t] >= 0]]] = x[self.column[t] >= 0]
+        for first in range(0, n, QUERIES):
+            many = min(QUERIES, n - first)
+            a, b = np.searchsorted(owner, (first, first + many))
+            held, over = column[a:b] >= 0, np.zeros((many, len(self.columns)))
+            over[(owner[a:b] - first)[held], column[a:b][held]] = x[a:b][held]
             sums = over @ self.columns
-            tops = sums.reshape(len(vectors), self.blocks, BLOCK).max(2)
-            for i, (t, x) in enumerate(vectors):
-                rest = self.column[t] < 0
-                out.append(self._nearest(sums[i], tops[i], t[rest], x[rest], k, skip[first + i] if skip else None))
+            bounds = sums.reshape(many, self.blocks, BLOCK).max(2)
+            q, t, w = (owner[a:b] - first)[~held], term[a:b][~held], x[a:b][~held]
+            lengths = self.entries[t + 1] - self.entries[t]
+            entry = spans(self.entries[t], lengths)
+            bounds += np.bincount(np.repeat(q * self.blocks, lengths) + self.block[entry], np.repeat(w, lengths) * self.maxima[entry], bounds.size).reshape(bounds.shape)
+            cuts, ends = np.searchsorted(q, np.arange(many + 1)), np.append(0, np.cumsum(lengths))
+            for i in range(many):
+                mine = slice(cuts[i], cuts[i + 1])
+                entries = entry[ends[cuts[i]] : ends[cuts[i + 1]]]
+                out.append(self._nearest(sums[i], bounds[i], t[mine], w[mine], entries, np.repeat(w[mine], lengths[mine]), k, skip[first + i] if skip else None))
         return out
 
-    def _nearest(self, sums: np.ndarray, tops: np.ndarray, t: np.ndarray, x: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """One query: its sums over the columns and their best by block, the other words and their weights."""
-        lengths = self.entries[t + 1] - self.entries[t]
-        entry, each = spans(self.entries[t], lengths), np.repeat(x, lengths)
-        block = self.block[entry]
-        in_rows = self.row[t] >= 0
-        weight, rows, x = x, self.row[t[in_rows]], x[in_rows]
+    def _nearest(self, sums: np.ndarray, bounds: np.ndarray, t: np.ndarray, weight: np.ndarray, entry: np.ndarray, each: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """One query: its sums over the columns, its bounds by block but for the rows, the other words and their weights, their entries and those's words' weights."""
+        row = self.row[t]
+        rows, x, block = row[row >= 0], weight[row >= 0], self.block[entry]
         begins = self.begins[rows]
-        bounds = tops + x @ self.tallest[rows] + np.bincount(block, each * self.maxima[entry], self.blocks)
+        bounds = bounds + x @ self.tallest[rows]
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bounds, kind="stable")
         first, step = 0, AT_ONCE
@@ -214,7 +274,9 @@ class Index:
             if first and len(open_) * WHOLE >= self.blocks:
                 lo, n = self.lists[t], self.lists[t + 1] - self.lists[t]
                 total = self._sums(lo, n, weight, len(sums))
-                return self._best(np.arange(len(self.doc_ids)), (sums + total)[: len(self.doc_ids)], least, k, skip)
+                total = sums + total
+                docs = np.flatnonzero(total[: len(self.doc_ids)] >= least - 1e-12)
+                return self._best(docs, total[docs], least, k, skip)
             blocks = open_[:step]
             chosen = np.zeros(self.blocks, bool)
             chosen[blocks] = True
@@ -230,8 +292,9 @@ class Index:
 
     def _sums(self, lo: np.ndarray, n: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
         """The spans of postings, n from lo on, times their weights, summed by example."""
-        posting = spans(lo, n)
-        return np.bincount(self.docs[posting], np.repeat(weight, n) * self.x[posting], size)
+        posting, each = spans(lo, n), np.repeat(weight, n)
+        each *= self.x.take(posting)
+        return np.bincount(self.docs.take(posting), each, size)
 
     def _best(self, docs: np.ndarray, cosines: np.ndarray, least: float, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The k best of these examples, of those with `least`; equal examples get equal cosines, however their sums were rounded, and the smaller id goes first."""
@@ -247,10 +310,10 @@ class Index:
         top = np.lexsort((self.doc_ids[docs], -cosines))[:k]
         return docs[top], cosines[top]
 
-    def votes(self, queries: list[dict[int, int]], k: int, skip: list[int] | None = None) -> list[tuple[float | None, list[int]]]:
-        """For each query the share of toxic votes, weighted by 1 / distance, and the neighbours' ids; None without neighbours."""
+    def votes(self, n: int, owner: np.ndarray, term: np.ndarray, tf: np.ndarray, k: int, skip: list[int] | None = None) -> list[tuple[float | None, list[int]]]:
+        """For each of n queries (as `counted` gives them) the share of toxic votes, weighted by 1 / distance, and the neighbours' ids; None without neighbours."""
         out = []
-        for at, cosines in self.nearest(queries, k, skip):
+        for at, cosines in self.nearest_of(n, owner, term, tf, k, skip):
             weight = 1 / (1.02 - np.minimum(cosines, 1))
             out.append((float((weight * self.labels[at]).sum() / weight.sum()) if len(at) else None, self.doc_ids[at].tolist()))
         return out
@@ -261,12 +324,7 @@ class Index:
         if len(self.remembered) >= REMEMBERED:
             self.remembered.clear()
         new = {key: text for key, text in zip(keys, texts, strict=True) if key not in self.remembered}
-        queries = []
-        for text in new.values():
-            counts = Counter(known(text, self.number))
-            counts.pop(None, None)
-            queries.append(counts)
-        self.remembered.update(zip(new, self.votes(queries, k), strict=True))
+        self.remembered.update(zip(new, self.votes(len(new), *counted(list(new.values()), self.number), k), strict=True))
         return [self.remembered[key] for key in keys]
 
 
@@ -288,24 +346,21 @@ def word_counts(examples: DataFrame) -> DataFrame:
     return examples.select("doc_id", "label", "text").mapInArrow(counted, "doc_id long, label int, terms array<string>, counts array<int>")
 
 
-def document_counts(docs: DataFrame, words: list[str]) -> tuple[int, np.ndarray]:
+def document_counts(docs: DataFrame, number: Numbers) -> tuple[int, np.ndarray]:
     """All documents, and those that hold each of the words."""
-    shared = docs.sparkSession.sparkContext.broadcast(numbered(words))
+    shared = docs.sparkSession.sparkContext.broadcast(number)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value
         seen = np.zeros(len(number) + 1, np.int64)
         for _, texts in pieces(batches):
-            held: list[int] = []
-            for text in texts:
-                held += set(known(text, number)) - {None}
-            seen += np.bincount(np.array(held, np.int64), minlength=len(seen))
+            seen += np.bincount(counted(texts, number)[1], minlength=len(seen))
             seen[-1] += len(texts)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["term", "df"])
 
     rows = docs.select("text").mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(len(words) + 1, np.int64)
+    df = np.zeros(len(number) + 1, np.int64)
     df[rows.column("term").to_numpy()] = rows.column("df").to_numpy()
     shared.destroy()
     return int(df[-1]), df[:-1]
@@ -328,11 +383,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, k: int = 15) -
         lists = rows.column("terms").combine_chunks()
         coded = lists.flatten().dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        words, term = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        owner, tf = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy()), rows.column("counts").combine_chunks().flatten().to_numpy().astype(float)
-        documents, df = document_counts(docs, words)
-        toxic, clean = (np.bincount(term, y[owner] == label, len(words)) for label in (1, 0))
-        index = Index.of(words, term_weights(df, documents, toxic, clean, int((y == 1).sum()), int((y == 0).sum())), rows.column("doc_id").to_numpy(), y, owner, term, tf)
+        number, term, ids = numbered(coded.dictionary.to_pylist()), coded.indices.to_numpy().copy(), rows.column("doc_id").to_numpy()
+        owner, tf = np.repeat(np.arange(len(y), dtype=np.int32), lists.value_lengths().to_numpy()), rows.column("counts").combine_chunks().flatten().to_numpy().copy()
+        del rows, lists, coded  # the driver holds one form of the examples at a time
+        documents, df = document_counts(docs, number)
+        toxic, clean = (np.bincount(term, y[owner] == label, len(number)) for label in (1, 0))
+        index = Index.of(number, term_weights(df, documents, toxic, clean, int((y == 1).sum()), int((y == 0).sum())), ids, y, owner, term, tf)
+        del owner, term, tf
         weight = {label: totals[label] / int((y == label).sum()) for label in (0, 1)}
         index.scale = Scale([(r.share, r.label, weight[r.label]) for r in votes_without_self(held, index, k).collect()])
     return index
@@ -347,9 +404,11 @@ def votes_without_self(held: DataFrame, index: Index, k: int) -> DataFrame:
         for batch in batches:
             for first in range(0, len(batch), QUERIES):
                 part = batch.slice(first, QUERIES)
-                terms, counts = (part.column(c).to_pylist() for c in ("terms", "counts"))
-                queries = [{index.number[t.encode()]: n for t, n in zip(ts, ns, strict=True)} for ts, ns in zip(terms, counts, strict=True)]
-                shares = [share for share, _ in index.votes(queries, k, part.column("doc_id").to_pylist())]
+                words, tf = (part.column(c).flatten() for c in ("terms", "counts"))
+                owner = np.repeat(np.arange(len(part)), part.column("terms").value_lengths().to_numpy())
+                term = index.number.of([w.encode() for w in words.to_pylist()])
+                by = np.lexsort((term, owner))
+                shares = [share for share, _ in index.votes(len(part), owner, term[by], tf.to_numpy()[by], k, part.column("doc_id").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(shares, pa.float64())], ["label", "share"])
 
     return held.repartition(shuffle_partitions(held.sparkSession), "doc_id").mapInArrow(voted, "label int, share double")

@@ -1,5 +1,6 @@
 """Terms by their numbers, and the work and neighbours of queries whose bounds do not prune."""
 
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -44,3 +45,35 @@ def test_flat_bounds_cost_no_picking_of_blocks(monkeypatch):
         want = np.round(x @ (q / np.linalg.norm(q)), 12)
         best = np.lexsort((ids, -want))[:15]
         assert index.doc_ids[at].tolist() == ids[best].tolist() and np.allclose(cosines, want[best], atol=1e-11)
+
+
+def test_terms_of_many_texts_looked_up_at_once(monkeypatch):
+    """Also with many words to a range of hashes, and after a journey."""
+    rng = np.random.default_rng(7)
+    words = sorted({"".join(rng.choice(list("abcdeéß中"), rng.integers(1, 6))) for _ in range(3000)})
+    texts = [" ".join(rng.choice([*words, "zz", "É1ß", "Ab"], rng.integers(0, 80))) for _ in range(60)] + ["", "zz"]
+    number = pickle.loads(pickle.dumps(toxicity.numbered(words[::2])))
+    want = [Counter(w for w in toxicity.terms(text) if w in set(words[::2])) for text in texts]
+    for leading in (toxicity.LEADING, np.uint64(61)):
+        monkeypatch.setattr(toxicity, "LEADING", leading)
+        number = pickle.loads(pickle.dumps(number))
+        owner, term, tf = toxicity.counted(texts, number)
+        got = [Counter() for _ in texts]
+        for i, t, n in zip(owner, term, tf, strict=True):
+            got[i][words[::2][t]] = n
+        assert got == want and (np.diff(owner * len(number) + term) > 0).all()
+    assert [x.size for x in toxicity.counted(texts, toxicity.numbered([]))] == [0, 0, 0]
+
+
+def test_flat_bounds_cost_little_more_than_the_lists(monkeypatch):
+    """Where bounds leave most blocks, what was read before that is known is a small part of the lists."""
+    rng = np.random.default_rng(9)
+    n, n_words, each = 128 * toxicity.BLOCK, 3000, 30
+    owner, term = np.repeat(np.arange(n), each), np.concatenate([rng.choice(n_words, each, replace=False) for _ in range(n)])
+    index = toxicity.Index.of([f"w{i}" for i in range(n_words)], rng.uniform(0.5, 2, n_words), np.arange(n), np.arange(n) % 2, owner, term, np.ones(len(term)))
+    queries = [dict.fromkeys(rng.choice(n_words, 100, replace=False).tolist(), 1) for _ in range(12)]
+    read, sums = [], index._sums
+    monkeypatch.setattr(index, "_sums", lambda lo, n, *rest: read.append(int(n.sum())) or sums(lo, n, *rest))
+    index.nearest(queries, 15)
+    held = np.bincount(term, minlength=n_words)
+    assert sum(read) <= 1.1 * sum(held[t] for q in queries for t in q)
