@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import within
 from .graph import save
 
 #: Sources that a row's mask stands for, and rows (block of sources, node) that one pass over the sources may hold.
@@ -85,28 +86,41 @@ def levels(edges: DataFrame, sources: DataFrame, n: int, depth: int | None = Non
             last, front = front, _next(edges, front, last)
 
 
-def level_counts(edges: DataFrame, nodes: DataFrame, sources: DataFrame, depth: int | None = None, pass_rows: int = PASS_ROWS) -> DataFrame:
-    """person, level, c: how many of `nodes` (person) lie at each distance from each of `sources` (person), up to `depth`; level 0 is the source itself. No rows of pairs are made."""
+def level_counts(edges: DataFrame, nodes: DataFrame, sources: DataFrame, depth: int | None = None, pass_rows: int = PASS_ROWS, task_edges: int = within.TASK_EDGES) -> DataFrame:
+    """person, level, c: how many of `nodes` (person) lie at each distance from each of `sources` (person), up to `depth`; level 0 is the source itself. No rows of pairs are made.
+
+    Components of at most `task_edges` edges are searched inside tasks (`within`), larger ones by joins of masks, of at most `pass_rows` rows a level.
+    """
     sources = save(sources.select("person").distinct())
     out = sources.select("person", F.lit(0).alias("level"), F.lit(1).cast("long").alias("c"))
-    for level, mine, front in levels(edges, sources, nodes.count(), depth, pass_rows):
-        if level:
-            out = out.unionByName(save(_counts(front, mine)).select("person", F.lit(level).alias("level"), F.col("c").cast("long").alias("c")))
+    dealt = within.placed(edges, nodes, sources, task_edges)
+    every = dealt.sources.count() == dealt.edges.select("src").distinct().count()
+    inner = save(within.counted(dealt, own=not every, met=every, depth=depth))
+    out = out.unionByName(inner.groupBy("person", "level").agg(F.sum("c").alias("c")))
+    if dealt.large:
+        wide, some = dealt.large
+        for level, mine, front in levels(wide, some, nodes.count(), depth, pass_rows):
+            if level:
+                out = out.unionByName(save(_counts(front, mine)).select("person", F.lit(level).alias("level"), F.col("c").cast("long").alias("c")))
     return out
 
 
-def both_sums(edges: DataFrame, nodes: DataFrame, sources: DataFrame, pass_rows: int = PASS_ROWS) -> tuple[DataFrame, DataFrame]:
+def both_sums(edges: DataFrame, nodes: DataFrame, sources: DataFrame, pass_rows: int = PASS_ROWS, task_edges: int = within.TASK_EDGES) -> tuple[DataFrame, DataFrame]:
     """Of one search from `sources` (person): their own sums (person, s), and for each node that they reach, how many do and the sum of its distances to them (person, n, s)."""
     sources = save(sources.select("person").distinct())
-    own = sources.select("person", F.lit(0).cast("long").alias("s"))
-    met = None
-    for level, mine, front in levels(edges, sources, nodes.count(), pass_rows=pass_rows):
-        own = own.unionByName(save(_counts(front, mine)).select("person", (F.col("c") * level).cast("long").alias("s")))
-        here = front.groupBy(F.col("node").alias("person")).agg(F.sum(F.bit_count("mask")).alias("n"), F.sum(F.bit_count("mask") * level).alias("s"))
-        met = save(here if met is None else met.unionByName(here).groupBy("person").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
-    if met is None:
-        met = sources.select("person", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"))
-    return own.groupBy("person").agg(F.sum("s").alias("s")), met
+    dealt = within.placed(edges, nodes, sources, task_edges)
+    inner = save(within.counted(dealt, own=True, met=True))
+    far = (F.col("c") * F.col("level")).alias("s")
+    own = sources.select("person", F.lit(0).cast("long").alias("s")).unionByName(inner.where("own").select("person", far))
+    met = sources.select("person", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("s")).unionByName(inner.where("NOT own").select("person", F.col("c").alias("n"), far))
+    if dealt.large:
+        wide, some = dealt.large
+        for level, mine, front in levels(wide, some, nodes.count(), pass_rows=pass_rows):
+            if level:
+                own = own.unionByName(save(_counts(front, mine)).select("person", (F.col("c") * level).cast("long").alias("s")))
+                here = front.groupBy(F.col("node").alias("person")).agg(F.sum(F.bit_count("mask")).alias("n"), F.sum(F.bit_count("mask") * level).alias("s"))
+                met = save(met.unionByName(here).groupBy("person").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    return own.groupBy("person").agg(F.sum("s").alias("s")), met.groupBy("person").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
 def sums_of(levels: DataFrame) -> DataFrame:
